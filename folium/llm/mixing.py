@@ -28,12 +28,12 @@ FILLS = 4
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], factor: float, most: float) -> DataFrame:
-    """source, source_size, weight, target; sizes: source, size. Weights go round the sources by code point, null last.
+    """sk, source_size, pull, weight, target; sizes: sk, source, size, propensity. Weights go round the sources by code point, null last.
 
     One row for each source, far fewer than documents: their order and running sums are taken in one task.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("propensity")).alias("pull"))
+    sources = sizes.groupBy("sk", "source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("propensity")).alias("pull"))
     sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
     full = F.col("source_size") * float(most)
     by_fill = Window.orderBy(full / F.col("weight"), F.col("source").isNull(), "source")
@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], factor: float,
     leveled = sources.withColumn("level", level).withColumn("full", full)
     #: The lowest level at which a source stays under its bound holds for all after it.
     first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("full"), F.struct((F.col("full") / F.col("weight")).alias("x"), "level"))).over(Window.partitionBy())
-    return leveled.withColumn("level", first["level"]).select("source", "source_size", "pull", "weight", F.least("full", F.coalesce(F.col("level") * F.col("weight"), F.col("full"))).alias("target"))
+    return leveled.withColumn("level", first["level"]).select("sk", "source_size", "pull", "weight", F.least("full", F.coalesce(F.col("level") * F.col("weight"), F.col("full"))).alias("target"))
 
 
 def _uniform(seed: int, *by: str) -> Column:
@@ -56,11 +56,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), factor: f
     propensity: relative, positive; a document's expected copies follow it, up to `most`.
     """
     sizes = staged(
-        docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("key"), (F.lit(1.0) if propensity is None else propensity).cast("double").alias("propensity")),
+        docs.select("doc_id", "source", _source_key(), F.size(words(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("key"), (F.lit(1.0) if propensity is None else propensity).cast("double").alias("propensity")),
         "mix-sizes",
     )
     targets = small(staged(source_targets(sizes, weights, factor, most), "mix-targets"))
-    rows = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "source_size", "target", "pull")
+    rows = sizes.join(targets.drop("weight"), "sk")
     expected = F.least(F.when(F.col("pull") > 0, F.col("target") * F.col("propensity") / F.col("pull")).otherwise(0.0), F.lit(float(most)))
     u = _uniform(seed, "doc_id", "key")
     ranked = staged(
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), factor: f
         "mix-ranks",
     )
     need = F.max("target") - F.sum(F.col("size") * F.col("sure"))
-    state = small(staged(ranked.groupBy("source").agg(need.alias("left")).withColumn("low", F.lit(0.0)), "mix-left"))
+    state = small(staged(ranked.groupBy("sk").agg(need.alias("left")).withColumn("low", F.lit(0.0)), "mix-left"))
     width = 1.0
     for _ in range(LEVELS):
         state = small(staged(_narrow(ranked, state, width), "mix-left"))
@@ -81,51 +81,62 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), factor: f
     return _cut(ranked, state, width).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def _beside(ranked: DataFrame, state: DataFrame) -> DataFrame:
-    return ranked.alias("d").join(state.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "left", "low")
+def _source_key() -> Column:
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("sk")
+
+
+def _inside(width: float) -> Column:
+    return (F.col("p") > 0) & (F.col("z") >= F.col("low")) & (F.col("z") < F.col("low") + width)
 
 
 def _narrow(ranked: DataFrame, state: DataFrame, width: float) -> DataFrame:
-    """From (source, left, low): the slice of [low, low + width) in which the words run out, and what is left before it."""
+    """From (sk, left, low): the slice of [low, low + width) in which the words run out, and what is left before it."""
     step = width / SLICES
-    inside = _beside(ranked, state).filter((F.col("p") > 0) & (F.col("z") >= F.col("low")) & (F.col("z") < F.col("low") + width))
-    sums = inside.groupBy("source", "left", "low", F.least(F.floor((F.col("z") - F.col("low")) / step), F.lit(SLICES - 1)).alias("slice")).agg(F.sum("size").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy("source").orderBy("slice"))
+    slices = F.least(F.floor((F.col("z") - F.col("low")) / step), F.lit(SLICES - 1))
+    sums = ranked.join(state, "sk").filter(_inside(width)).groupBy("sk", "left", slices.alias("slice")).agg(F.sum("size").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("sk").orderBy("slice"))
     met = sums.withColumn("before", so_far - F.col("n")).filter((F.col("before") <= F.col("left")) & (F.col("before") + F.col("n") > F.col("left")))
-    found = met.groupBy("source").agg(F.min(F.struct("slice", "before")).alias("m"))
-    joined = state.alias("s").join(found.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")), "left")
+    found = met.groupBy("sk").agg(F.min(F.struct("slice", "before")).alias("m"))
     #: Without such a slice, all of the rest fits: the cut lies above.
-    return joined.select("s.source", (F.col("left") - F.coalesce("m.before", F.lit(0))).alias("left"), F.when(F.col("m").isNotNull(), F.col("low") + F.col("m.slice") * step).otherwise(F.lit(2.0)).alias("low"))
+    low = F.when(F.col("m").isNotNull(), F.col("low") + F.col("m.slice") * step).otherwise(F.lit(2.0))
+    return state.join(found, "sk", "left").select("sk", (F.col("left") - F.coalesce("m.before", F.lit(0))).alias("left"), low.alias("low"))
 
 
 def _cut(ranked: DataFrame, state: DataFrame, width: float) -> DataFrame:
-    rows = _beside(ranked, state)
+    rows = ranked.join(state, "sk")
     #: Few rows: what one of SLICES ** LEVELS slices of a source holds.
-    last = rows.filter((F.col("p") > 0) & (F.col("z") >= F.col("low")) & (F.col("z") < F.col("low") + width))
-    so_far = F.sum("size").over(Window.partitionBy("source").orderBy("z", "doc_id", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = last.withColumn("copies", F.col("sure") + (so_far <= F.col("left")).cast("bigint"))
-    rest = rows.filter(~((F.col("p") > 0) & (F.col("z") >= F.col("low")) & (F.col("z") < F.col("low") + width))).withColumn("copies", F.col("sure") + ((F.col("p") > 0) & (F.col("z") < F.col("low"))).cast("bigint"))
-    out = staged(rest.unionByName(edge).drop("left", "low"), "mix-cut")
-    return _fill(out)
+    so_far = F.sum("size").over(Window.partitionBy("sk").orderBy("z", "doc_id", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edge = rows.filter(_inside(width)).withColumn("copies", F.col("sure") + (so_far <= F.col("left")).cast("bigint"))
+    rest = rows.filter(~_inside(width)).withColumn("copies", F.col("sure") + ((F.col("p") > 0) & (F.col("z") < F.col("low"))).cast("bigint"))
+    return _fill(staged(rest.unionByName(edge).drop("left", "low"), "mix-cut"))
 
 
 def _fill(rows: DataFrame) -> DataFrame:
     """Add to each source, FILLS times, the largest untaken document that fits in what is left of its target."""
-    chosen = None
-    left = small(staged(rows.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("left")), "mix-gap"))
-    free = (F.col("copies") == F.col("sure")) & (F.col("p") > 0) & (F.col("size") > 0)
+    free = rows.filter((F.col("copies") == F.col("sure")) & (F.col("p") > 0) & (F.col("size") > 0)).select("sk", "doc_id", "key", "size", "z")
+    left = small(staged(rows.groupBy("sk").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("left")), "mix-gap"))
+    picked: list[DataFrame] = []
     for _ in range(FILLS):
-        near = rows.filter(free).alias("d").join(left.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).filter(F.col("size") <= F.col("left"))
-        if chosen is not None:
-            near = near.alias("d").join(F.broadcast(chosen) if chosen.count() <= 200_000 else chosen, (F.col("d.doc_id").eqNullSafe(F.col("c_id"))) & (F.col("d.key").eqNullSafe(F.col("c_key"))), "left_anti")
-        best = near.groupBy(F.col("d.source").alias("source")).agg(F.max(F.struct("size", (-F.col("z")).alias("z"), "doc_id", "key")).alias("b"), F.max("left").alias("left"))
-        best = staged(best, "mix-fill")
-        picks = best.select("source", F.col("b.doc_id").alias("c_id"), F.col("b.key").alias("c_key"))
-        chosen = staged(picks if chosen is None else chosen.unionByName(picks), "mix-filled")
-        done = best.select(F.col("source").alias("b_source"), F.col("b.size").alias("used"))
-        left = small(staged(left.join(done, F.col("source").eqNullSafe(F.col("b_source")), "left").select("source", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")), "mix-gap"))
-    #: Rows of one id and text: one of them only is added, so they are numbered where there are several.
-    hit = rows.alias("d").join(small(chosen).alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c_id")) & F.col("d.key").eqNullSafe(F.col("c_key")) & F.col("d.source").eqNullSafe(F.col("c.source")), "left").select("d.*", F.col("c_key").isNotNull().alias("hit"))
-    twin = F.row_number().over(Window.partitionBy("source", "doc_id", "key").orderBy("copies"))
+        near = free.join(left, "sk").filter(F.col("size") <= F.col("left"))
+        for one in picked:
+            near = near.join(one, _same(near, one), "left_anti")
+        best = near.groupBy("sk").agg(F.max(F.struct("size", (-F.col("z")).alias("z"), "doc_id", "key")).alias("b"))
+        best = staged(best.select("sk", "b.size", "b.doc_id", "b.key"), "mix-fill")
+        picked.append(small(best))
+        gap = F.col("left") - F.coalesce("size", F.lit(0))
+        left = small(staged(left.join(best.select("sk", "size"), "sk", "left").select("sk", gap.alias("left")), "mix-gap"))
+    picks = picked[0]
+    for one in picked[1:]:
+        picks = picks.unionByName(one)
+    picks = small(staged(picks.drop("size").withColumn("hit", F.lit(True)), "mix-picks"))
+    hit = rows.alias("d").join(picks.alias("c"), _same(rows.alias("d"), picks.alias("c"), "d.", "c."), "left").select("d.*", "hit")
+    #: Of rows of one id and text, only one is added.
+    twin = F.row_number().over(Window.partitionBy("sk", "doc_id", "key").orderBy("copies"))
     added = hit.filter("hit").withColumn("copies", F.col("copies") + ((twin == 1) & (F.col("copies") == F.col("sure"))).cast("bigint"))
-    return hit.filter("not hit").unionByName(added).drop("hit")
+    return hit.filter("hit is null").unionByName(added)
+
+
+def _same(a: DataFrame, b: DataFrame, x: str = "", y: str = "") -> Column:
+    left, right = (lambda c: F.col(x + c) if x else a[c]), (lambda c: F.col(y + c) if y else b[c])
+    return (left("sk") == right("sk")) & left("doc_id").eqNullSafe(right("doc_id")) & left("key").eqNullSafe(right("key"))
