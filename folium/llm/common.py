@@ -34,10 +34,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
+def staged(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """The rows, written to the shared folder as Parquet and read back: lineage is cut, and lost executors cost nothing."""
     at = new_path(df.sparkSession, tag)
-    df.write.parquet(at)
+    df.write.option("compression", codec).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, phrase_index, quality, suffix_dedup
+from . import chat, gru_lm, mixing, ngram_join, phrase_index, quality, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op6_gru_score")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(table(spark, sf_dir, "documents"))
