@@ -50,8 +50,13 @@ def _uniform(seed: int, *by: str) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *by), 12).cast("double") + 0.5) / float(1 << 52)
 
 
+def row_key(key: Column | None = None) -> Column:
+    """What tells rows of documents apart: id and text; never null."""
+    return F.struct(F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("id"), F.col("doc_id").isNull().alias("none"), (F.xxhash64("text") if key is None else key).alias("key"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), factor: float = 1.5, most: float = 2.0, seed: int = 17, propensity: Column | None = None) -> DataFrame:
-    """A row for each of docs (doc_id, source, text): doc_id, size, source, source_size, target, copies, taken.
+    """A row for each of docs (doc_id, source, text): row (see row_key), doc_id, size, source, source_size, target, copies, taken.
 
     propensity: relative, positive; a document's expected copies follow it, up to `most`.
     """
@@ -78,7 +83,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), factor: f
     for _ in range(LEVELS):
         state = small(staged(_narrow(ranked, state, width), "mix-left"))
         width /= SLICES
-    return _cut(ranked, state, width).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return _cut(ranked, state, width).select(row_key(F.col("key")).alias("row"), "doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def _source_key() -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, gru_lm, mixing, ngram_join, phrase_index, pii, quality, suffix_dedup, warc
+from . import chat, gru_lm, licences, mixing, ngram_join, phrase_index, pii, quality, suffix_dedup, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_pii_surrogates")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_licence_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
