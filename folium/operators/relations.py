@@ -40,7 +40,10 @@ def locate(passages: DataFrame, texts: DataFrame, anchor: int = 4) -> DataFrame:
     """
     grams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - anchor + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, anchor), " ")))
     left = passages.select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(F.split("text", " "), 2, anchor), " ").alias("gram"))
-    keys = texts.select("doc_id", F.explode(grams(F.split("text", " "))).alias("gram")).join(F.broadcast(left.select("gram").distinct()), "gram", "left_semi") if left.count() <= 100_000 else texts.select("doc_id", F.explode(grams(F.split("text", " "))).alias("gram"))
+    split = texts.select("doc_id", F.split("text", " ").alias("w"))
+    keys = split.select("doc_id", F.explode(grams(F.col("w"))).alias("gram"))
+    if left.count() <= 100_000:
+        keys = keys.join(F.broadcast(left.select("gram").distinct()), "gram", "left_semi")
     pairs = keys.join(left, "gram").select("item_id", "doc_id", "passage").distinct()
     found = pairs.join(texts, "doc_id").filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
     by_item = found.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("one"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import queries_blocks, queries_links, queries_state, queries_store
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = queries_store.QUERIES | queries_blocks.QUERIES | queries_links.QUERIES | queries_state.QUERIES
+SQL = queries_store.SQL | queries_blocks.SQL | queries_links.SQL | queries_state.SQL
