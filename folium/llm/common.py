@@ -34,9 +34,18 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
-    """The rows, written to the shared folder as Parquet and read back: lineage is cut, and lost executors cost nothing."""
+#: Rows of small columns in one file, where the number of rows is known.
+FILE_ROWS = 500_000
+
+
+def staged(df: DataFrame, tag: str, codec: str = "snappy", rows: int | None = None) -> DataFrame:
+    """The rows, written to the shared folder as Parquet and read back: lineage is cut, and lost executors cost nothing.
+
+    rows: about how many there are; with it, they are dealt to as few files as these fill.
+    """
     at = new_path(df.sparkSession, tag)
+    if rows is not None:
+        df = df.repartition(rows // FILE_ROWS + 1)
     df.write.option("compression", codec).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 

@@ -9,22 +9,23 @@ from .common import staged
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for each end of the links (a, b).
+    """node, component (its smallest node) for each end of the links (a, b), a staged table.
 
     Alternates two steps until neither changes anything: each node hands its smallest
     neighbour to its larger ones, then to all smaller ones. Rows of a node are read in order
     of the neighbour, so that none is gathered in memory.
     """
-    now = staged(_oriented(links).distinct(), "graph")
+    n = links.count()
+    now = staged(_oriented(links).distinct(), "graph", rows=n)
     state = None
     while True:
-        after = staged(_small_star(_large_star(now)), "graph")
+        after = staged(_small_star(_large_star(now)), "graph", rows=n)
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             break
         state, now = tuple(seen), after
     heads = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return staged(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads), "graph-components")
+    return staged(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads), "graph-components", rows=n)
 
 
 def _oriented(links: DataFrame) -> DataFrame:

@@ -214,30 +214,31 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFram
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     heads = staged(texts.mapInArrow(_heads(words), "doc_id bigint, n bigint, d1 bigint, d2 bigint"), "join-heads")
     nodes = heads.filter("n > 0 and doc_id is not null")
+    n = heads.count()
     #: Sets that are equal: the smallest doc_id stands for them.
-    rep = staged(nodes.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "join-reps")
+    rep = staged(nodes.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "join-reps", rows=n)
     twins = nodes.join(rep.filter("rep <> last"), ["n", "d1", "d2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    twins = staged(twins, "join-twins")
+    twins = staged(twins, "join-twins", rows=n)
     filed = texts.mapInArrow(_file(words, limit), "sig bigint, doc_id bigint")
     pivot = F.first("doc_id").over(Window.partitionBy("sig").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     near = filed.withColumn("pivot", pivot).filter("pivot <> doc_id").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    near = staged(near, "join-near")
+    near = staged(near, "join-near", rows=4 * n)
     family = components(near.unionByName(twins)).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     members = family.join(rep.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
     by_size = Window.partitionBy("family").orderBy("n", "doc_id")
     so_far = by_size.rowsBetween(Window.unboundedPreceding, -1)
     leaf = F.floor(F.greatest((F.row_number().over(by_size) - 1) / LEAF_SETS, F.coalesce(F.sum("n").over(so_far), F.lit(0)) / LEAF_SHINGLES))
-    placed = staged(members.withColumn("leaf", leaf), "join-leaves")
+    placed = staged(members.withColumn("leaf", leaf), "join-leaves", rows=n)
     leaves = placed.groupBy("family", "leaf").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("k"))
     x, y = leaves.alias("x"), leaves.alias("y")
     meet = (F.col("x.family") == F.col("y.family")) & (F.col("x.leaf") <= F.col("y.leaf")) & (percent * F.col("y.low") <= 100 * F.col("x.high")) & ((F.col("x.leaf") < F.col("y.leaf")) | (F.col("x.k") > 1))
     blocks = x.join(y, meet).select("x.family", F.col("x.leaf").alias("i"), F.col("y.leaf").alias("j"))
     sides = blocks.withColumn("leaf", F.explode(F.array_distinct(F.array("i", "j"))))
-    jobs = small(staged(placed.join(sides, ["family", "leaf"]).select("doc_id", "family", "i", "j", "leaf"), "join-jobs"), 2_000_000)
+    jobs = small(staged(placed.join(sides, ["family", "leaf"]).select("doc_id", "family", "i", "j", "leaf"), "join-jobs", rows=n), 2_000_000)
     #: Of rows with one doc_id, the sets of all are compared, each as this doc_id.
     work = texts.join(jobs, "doc_id").select("family", "i", "j", "leaf", "doc_id", "text")
     links = streamed(work, ["family", "i", "j"], [], _verify(words, limit), "a bigint, b bigint")
-    links = staged(links, "join-links").unionByName(twins)
+    links = staged(links, "join-links", rows=n).unionByName(twins)
     found = components(links)
     out = heads.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
