@@ -1,4 +1,7 @@
-"""The pipeline over the documents: quality, near duplicates, decontamination, personal data, mixture."""
+"""The pipeline over the documents: quality, near duplicates, decontamination, personal data, mixture.
+
+Each stage keeps all columns; the last adds copies, taken and target, in place of columns of these names.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +17,7 @@ REMOVED = 1_000_000
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a rule of the cascade rejects go."""
-    return quality.judge(docs).filter("kept").select(docs.columns)
+    return quality.judge(docs.select(F.struct("*").alias("_row"), "text")).filter("kept").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +38,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Surrogates take the place of personal data; n_chars follows the new text."""
-    out = pii.replace_entities(docs).select(docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns) if "n_chars" in docs.columns else out
+    out = pii.replace_entities(docs.select(F.struct("*").alias("_row"), "text"))
+    row = F.col("_row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(row.alias("_row")).select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +50,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs).filter("copies > 0")
     taken = mixed.groupBy("row").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"), F.max("target").alias("target"))
     again = small(staged(mixed.groupBy("row").count().filter("count > 1").select("row"), "pipeline-again"), REMOVED)
-    rows = docs.withColumn("row", mixing.row_key())
+    added = ("copies", "taken", "target")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in added]).alias("_doc"), mixing.row_key().alias("row"))
     #: Equal rows become one, with the copies of all.
     alone = rows.join(again, "row", "left_anti").unionByName(rows.join(again, "row", "left_semi").dropDuplicates(["row"]))
-    return alone.join(taken, "row").drop("row")
+    return alone.join(taken, "row").select("_doc.*", *added)
 
 
 STAGES = [

@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade, with built-in functions only.
 
-`measured` counts what the rules need over whole texts. `order_rules` measures each rule on a
+`measures` counts what the rules need over whole texts. `order_rules` measures each rule on a
 sample: the seconds it takes and which rows it rejects. It then puts first the rule that
 rejects most of the rows left over per second, given the rules before it. `cascade` evaluates
 the rules in that order, each only on rows that no earlier one has rejected. A row is rejected
@@ -13,6 +13,7 @@ each; a table without rows gives no rows; other columns are kept.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,67 +30,95 @@ ABUSE = ["disgusting", "idiot", "clown", "loser", "moron", "pathetic", "scum", "
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: over the columns of `measured`; a row for which it is true is rejected."""
+    """rejects(get): true for a row that is rejected; get gives text and the counts of MEASURES by name."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Callable[[str], Column]], Column]
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def _count(get, pattern: str) -> Column:
+    return F.regexp_count(get("text"), F.lit(pattern))
+
+
+def _without(get, pattern: str) -> Column:
+    return F.length(F.regexp_replace(get("text"), pattern, ""))
 
 
 def rules() -> list[Rule]:
-    text, n, chars = F.coalesce("text", F.lit("")), F.col("n_words"), F.col("word_chars")
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    abuse = f"(?i)(^|[^A-Za-z])({'|'.join(ABUSE)})"
     return [
-        Rule("symbols", 10 * F.col("n_symbols") > 3 * n),
-        Rule("repeated_lines", 10 * F.col("n_dup_lines") > 4 * F.col("n_lines")),
-        Rule("word_length", (chars < 2 * n) | (chars > 14 * n)),
-        Rule("exclamation", 10 * count("!") > 3 * n),
-        Rule("upper_case", 10 * F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) > 4 * chars),
-        Rule("letters", 2 * F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) < chars),
-        Rule("abuse", count(f"(?i)(^|[^A-Za-z])({'|'.join(ABUSE)})") >= 2),
+        Rule("symbols", lambda get: 10 * get("n_symbols") > 3 * get("n_words")),
+        Rule("repeated_lines", lambda get: 10 * get("n_dup_lines") > 4 * get("n_lines")),
+        Rule("word_length", lambda get: (get("word_chars") < 2 * get("n_words")) | (get("word_chars") > 14 * get("n_words"))),
+        Rule("exclamation", lambda get: 10 * _count(get, "!") > 3 * get("n_words")),
+        Rule("upper_case", lambda get: 10 * _without(get, r"[^\p{Lu}]+") > 4 * get("word_chars")),
+        Rule("letters", lambda get: 2 * _without(get, r"[^\p{L}]+") < get("word_chars")),
+        Rule("abuse", lambda get: _count(get, abuse) >= 2),
     ]
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words and base_failed."""
-    text = F.coalesce("text", F.lit(""))
-    lines = docs.withColumns({"_w": words(F.col("text")), "_l": F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))})
-    hashed = lines.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-    triples = hashed.withColumn(
-        "_t",
-        F.when(F.size("_w") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_h") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("_h", i), F.get("_h", i + 1), F.get("_h", i + 2)))),
-    )
-    #: Equal triples stand together once sorted; most texts have none and skip this.
-    ordered = triples.withColumn("_s", F.when(F.size(F.array_distinct("_t")) < F.size("_t"), F.sort_array(F.transform("_t", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    same = lambda x, i: F.coalesce(x["h"] == F.get("_s", i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get("_s", i + 1)["h"], F.lit(False))
-    found = ordered.withColumn("_p", F.sort_array(F.transform(F.filter("_s", same), lambda x: x["i"])))
-    covered = F.aggregate(F.transform("_p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    out = found.withColumns(
-        {
-            "n_words": F.size("_w").cast("bigint"),
-            "word_chars": F.length(F.array_join("_w", "")).cast("bigint"),
-            "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("bigint"),
-            "n_lines": F.size("_l").cast("bigint"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint"),
-            "n_repeat_words": covered.cast("bigint"),
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once wherever Spark moves the expression to."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _triples(h: Column) -> Column:
+    """A hash for each three words in a row."""
+    some = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
+    return F.when(F.size(h) < 3, F.array().cast("array<bigint>")).otherwise(some)
+
+
+def _repeated_at(t: Column) -> Column:
+    """Ascending places of triples that occur twice: equal ones stand together once sorted."""
+    alike = lambda s, x, i: F.coalesce(x["h"] == F.get(s, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, i + 1)["h"], F.lit(False))
+    found = _let(F.sort_array(F.transform(t, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), lambda s: F.sort_array(F.transform(F.filter(s, lambda x, i: alike(s, x, i)), lambda x: x["i"])))
+    #: Most texts have none and skip this.
+    return F.when(F.size(F.array_distinct(t)) < F.size(t), found).otherwise(F.array().cast("array<int>"))
+
+
+def _covered(p: Column) -> Column:
+    """Words in three-word windows at places p."""
+    return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+
+
+def measures(text: Column) -> Column:
+    """A struct of MEASURES."""
+
+    def told(t: Column, w: Column, lines: Column) -> Column:
+        repeats = _let(_let(F.transform(w, lambda x: F.xxhash64(x)), _triples), lambda t3: _let(_repeated_at(t3), _covered))
+        counts = {
+            "n_words": F.size(w),
+            "word_chars": F.length(F.array_join(w, "")),
+            "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": repeats,
         }
-    ).drop("_w", "_l", "_h", "_t", "_s", "_p")
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+        made = F.struct(*(c.cast("bigint").alias(name) for name, c in counts.items()))
+        failed = lambda m: (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        return _let(made, lambda m: F.struct(*(m[c].alias(c) for c in counts), failed(m).alias("base_failed")))
+
+    with_word = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
+    return _let(F.coalesce(text, F.lit("")), lambda t: _let(words(t), lambda w: _let(with_word(t), lambda lines: told(t, w, lines))))
 
 
 def order_rules(docs: DataFrame, ruled: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second, each among the sampled rows that those before it let pass."""
     n = docs.count()
-    sample = staged(measured(docs.select("text").sample(min(1.0, sample_rows / max(n, 1)), seed=3)), "quality-sample").filter(~F.col("base_failed"))
+    sample = staged(docs.select(F.coalesce("text", F.lit("")).alias("text")).sample(min(1.0, sample_rows / max(n, 1)), seed=3).select("text", measures(F.col("text")).alias("m")).select("text", "m.*"), "quality-sample", rows=sample_rows).filter(~F.col("base_failed"))
     cost = {}
     for r in ruled:
         runs = []
         for _ in range(2):
             began = time.perf_counter()
-            sample.agg(F.count_if(r.rejects)).collect()
+            sample.agg(F.count_if(r.rejects(F.col))).collect()
             runs.append(time.perf_counter() - began)
         cost[r.name] = min(runs)
     #: One row for each set of rejecting rules that occurs, so at most 2 ** len(rules).
-    sets = sample.groupBy(F.array_compact(F.array(*[F.when(r.rejects, F.lit(r.name)) for r in ruled])).alias("by")).count().collect()
+    sets = sample.groupBy(F.array_compact(F.array(*[F.when(r.rejects(F.col), F.lit(r.name)) for r in ruled])).alias("by")).count().collect()
     left, out, rest = list(ruled), [], [(set(x["by"]), x["count"]) for x in sets]
     while left:
         best = max(left, key=lambda r: sum(k for by, k in rest if r.name in by) / cost[r.name])
@@ -100,13 +129,20 @@ def order_rules(docs: DataFrame, ruled: list[Rule], sample_rows: int = SAMPLE_RO
 
 
 def cascade(docs: DataFrame, ruled: list[Rule]) -> DataFrame:
-    """docs as `measured`, with failed_rule (null if kept) and kept."""
-    out = measured(docs)
-    reason = F.when(F.col("base_failed"), F.lit("base"))
-    for r in ruled:
-        reason = reason.when(r.rejects, F.lit(r.name))
-    #: rand() >= 0 always holds. With it, Spark leaves a filter on kept above the counts, which it would else compute twice.
-    return out.withColumn("failed_rule", reason).withColumn("kept", F.col("failed_rule").isNull() & (F.rand(0) >= 0))
+    """docs with MEASURES, failed_rule (null if kept) and kept, in place of columns of these names."""
+
+    def reason(m: Column, t: Column) -> Column:
+        get = lambda name: t if name == "text" else m[name]
+        out = F.when(m["base_failed"], F.lit("base"))
+        for r in ruled:
+            out = out.when(r.rejects(get), F.lit(r.name))
+        return F.struct(m.alias("m"), out.alias("failed_rule"))
+
+    judged = _let(F.coalesce("text", F.lit("")), lambda t: _let(measures(t), lambda m: reason(m, t)))
+    told = docs.select(F.struct("*").alias("_row"), judged.alias("_j"))
+    made = [*MEASURES, "failed_rule", "kept"]
+    rest = [F.col("_row")[c].alias(c) for c in docs.columns if c not in made]
+    return told.select(*rest, *(F.col("_j")["m"][c].alias(c) for c in MEASURES), F.col("_j")["failed_rule"].alias("failed_rule"), F.col("_j")["failed_rule"].isNull().alias("kept"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
