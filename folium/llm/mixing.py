@@ -60,11 +60,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), factor: f
 
     propensity: relative, positive; a document's expected copies follow it, up to `most`.
     """
+    n = docs.count()
     sizes = staged(
         docs.select("doc_id", "source", _source_key(), F.size(words(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("key"), (F.lit(1.0) if propensity is None else propensity).cast("double").alias("propensity")),
         "mix-sizes",
+        rows=n,
     )
-    targets = small(staged(source_targets(sizes, weights, factor, most), "mix-targets"))
+    targets = small(staged(source_targets(sizes, weights, factor, most), "mix-targets", rows=0))
     rows = sizes.join(targets.drop("weight"), "sk")
     expected = F.least(F.when(F.col("pull") > 0, F.col("target") * F.col("propensity") / F.col("pull")).otherwise(0.0), F.lit(float(most)))
     u = _uniform(seed, "doc_id", "key")
@@ -76,14 +78,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), factor: f
         .withColumn("z", u * (1 - F.col("p")) / (u * (1 - F.col("p")) + (1 - u) * F.col("p")))
         .drop("propensity", "expected", "pull"),
         "mix-ranks",
+        rows=n,
     )
     need = F.max("target") - F.sum(F.col("size") * F.col("sure"))
-    state = small(staged(ranked.groupBy("sk").agg(need.alias("left")).withColumn("low", F.lit(0.0)), "mix-left"))
+    state = small(staged(ranked.groupBy("sk").agg(need.alias("left")).withColumn("low", F.lit(0.0)), "mix-left", rows=0))
     width = 1.0
     for _ in range(LEVELS):
-        state = small(staged(_narrow(ranked, state, width), "mix-left"))
+        state = small(staged(_narrow(ranked, state, width), "mix-left", rows=0))
         width /= SLICES
-    return _cut(ranked, state, width).select(row_key(F.col("key")).alias("row"), "doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return _cut(ranked, state, width, n).select(row_key(F.col("key")).alias("row"), "doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def _source_key() -> Column:
@@ -108,33 +111,33 @@ def _narrow(ranked: DataFrame, state: DataFrame, width: float) -> DataFrame:
     return state.join(found, "sk", "left").select("sk", (F.col("left") - F.coalesce("m.before", F.lit(0))).alias("left"), low.alias("low"))
 
 
-def _cut(ranked: DataFrame, state: DataFrame, width: float) -> DataFrame:
+def _cut(ranked: DataFrame, state: DataFrame, width: float, n: int) -> DataFrame:
     rows = ranked.join(state, "sk")
     #: Few rows: what one of SLICES ** LEVELS slices of a source holds.
     so_far = F.sum("size").over(Window.partitionBy("sk").orderBy("z", "doc_id", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edge = rows.filter(_inside(width)).withColumn("copies", F.col("sure") + (so_far <= F.col("left")).cast("bigint"))
     rest = rows.filter(~_inside(width)).withColumn("copies", F.col("sure") + ((F.col("p") > 0) & (F.col("z") < F.col("low"))).cast("bigint"))
-    return _fill(staged(rest.unionByName(edge).drop("left", "low"), "mix-cut"))
+    return _fill(staged(rest.unionByName(edge).drop("left", "low"), "mix-cut", rows=n))
 
 
 def _fill(rows: DataFrame) -> DataFrame:
     """Add to each source, FILLS times, the largest untaken document that fits in what is left of its target."""
     free = rows.filter((F.col("copies") == F.col("sure")) & (F.col("p") > 0) & (F.col("size") > 0)).select("sk", "doc_id", "key", "size", "z")
-    left = small(staged(rows.groupBy("sk").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("left")), "mix-gap"))
+    left = small(staged(rows.groupBy("sk").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("left")), "mix-gap", rows=0))
     picked: list[DataFrame] = []
     for _ in range(FILLS):
         near = free.join(left, "sk").filter(F.col("size") <= F.col("left"))
         for one in picked:
             near = near.join(one, _same(near, one), "left_anti")
         best = near.groupBy("sk").agg(F.max(F.struct("size", (-F.col("z")).alias("z"), "doc_id", "key")).alias("b"))
-        best = staged(best.select("sk", "b.size", "b.doc_id", "b.key"), "mix-fill")
+        best = staged(best.select("sk", "b.size", "b.doc_id", "b.key"), "mix-fill", rows=0)
         picked.append(small(best))
         gap = F.col("left") - F.coalesce("size", F.lit(0))
-        left = small(staged(left.join(best.select("sk", "size"), "sk", "left").select("sk", gap.alias("left")), "mix-gap"))
+        left = small(staged(left.join(best.select("sk", "size"), "sk", "left").select("sk", gap.alias("left")), "mix-gap", rows=0))
     picks = picked[0]
     for one in picked[1:]:
         picks = picks.unionByName(one)
-    picks = small(staged(picks.drop("size").withColumn("hit", F.lit(True)), "mix-picks"))
+    picks = small(staged(picks.drop("size").withColumn("hit", F.lit(True)), "mix-picks", rows=0))
     hit = rows.alias("d").join(picks.alias("c"), _same(rows.alias("d"), picks.alias("c"), "d.", "c."), "left").select("d.*", "hit")
     #: Of rows of one id and text, only one is added.
     twin = F.row_number().over(Window.partitionBy("sk", "doc_id", "key").orderBy("copies"))

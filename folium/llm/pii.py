@@ -113,17 +113,18 @@ def _name(norm: Column, stream: Column) -> Column:
 
 def entities(mentions: DataFrame, key: str) -> DataFrame:
     """kind, norm, sub: distinct entities and their surrogates, no two alike and none that is an entity."""
-    known = staged(mentions.select("kind", "norm").distinct(), "pii-known")
-    drawn = staged(_draw(known.withColumn("tries", F.lit(0)), key), "pii-drawn")
+    n = mentions.count()
+    known = staged(mentions.select("kind", "norm").distinct(), "pii-known", rows=n)
+    drawn = staged(_draw(known.withColumn("tries", F.lit(0)), key), "pii-drawn", rows=n)
     real = known.select("kind", F.col("norm").alias("sub"))
     while True:
         first = F.row_number().over(Window.partitionBy("kind", "sub").orderBy("tries", "norm"))
         clash = drawn.withColumn("rank", first).join(real.withColumn("real", F.lit(True)), ["kind", "sub"], "left")
-        again = staged(clash.filter("rank > 1 or real").select("kind", "norm", "tries"), "pii-again")
+        again = staged(clash.filter("rank > 1 or real").select("kind", "norm", "tries"), "pii-again", rows=n)
         if again.isEmpty():
             return drawn
         kept = drawn.join(again.select("kind", "norm"), ["kind", "norm"], "left_anti")
-        drawn = staged(kept.unionByName(_draw(again.withColumn("tries", F.col("tries") + 1), key)), "pii-drawn")
+        drawn = staged(kept.unionByName(_draw(again.withColumn("tries", F.col("tries") + 1), key)), "pii-drawn", rows=n)
 
 
 def _draw(rows: DataFrame, key: str) -> DataFrame:
