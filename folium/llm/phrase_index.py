@@ -75,7 +75,7 @@ def _shard(b: pa.RecordBatch, vocabulary: np.ndarray | None, sieve: np.ndarray |
     order = np.argsort(kept, kind="stable")
     kept, at = kept[order], at[order]
     edge = np.flatnonzero(np.concatenate([[True], kept[1:] != kept[:-1]])) if len(kept) else np.zeros(0, np.int64)
-    ends = np.append(edge[1:], len(kept))
+    ends = np.append(edge[1:], len(kept))[: len(edge)]
     ids = b.column(0)
     none = np.asarray(ids.is_null())
     head = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), none.astype(np.uint8).tobytes(), np.diff(w.first).astype("<i4").tobytes()]

@@ -144,9 +144,9 @@ def spelled(kind: Column, mention: Column, sub: Column) -> Column:
 
 
 def replace_entities(docs: DataFrame, key: str = "folium") -> DataFrame:
-    """docs with text replaced, and n_entities and kinds (sorted, distinct)."""
+    """docs with text replaced, and n_entities and kinds (sorted, distinct) in place of columns of these names."""
     cols = [c for c in docs.columns if c not in ("n_entities", "kinds")]
-    marked = docs.withColumns({"_hit": F.coalesce(F.col("text").rlike(HINT), F.lit(False)) & F.coalesce(F.col("text").rlike(ANY), F.lit(False)), "_a": F.xxhash64("text"), "_b": F.hash("text")})
+    marked = docs.select(*cols).withColumns({"_hit": F.coalesce(F.col("text").rlike(HINT), F.lit(False)) & F.coalesce(F.col("text").rlike(ANY), F.lit(False)), "_a": F.xxhash64("text"), "_b": F.hash("text")})
     hits = staged(marked.filter("_hit").select("_a", "_b", "text").dropDuplicates(["_a", "_b"]).select("_a", "_b", F.posexplode(find(F.col("text"))).alias("at", "mention")), "pii-mentions")
     told = hits.withColumn("kind", kind_of(F.col("mention"))).withColumn("norm", normal(F.col("kind"), F.col("mention")))
     table = small(entities(told, key).select("kind", "norm", "sub"))
