@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from folium.llm import mixing, ngram_join, phrase_index, pii, quality
 from folium.llm.common import small, staged, table
 
+#: Words of a shingle, and percent of shingles that near duplicates share.
+SHINGLE_WORDS, SIMILARITY = 5, 80
 #: Documents whose removal is sent to every task; more are shuffled.
 REMOVED = 1_000_000
 
@@ -22,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents, the one with the smallest doc_id stays; of rows of one doc_id, one. Rows without doc_id stay."""
-    classes = staged(ngram_join.jaccard_join(docs).groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n")), "pipeline-classes")
+    classes = staged(ngram_join.jaccard_join(docs, SHINGLE_WORDS, SIMILARITY).groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n")), "pipeline-classes")
     gone = small(classes.filter("doc_id <> first").select("doc_id"), REMOVED)
     again = small(classes.filter("n > 1 and doc_id is not null").select("doc_id"), REMOVED)
     kept = docs.join(gone, "doc_id", "left_anti")
