@@ -257,22 +257,17 @@ def _drop(length: int):
                 n, removed, spans, digest = [], [], [], []
                 for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     raw = text.encode()
-                    kept, at, gone = hashlib.sha256(), 0, 0
-                    edge = -1
+                    kept, at, gone, runs = hashlib.sha256(), 0, 0, 0
                     for s in sorted(found, key=lambda s: s["a"]):
                         a, z = s["a"], s["b"] + length
-                        if a > edge:
-                            gone += 1
-                            kept.update(raw[at:a])
-                        at = edge = max(edge, z)
+                        runs += a > at or not runs
+                        kept.update(raw[at:a])
+                        gone += max(0, z - max(a, at))
+                        at = max(at, z)
                     kept.update(raw[at:])
-                    cover, edge = 0, 0
-                    for s in sorted(found, key=lambda s: s["a"]):
-                        cover += max(0, s["b"] + length - max(edge, s["a"]))
-                        edge = max(edge, s["b"] + length)
                     n.append(len(raw))
-                    removed.append(cover)
-                    spans.append(gone)
+                    removed.append(gone)
+                    spans.append(runs)
                     digest.append(kept.hexdigest())
                 longs = [pa.array(x, pa.int64()) for x in (n, removed, spans)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *longs, pa.array(digest)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
