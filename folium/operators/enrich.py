@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folium.sources.tables import settled
+
 Answer = Callable[[list[tuple[str, str]]], dict[str, str]]
 
 
@@ -34,7 +36,7 @@ def enrich(rows: DataFrame, answer: Answer, accept: Callable[[Column, Column], C
     A batch that raises is halved for the next round. Answers that are missing or not accepted are asked again once, alone;
     unknown ids in an answer are ignored. save: writes a round's answers and reads them back, so that none is asked twice.
     """
-    keep = save or (lambda df: df.persist())
+    keep = save or settled
     todo = rows.select("id", "text", F.col(batch).cast("string").alias("b"), F.lit(0).alias("tries"))
     done = None
     for turn in range(rounds):

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from folium.sources.tables import settled
+
 #: Texts count as one with an edit from this similarity on, if no longer than a tenth more and at least this long.
 ALIKE, LENGTHS, LEAST = 0.94, 0.9, 40
 MARGIN = 0.025
@@ -104,7 +106,7 @@ def link(old: DataFrame, new: DataFrame) -> DataFrame:
     for name, step in steps.items():
         a = old if found is None else _without(old, found, "old_id")
         b = new if found is None else _without(new, found, "new_id")
-        some = step(a, b).withColumn("step", F.lit(name))
+        some = settled(step(a, b).withColumn("step", F.lit(name)))
         found = some if found is None else found.unionByName(some)
     return found
 

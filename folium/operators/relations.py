@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folium.sources.tables import settled
+
 
 def latest(rows: DataFrame, key: str, *by: str) -> DataFrame:
     """The last row of each key. Combines before the shuffle, unlike a window."""
@@ -80,7 +82,7 @@ def descendants(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame
     level = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth"))
     parts, now = [level], level
     for depth in range(1, most + 1):
-        now = _next(now, edges, depth)
+        now = settled(_next(now, edges, depth))
         if now.isEmpty():
             break
         parts.append(now)

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folium.functions import text as T
+from folium.operators.changes import allowed, supersede, table_html, with_answers
+from folium.operators.linkage import link
 from folium.operators.relations import cascade_delete, descendants, merged_status, upsert
-from folium.sources.tables import blocks, table
+from folium.sources.tables import blocks, settled, table
 
 from .registry import BLOCKS, registry
 
@@ -113,7 +115,7 @@ def note_tree_order(spark, sf_dir):
     edges = docs.filter("doc_id > 3").select(F.floor(F.col("doc_id") / 4).alias("parent"), "doc_id")
     out = now
     while not now.isEmpty():
-        now = now.select(F.col("doc_id").alias("parent"), "path").join(edges, "parent").select("doc_id", F.concat("path", F.array("doc_id")).alias("path"))
+        now = settled(now.select(F.col("doc_id").alias("parent"), "path").join(edges, "parent").select("doc_id", F.concat("path", F.array("doc_id")).alias("path")))
         out = out.unionByName(now)
     return out.select("doc_id", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 
@@ -137,3 +139,60 @@ def ask_context(spark, sf_dir):
     near = b.filter(F.col("ord").between(F.col("at") - 2, F.col("at") + 2) | ((F.col("type") == "sec") & (F.col("ord") < F.col("at"))))
     g = near.groupBy("doc_id", "at").agg(F.sort_array(F.collect_list(F.struct("ord", "id"))).alias("s"), F.sum(F.length("text")).cast("bigint").alias("chars"))
     return g.select("doc_id", "at", F.array_join(F.transform("s", lambda x: x["id"]), " ").alias("context"), "chars")
+
+
+@query(
+    "supersede_apply",
+    f"""WITH {BLOCKS}, b AS (SELECT *, CASE WHEN ord % 5 = 0 AND ord % 10 <> 0 AND upper(text) <> text THEN 'r-' || id END AS nid FROM blocks),
+    u AS (SELECT doc_id, ord, 0 AS late, id, text, nid AS superseded_by FROM b UNION ALL SELECT doc_id, ord, 1, nid, upper(text), NULL FROM b WHERE nid IS NOT NULL)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, late) - 1 AS position, id, text, superseded_by FROM u""",
+)
+def supersede_apply(spark, sf_dir):
+    """Every fifth block of a new extraction: half of them are as before, the others have changed."""
+    b = blocks(table(spark, sf_dir, "documents"))
+    changed = b.filter("ord % 5 = 0").select("doc_id", "id", F.when(F.col("ord") % 10 == 0, F.col("text")).otherwise(F.upper("text")).alias("text"))
+    return supersede(b.select("doc_id", "ord", "id", "text"), changed)
+
+
+@query(
+    "batch_results",
+    "SELECT q.conv_id, q.turn, a.text AS answer, CASE WHEN a.turn % 3 = 0 THEN 'late' END AS error, CASE WHEN a.turn % 3 = 0 THEN 'failed' WHEN a.text IS NOT NULL THEN 'answered' ELSE 'retry' END AS status FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'",
+)
+def batch_results(spark, sf_dir):
+    """Questions with the answers that came back; those without are asked again."""
+    c = table(spark, sf_dir, "conversations")
+    asked = c.filter("role = 'user'").select("conv_id", "turn")
+    came = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"), F.when(F.col("turn") % 3 == 0, "late").alias("error"))
+    return with_answers(asked, came, ["conv_id", "turn"]).select("conv_id", "turn", "answer", "error", "status")
+
+
+@query(
+    "status_gates",
+    "SELECT old, new, count(*) AS n, (old = 'view' AND new IN ('click', 'purchase')) OR (old = 'click' AND new IN ('purchase', 'error')) AS allowed FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old, event_type AS new FROM events) WHERE old IS NOT NULL GROUP BY old, new",
+)
+def status_gates(spark, sf_dir):
+    """Steps between states, and whether the transition table has them."""
+    e = table(spark, sf_dir, "events").select(F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("old"), F.col("event_type").alias("new"))
+    g = e.filter("old is not null").groupBy("old", "new").agg(F.count("*").alias("n"))
+    return g.withColumn("allowed", allowed(F.col("old"), F.col("new"), {"view": ["click", "purchase"], "click": ["purchase", "error"]}))
+
+
+@query(
+    "table_html",
+    "SELECT o_custkey, '<table>' || string_agg('<tr><td>' || o_orderkey || '</td><td>' || replace(o_orderpriority, '>', '&gt;') || '</td></tr>', '' ORDER BY o_orderkey) || '</table>' AS html FROM orders GROUP BY o_custkey",
+)
+def orders_html(spark, sf_dir):
+    """Each customer's orders as a table."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.explode(F.array(F.struct(F.lit(0).alias("c"), F.col("o_orderkey").cast("string").alias("text")), F.struct(F.lit(1).alias("c"), F.col("o_orderpriority").alias("text")))).alias("x"))
+    return table_html(o.select("o_custkey", "o_orderkey", "x.*"), "o_custkey", "o_orderkey", "c", F.col("text"), F.lit(False))
+
+
+@query("block_links")
+def block_links(spark, sf_dir):
+    """Each document's blocks linked with a later extraction in which every seventh is missing and every ninth moved a page."""
+    b = blocks(table(spark, sf_dir, "documents"))
+    page = (F.floor(F.col("ord") / 12) + 1).cast("int")
+    rect = {c: F.lit(None).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")}
+    cols = lambda at: [F.col("ord").alias("id"), "ord", "type", F.lit("1").alias("section"), at.alias("page"), F.lit(None).cast("string").alias("n"), F.lit(None).cast("string").alias("anchor"), "text", F.sha2("text", 256).alias("sig"), *rect.values()]
+    new = b.filter("(ord + doc_id) % 7 <> 0")
+    return link(b.select("doc_id", *cols(page)), new.select("doc_id", *cols(page + (F.col("ord") % 9 == 0).cast("int"))))
