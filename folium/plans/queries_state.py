@@ -143,14 +143,14 @@ def ask_context(spark, sf_dir):
 
 @query(
     "supersede_apply",
-    f"""WITH {BLOCKS}, b AS (SELECT *, CASE WHEN ord % 5 = 0 AND ord % 10 <> 0 AND upper(text) <> text THEN 'r-' || id END AS nid FROM blocks),
-    u AS (SELECT doc_id, ord, 0 AS late, id, text, nid AS superseded_by FROM b UNION ALL SELECT doc_id, ord, 1, nid, upper(text), NULL FROM b WHERE nid IS NOT NULL)
+    f"""WITH {BLOCKS}, b AS (SELECT *, CASE WHEN ord % 5 = 0 AND ord % 10 <> 0 THEN 'r-' || id END AS nid FROM blocks),
+    u AS (SELECT doc_id, ord, 0 AS late, id, text, nid AS superseded_by FROM b UNION ALL SELECT doc_id, ord, 1, nid, text || '!', NULL FROM b WHERE nid IS NOT NULL)
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, late) - 1 AS position, id, text, superseded_by FROM u""",
 )
 def supersede_apply(spark, sf_dir):
     """Every fifth block of a new extraction: half of them are as before, the others have changed."""
     b = blocks(table(spark, sf_dir, "documents"))
-    changed = b.filter("ord % 5 = 0").select("doc_id", "id", F.when(F.col("ord") % 10 == 0, F.col("text")).otherwise(F.upper("text")).alias("text"))
+    changed = b.filter("ord % 5 = 0").select("doc_id", "id", F.when(F.col("ord") % 10 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!"))).alias("text"))
     return supersede(b.select("doc_id", "ord", "id", "text"), changed)
 
 
