@@ -37,7 +37,7 @@ def term_hits(blocks: DataFrame, terms: DataFrame) -> DataFrame:
 def locate(passages: DataFrame, texts: DataFrame, anchor: int = 4) -> DataFrame:
     """item_id, doc_id, n (texts that contain it): null doc_id unless it is exactly one.
 
-    passages: item_id, text; texts: doc_id, text; both normalised. Candidates share the passage's first `anchor` words
+    passages: item_id, text, of six words or more (shorter ones prove nothing); texts: doc_id, text; both normalised. Candidates share the passage's first `anchor` words
     (an equi join); containment is then tested.
     """
     grams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - anchor + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, anchor), " ")))

@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def usage_by_hour(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """hour, event_type, n, total; rows later than the watermark are left out."""
-    g = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    g = timed.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
 
