@@ -4,8 +4,8 @@ Counts of all training words come from one aggregation over shards of documents,
 to the shards that hold the words. The words most frequent are modelled one by one in classes by
 frequency; the others are modelled by the class of their ending, and within it by their counts.
 The output is thus a class, then a word in it. Training is truncated backpropagation on runs
-of windows spread over every training document; each partition trains from the same parameters, and
-the results are averaged, ROUNDS times. Scoring carries the state through all windows of a document.
+of windows, each run of every training document in one of ROUNDS rounds; in a round, each partition trains
+from the same parameters, and the results are averaged. Scoring carries the state through all windows of a document.
 
 A word's identity is a 64-bit hash of its bytes.
 
@@ -32,8 +32,8 @@ SHARD_BYTES = 12 << 20
 STATE = 16
 LISTED, CLASSES, TAILS = 1024, 32, 32
 PER = LISTED // CLASSES
-#: Tokens of a window; windows of a training run; share of the runs used in each round; sequences in a step.
-WINDOW, RUN, SHARE, ROUNDS, BATCH = 32, 2, 0.08, 3, 64
+#: Tokens of a window; windows of a training run; rounds that the runs are dealt to; sequences in a step.
+WINDOW, RUN, ROUNDS, BATCH = 32, 2, 3, 64
 RATE = 0.06
 
 _SHARD = "shard string, ids binary, nulls binary, held binary, sizes binary, words binary, tails binary, tokens binary, counts binary"
@@ -217,13 +217,13 @@ def _train(listed: np.ndarray, start: np.ndarray, turn: int):
 
 
 def _train_shard(m: Model, speed: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, held: np.ndarray, turn: int) -> int:
-    """One pass over the runs drawn for this turn, of the documents that are not held out."""
+    """One pass over the runs dealt to this turn, of the documents that are not held out; the turns together have each run once."""
     span = WINDOW * RUN
     first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     per = np.where(held == 0, -(-(sizes + 1) // span), 0)
     doc = np.repeat(np.arange(len(sizes)), per)
     at = (np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per)) * span
-    drawn = np.random.default_rng(100 + turn).random(len(doc)) < SHARE
+    drawn = np.random.default_rng(100).permutation(len(doc)) % ROUNDS == turn
     doc, at = doc[drawn], at[drawn]
     order = np.random.default_rng(200 + turn).permutation(len(doc))
     total = 0

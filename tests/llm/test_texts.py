@@ -214,3 +214,20 @@ def test_model_is_a_distribution():
     m = gru_lm.Model.start(np.arange(1, gru_lm.LISTED + 1.0), np.ones(gru_lm.TAILS))
     h = np.zeros((gru_lm.LISTED + gru_lm.TAILS, gru_lm.STATE), np.float32)
     assert np.exp(m.log_probs(h, np.arange(len(h)))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_rounds_train_on_each_run_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes, held = np.array([0, 5, 63, 64, 65, 700, 31, 1000], "<i4"), np.array([0, 0, 0, 0, 0, 0, 1, 1], np.uint8)
+    tokens = rng.integers(1, gru_lm.LISTED, sizes.sum())
+    seen = Counter()
+
+    def gradient(m, given, target, mask, h):
+        seen.update(target[mask].tolist())
+        return np.zeros_like(m.flat), h
+
+    monkeypatch.setattr(gru_lm, "gradient", gradient)
+    m = gru_lm.Model(np.zeros(gru_lm.Model.size(), np.float32))
+    n = sum(gru_lm._train_shard(m, np.ones_like(m.flat), tokens, sizes, held, turn) for turn in range(gru_lm.ROUNDS))
+    assert n == (sizes[held == 0] + 1).sum()
+    assert seen == Counter([*tokens[: sizes[held == 0].sum()].tolist(), *[0] * (held == 0).sum()])
