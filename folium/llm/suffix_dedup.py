@@ -13,8 +13,9 @@ Cases: null and empty texts have no bytes; texts shorter than `length` are kept
 rows are copies of each other and lose what they share; rows of one doc_id are told apart by
 their text, a null doc_id likewise; an empty table gives an empty result.
 
-The distinct strings around one hash are compared in one task: edits around one passage make
-more of them, copies do not.
+The distinct strings around one hash are compared in one task if they have at most SORT_BYTES bytes. Edits
+around one passage make more of them; then their windows are counted by a digest of their whole content instead,
+dealt by that digest, so that no task holds the strings of a hash.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from .common import small, staged
 from .textblock import flat, mix, pieces
 
 GRAM = 32
-#: Bytes of strings that are sorted at once, unless those of one hash are more.
+#: Bytes of strings that are sorted at once; of a hash with more, windows are counted by digest.
 SORT_BYTES = 2 << 20
+#: Rows of a batch of window digests, and starts of windows gathered in one row.
+DIGESTS, STARTS = 20_000, 4096
 KEYS = 1_000_000
 
 _R1, _R2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -217,6 +220,40 @@ def repeated(strings: list[bytes], counts: list[int], length: int) -> list[np.nd
     return [hit[a : a + k] for a, k in zip(first[:-1], counts, strict=True)]
 
 
+def _digests(length: int):
+    """A row for each window of the strings: hash, d1, d2, at, and 128 bits of its content."""
+
+    def out(rows):
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["hash", "d1", "d2", "at", "digest"])
+
+    def run(batches):
+        rows = []
+        for b in batches:
+            for r in b.to_pylist():
+                raw = r["bytes"]
+                for k in range(r["windows"]):
+                    rows.append((r["hash"], r["d1"], r["d2"], k, hashlib.blake2b(raw[k : k + length], digest_size=16).digest()))
+                    if len(rows) == DIGESTS:
+                        yield out(rows)
+                        rows = []
+        if rows:
+            yield out(rows)
+
+    return run
+
+
+def _counted(cut: DataFrame, length: int) -> DataFrame:
+    """hash, d1, d2, spans as of _sorted_strings (a string may have several rows), for strings of any number around one hash."""
+    windows = cut.select("hash", "d1", "d2", "windows", "bytes").mapInArrow(_digests(length), "hash bigint, d1 bigint, d2 bigint, at int, digest binary")
+    twice = staged(windows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "dedup-digests")
+    starts = windows.join(small(twice, KEYS), "digest", "left_semi").groupBy("hash", "d1", "d2", F.floor(F.col("at") / STARTS)).agg(F.sort_array(F.collect_list("at")).alias("p"))
+    edge = lambda step: F.filter("p", lambda x, i: F.coalesce(F.get("p", i + step) != x + step, F.lit(True)))
+    spans = F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    whole = cut.filter("many").select("hash", "d1", "d2", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))).alias("spans"))
+    return starts.select("hash", "d1", "d2", spans.alias("spans")).unionByName(whole)
+
+
 def _spans(hit: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
     return [{"a": int(a), "b": int(b) - 1} for a, b in zip(edge[::2], edge[1::2], strict=True)]
@@ -285,12 +322,19 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     runs = staged(keyed.mapInArrow(_runs(length), "doc bigint, key bigint, hash bigint, d1 bigint, d2 bigint, start int, more int, self boolean"), "dedup-runs")
     strings = runs.groupBy("hash", "d1", "d2").agg(F.count("*").alias("k"), F.max("self").alias("self"), F.min(F.struct("doc", "key", "start", "more")).alias("at"))
     strings = staged(strings, "dedup-strings")
-    doubtful = strings.groupBy("hash").agg(F.count("*").alias("m"), F.max("self").alias("s")).filter("m > 1 or s").select("hash")
-    compared = strings.join(doubtful, "hash").select("at.doc", "at.key", F.struct("hash", "d1", "d2", "at.start", "at.more", (F.col("k") > 1).alias("many")).alias("r"))
-    listed = staged(compared.groupBy("doc", "key").agg(F.collect_list("r").alias("runs")), "dedup-listed")
-    texts = keyed.join(small(listed.select("doc", "key"), KEYS), ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"])
-    cut = texts.join(listed, ["doc", "key"]).select("text", "runs").mapInArrow(_cut(length), "hash bigint, d1 bigint, d2 bigint, windows int, many boolean, bytes binary")
-    found = cut.repartition("hash").sortWithinPartitions("hash").mapInArrow(_sorted_strings(length), "hash bigint, d1 bigint, d2 bigint, spans array<struct<a:int,b:int>>")
+    size = F.sum(F.col("at.more").cast("bigint") + length)
+    doubtful = strings.groupBy("hash").agg(F.count("*").alias("m"), F.max("self").alias("s"), (size > SORT_BYTES).alias("large")).filter("m > 1 or s").select("hash", "large")
+    compared = strings.join(doubtful, "hash").select("at.doc", "at.key", "large", F.struct("hash", "d1", "d2", "at.start", "at.more", (F.col("k") > 1).alias("many")).alias("r"))
+    listed = staged(compared.groupBy("large", "doc", "key").agg(F.collect_list("r").alias("runs")), "dedup-listed")
+
+    def cut(runs: DataFrame) -> DataFrame:
+        texts = keyed.join(small(runs.select("doc", "key"), KEYS), ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"])
+        return texts.join(runs, ["doc", "key"]).select("text", "runs").mapInArrow(_cut(length), "hash bigint, d1 bigint, d2 bigint, windows int, many boolean, bytes binary")
+
+    found = cut(listed.filter("not large")).repartition("hash").sortWithinPartitions("hash").mapInArrow(_sorted_strings(length), "hash bigint, d1 bigint, d2 bigint, spans array<struct<a:int,b:int>>")
+    large = listed.filter("large")
+    if not large.isEmpty():
+        found = found.unionByName(_counted(staged(cut(large), "dedup-large"), length))
     whole = strings.filter("k > 1").join(doubtful, "hash", "left_anti").select("hash", "d1", "d2", F.array(F.struct(F.lit(0).alias("a"), F.col("at.more").alias("b"))).alias("spans"))
     hits = staged(whole.unionByName(found), "dedup-hits")
     placed = runs.join(hits, ["hash", "d1", "d2"]).select("doc", "key", "start", F.explode("spans").alias("s"))

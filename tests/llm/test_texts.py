@@ -156,6 +156,34 @@ def test_removal_matches_brute_force(spark):
     assert suffix_dedup.remove_repeats(frame.filter("false")).count() == 0
 
 
+def test_strings_around_one_hash_are_bounded(spark, monkeypatch):
+    rnd = random.Random(6)
+    letters = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
+    passage, bound = letters(450), 20_000
+    docs = [(i, letters(300) + passage[: rnd.choice([350, 390, 450])] + letters(300)) for i in range(60)]
+    docs += [(60, docs[0][1]), (61, "ab" * 12_000), (62, "xy" + "ab" * 300), (63, letters(900)), (None, docs[1][1])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    sort = suffix_dedup._sorted_strings
+
+    def watched(length):
+        inner = sort(length)
+
+        def run(batches):
+            kept = list(batches)
+            size = Counter()
+            for b in kept:
+                for r in b.to_pylist():
+                    size[r["hash"]] += len(r["bytes"])
+            assert max(size.values(), default=0) <= bound
+            yield from inner(iter(kept))
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_strings", watched)
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", bound)
+    assert sorted((tuple(r) for r in suffix_dedup.remove_repeats(frame).collect()), key=str) == brute_removal(docs, 400)
+
+
 def test_suffix_order_is_lexicographic():
     rnd = random.Random(9)
     for _ in range(30):
