@@ -11,7 +11,7 @@ Terms are told apart by 64-bit hashes. The vocabulary to index can be that of th
 if it has at most VOCABULARY terms; the other terms of the documents are then not stored.
 
 Cases: null and empty texts have no words and no hits; repeated rows are looked up each;
-a null doc_id stays null; items without words match nothing, items with a null item_id mark
+a null doc_id stays null; repeated items are searched for once; items without words match nothing, items with a null item_id mark
 words but are not listed; empty tables give empty results; other columns are ignored.
 """
 
@@ -127,7 +127,7 @@ def search(index: DataFrame, wanted: DataFrame, slack: int | None = None, docume
 
     documents: instead, a row for each document of the index: doc_id, n_words, n_hit, items.
     """
-    spelled = wanted.withColumn("id", F.struct("item_id", "window", "terms")).select("id", F.posexplode("terms").alias("at", "term"))
+    spelled = wanted.select(F.struct("item_id", "window", "terms").alias("id"), "terms").distinct().select("id", F.posexplode("terms").alias("at", "term"))
     known = index.filter("term is not null").groupBy("term").agg(F.sum("n").alias("f"))
     steps = spelled.join(known, "term", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "at", "term"))).alias("steps"))
     asked = steps.filter(F.col("steps")[0]["f"] > 0).select("id.item_id", "id.window", F.transform("steps", lambda s: s["term"]).alias("terms"), F.transform("steps", lambda s: s["at"]).alias("offsets"))

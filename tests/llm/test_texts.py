@@ -111,6 +111,26 @@ def test_decontamination_on_awkward_rows(spark, awkward, nothing):
     assert phrase_index.contamination(awkward, items.filter("false")).filter("n_hit > 0").count() == 0
 
 
+def test_decontamination_with_repeated_items(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    items = [(1, passage), (1, passage), (2, "short one"), (None, "no id here"), (None, "no id here")]
+    docs = [(0, f"before {passage}"), (1, f"{passage} " + "after " * 30), (2, f"a short one and no id here {passage[:-4]}"), (3, "no id"), (4, None)]
+    want = []
+    for i, t in docs:
+        w, marked, named = split(t), set(), set()
+        for item, x in items:
+            x = split(x)
+            for k in range(max(len(x) - 9, 1)):
+                part = x[k : k + 10]
+                for at in range(len(w) - len(part) + 1):
+                    if w[at : at + len(part)] == part:
+                        marked.update(range(at, at + len(part)))
+                        named |= {item} - {None}
+        want.append((i, len(w), len(marked), sorted(named)))
+    found = phrase_index.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in found.collect()) == want
+
+
 def test_phrases_and_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "a x b c y d"), (3, "d c b a"), (4, "a b c"), (5, "d")], "doc_id long, text string")
     wanted = phrase_index.windows(spark.createDataFrame([(7, "a b c d")], "item_id long, text string"), 10)
