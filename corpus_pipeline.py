@@ -1,5 +1,6 @@
 """The pipeline over the documents: quality, near duplicates, decontamination, personal data, mixture.
 
+Rows are dropped one by one, by a number that each stage gives them: rows of one doc_id, or without one, do not share a fate.
 Each stage keeps all columns; the last adds copies, taken and target, in place of columns of these names.
 """
 
@@ -22,20 +23,35 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.judge(docs.select(F.struct("*").alias("_row"), "text")).filter("kept").select("_row.*")
 
 
+def _numbered(docs: DataFrame, tag: str) -> DataFrame:
+    """_number (of its own for each row), _row."""
+    return staged(docs.select(F.monotonically_increasing_id().alias("_number"), F.struct("*").alias("_row")), tag)
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_number").alias("doc_id"), F.col("_row.text").alias("text"))
+
+
+def _without(rows: DataFrame, numbers: DataFrame, tag: str) -> DataFrame:
+    return rows.join(small(staged(numbers, tag), REMOVED), "_number", "left_anti").select("_row.*")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents, the one with the smallest doc_id stays; of rows of one doc_id, one. Rows without doc_id stay."""
-    classes = staged(ngram_join.jaccard_join(docs, SHINGLE_WORDS, SIMILARITY).groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n")), "pipeline-classes")
-    gone = small(classes.filter("doc_id <> first").select("doc_id"), REMOVED)
-    again = small(classes.filter("n > 1 and doc_id is not null").select("doc_id"), REMOVED)
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twins = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(twins).select(docs.columns)
+    """Of each class of linked rows, the one with the smallest doc_id stays, one without doc_id only if all are. Rows without words stay."""
+    rows = _numbered(docs, "pipeline-numbered")
+    found = ngram_join.jaccard_join(_texts(rows), SHINGLE_WORDS, SIMILARITY).select(F.col("doc_id").alias("_number"), F.col("component_id").alias("class"))
+    order = F.struct(F.col("_row.doc_id").isNull().alias("none"), F.col("_row.doc_id").alias("id"), F.xxhash64("_row.text").alias("key"), "_number")
+    classes = staged(found.join(rows.select("_number", order.alias("order")), "_number"), "pipeline-classes")
+    first = classes.groupBy("class").agg(F.min("order").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = classes.join(first, "class").filter("_number <> first._number").select("_number")
+    return _without(rows, gone, "pipeline-gone")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go. Rows of one doc_id share its fate."""
-    found = phrase_index.contamination(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(small(staged(found, "pipeline-hits"), REMOVED), "doc_id", "left_anti").select(docs.columns)
+    """Rows in which a window of a benchmark item occurs go."""
+    rows = _numbered(docs, "pipeline-numbered")
+    found = phrase_index.contamination(_texts(rows), table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("_number"))
+    return _without(rows, found, "pipeline-hits")
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,3 +151,17 @@ def test_pipeline(spark, awkward, nothing):
             now = stage(spark, now, DATA)
             assert now.columns == frame.columns
         assert set(corpus_pipeline.STAGES[-1][1](spark, now, DATA).columns) >= {"doc_id", "text", "taken"}
+
+
+def test_pipeline_drops_rows_one_by_one(spark, tmp_path):
+    text = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    passage = " ".join(f"bench{i}" for i in range(12))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (None, text("a")), (None, text("e")), (None, text("e")), (4, text("f")), (4, text("f"))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = lambda df: sorted((tuple(r) for r in df.select("doc_id", "text").collect()), key=str)
+    want = [(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (None, text("e")), (4, text("f"))]
+    assert rows(corpus_pipeline.drop_near_duplicates(spark, frame, str(tmp_path))) == sorted(want, key=str)
+    docs = [(1, f"x {passage}"), (1, text("g")), (None, f"y {passage}"), (None, text("h"))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(corpus_pipeline.drop_contaminated(spark, frame, str(tmp_path))) == sorted([docs[1], docs[3]], key=str)
