@@ -24,7 +24,9 @@ SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
+#: A plus and 7 to 15 digits, in groups of any number and size, one of the first in brackets if any; no group after a space begins another entity. Then shorter ones, and those without a plus.
+_GAP = rf"(?: (?!{CARD}|{SSN}|{IP})|[.-])?"
+PHONE = rf"\+[0-9]{{1,3}}[ .-]?\([0-9]{{1,4}}\)(?:{_GAP}[0-9]){{4,12}}(?![0-9])|\+[0-9](?:{_GAP}[0-9]){{6,14}}(?![0-9])|\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-][0-9]{{2,4}}){{1,3}}(?![0-9])|(?<![0-9])(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[.-])[0-9]{{3}}[.-][0-9]{{4}}(?![0-9])"
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Г-н"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Г-жа"]
 GIVEN = {
@@ -41,7 +43,7 @@ NAME = rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}
 KINDS = {"email": EMAIL, "secret": SECRET, "ip": IP, "phone": PHONE, "ssn": SSN, "card": CARD, "name": NAME}
 ANY = "|".join(KINDS.values())
 #: What every entity has one of; cheap to look for.
-HINT = rf"[0-9]{{2}}|@|{_TITLES}|[0-9A-Fa-f]{{32}}|[0-9]\.[0-9]"
+HINT = rf"[0-9]{{2}}|\+[0-9]|@|{_TITLES}|[0-9A-Fa-f]{{32}}|[0-9]\.[0-9]"
 
 
 def find(text: Column) -> Column:
@@ -95,17 +97,17 @@ def surrogate(kind: Column, norm: Column, stream: Column) -> Column:
 
 
 def _name(norm: Column, stream: Column) -> Column:
-    """Gender mark and a name with as many parts; a second family name is added when draws are needed again."""
-    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), ((_drawn(stream, F.lit(k)) * 256 + _drawn(stream, F.lit(k + 1))) % len(names) + 1).cast("int"))
+    """Gender mark and a name with as many parts; a family name is added every third time that a draw is needed again, so that the names have no end."""
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), ((_drawn(stream, k) * 256 + _drawn(stream, k + 1)) % len(names) + 1).cast("int"))
     male, two = norm.startswith("m "), F.substring_index(norm, " ", -2) != norm
     out = None
     for script in ("cyrillic", "latin"):
-        first = F.when(male, pick(GIVEN[script]["m"], 0)).otherwise(pick(GIVEN[script]["f"], 0))
-        last = pick(FAMILY[script], 2)
+        first = F.when(male, pick(GIVEN[script]["m"], F.lit(0))).otherwise(pick(GIVEN[script]["f"], F.lit(0)))
+        last = pick(FAMILY[script], F.lit(2))
         if script == "cyrillic":
             last = F.when(male, last).otherwise(F.concat(last, F.lit("а")))
-        last = F.when(F.col("tries") > 2, F.concat(last, F.lit("-"), pick(FAMILY[script], 4))).otherwise(last)
-        last = F.when(F.col("tries") > 5, F.concat(last, F.lit("-"), pick(FAMILY[script], 6), F.lit("-"), pick(FAMILY[script], 8))).otherwise(last)
+        more = F.transform(F.sequence(F.lit(1), F.floor(F.col("tries") / 3).cast("int")), lambda k: pick(FAMILY[script], 2 * k + 2))  # noqa: B023
+        last = F.when(F.col("tries") > 2, F.concat_ws("-", last, more)).otherwise(last)
         one = F.concat(F.substring(norm, 1, 2), F.lower(F.when(two, F.concat(first, F.lit(" "), last)).otherwise(last)))
         out = one if out is None else F.when(norm.rlike(r"\p{IsCyrillic}"), out).otherwise(one)
     return out
@@ -128,7 +130,7 @@ def entities(mentions: DataFrame, key: str) -> DataFrame:
 
 
 def _draw(rows: DataFrame, key: str) -> DataFrame:
-    stream = _stream(key, F.col("kind"), F.col("norm"), F.col("tries"), F.length("norm") + 16)
+    stream = _stream(key, F.col("kind"), F.col("norm"), F.col("tries"), F.length("norm") + F.col("tries") + 16)
     return rows.withColumn("_stream", stream).withColumn("sub", surrogate(F.col("kind"), F.col("norm"), F.col("_stream"))).drop("_stream")
 
 
@@ -139,7 +141,7 @@ def spelled(kind: Column, mention: Column, sub: Column) -> Column:
     number = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9+]"), F.substring(sub, before(i) + 1, F.lit(1))).otherwise(c)), "")
     cased = F.array_join(F.transform(F.split(sub, ""), lambda c, i: F.when(F.get(chars, i).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
     cased = F.when((kind == "secret") & (F.upper(mention) == mention), F.upper(sub)).when(kind == "secret", sub).otherwise(cased)
-    name = F.concat(F.regexp_extract(mention, rf"^(?:{_TITLES})\.? ", 0), F.regexp_replace(F.initcap(F.regexp_replace(F.substring(sub, 3, 200), "-", "- ")), "- ", "-"))
+    name = F.concat(F.regexp_extract(mention, rf"^(?:{_TITLES})\.? ", 0), F.regexp_replace(F.initcap(F.regexp_replace(F.substring(sub, F.lit(3), F.length(sub)), "-", "- ")), "- ", "-"))
     return F.when(kind.isin("phone", "card", "ssn"), number).when(kind == "ip", sub).when(kind == "name", name).otherwise(cased)
 
 

@@ -128,6 +128,24 @@ def test_surrogates_stay_distinct(spark):
     assert out.count() == 900 and out.select("sub").distinct().count() == 900
 
 
+def test_phone_numbers_of_other_forms(spark):
+    numbers = ["+14155550123", "+33 1 23 45 67 89", "+49 30 12 34 56 78", "+44 (0)20 7946 0958", "+1 (017) 555-7713", "+1.415.555.0123", "+2 3 4 5 6 7 8 9"]
+    texts = [f"call {n}, or 4111 1111 1111 1111" for n in numbers] + ["call +1 (017) 555-7713 4111 1111 1111 1111 now", "about +12345 more, 2 + 3 = 5"]
+    out = [r for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for n, r in zip(numbers, out, strict=False):
+        now = r["text"].removeprefix("call ").split(",")[0]
+        assert r["kinds"] == ["card", "phone"] and r["n_entities"] == 2, r
+        assert len(now) == len(n) and now != n and [c for c in now if not c.isdigit()] == [c for c in n if not c.isdigit()]
+        assert now[-4:] != n[-4:]
+    assert out[-2]["kinds"] == ["card", "phone"] and out[-2]["n_entities"] == 2
+    assert out[-1]["text"] == texts[-1]
+
+
+def test_surrogate_names_have_no_end(spark):
+    names = spark.range(6000).select(F.lit("name").alias("kind"), F.concat(F.lit("m "), F.translate(F.col("id").cast("string"), "0123456789", "абвгдежзик")).alias("norm"), F.lit(30).alias("tries"))
+    assert pii._draw(names, "k").select("sub").distinct().count() == 6000
+
+
 def test_licences(spark, nothing):
     lines = ["Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0."]
     want = ["MIT", "GPL", "CC-BY-NC", "Apache-2.0"]
