@@ -3,18 +3,19 @@
 1. Of each window of `length` bytes, the least hash of its `GRAM`-byte grams is a property of its
    content. Neighbouring windows with one least hash are a run, so equal windows lie in runs of
    one hash, and a run whose hash no other place has needs no further look.
-2. Runs that are equal as a whole are one entry with a multiplicity. The bytes of the entries
-   of each hash are brought together, and their suffixes sorted: those smaller than their
+2. The bytes of the runs of each hash are brought together, and their suffixes sorted: those smaller than their
    successors directly, the others by scanning the sorted buckets. Neighbours in the suffix
-   array with `length` bytes in common are repeats.
+   array with `length` bytes in common are repeats. Of runs that are equal as a whole, two are sorted, which
+   stand for all: what one of them repeats, each does.
 3. Repeats go back to each place of the run, and to the document, whose covered bytes are dropped.
 
 Cases: null and empty texts have no bytes; texts shorter than `length` are kept whole; equal
 rows are copies of each other and lose what they share; rows of one doc_id are told apart by
 their text, a null doc_id likewise; an empty table gives an empty result.
 
-The distinct strings around one hash are compared in one task if they have at most SORT_BYTES bytes. Edits
-around one passage make more of them; then their windows are counted by a digest of their whole content instead,
+The distinct strings around one hash are sorted in one task if they have at most SORT_BYTES bytes; a sort takes memory in
+proportion to these. Edits around one passage make more of them, and so does a long periodic text; then
+their windows are counted by a digest of their whole content instead,
 dealt by that digest, so that no task holds the strings of a hash.
 """
 
@@ -33,6 +34,8 @@ from .textblock import flat, mix, pieces
 GRAM = 32
 #: Bytes of strings that are sorted at once; of a hash with more, windows are counted by digest.
 SORT_BYTES = 2 << 20
+#: Suffixes whose bytes are copied to be sorted; more are first dealt by eight bytes.
+COPIED = 1 << 16
 #: Rows of a batch of window digests, and starts of windows gathered in one row.
 DIGESTS, STARTS = 20_000, 4096
 KEYS = 1_000_000
@@ -131,6 +134,24 @@ def _cut(length: int):
     return run
 
 
+def _by_bytes(raw: bytes, eights: np.ndarray, group: np.ndarray, ends: np.ndarray, depth: int, k: int = 0) -> np.ndarray:
+    """The positions of the group, which have k bytes in common, by their next bytes up to `depth` or their string's end."""
+    if len(group) <= COPIED or k >= depth:
+        where, stops = (group + k).tolist(), np.maximum(np.minimum(group + depth, ends[group]), group + k).tolist()
+        keys = [raw[i:j] for i, j in zip(where, stops, strict=True)]
+        return group[sorted(range(len(where)), key=keys.__getitem__)]
+    rest = np.minimum(ends[group] - group - k, 8)
+    over = (8 * (8 - rest)).astype(np.uint64)
+    word = eights[group + k].astype(np.uint64) >> np.minimum(over, np.uint64(63))
+    word = np.where(rest > 0, word << np.minimum(over, np.uint64(63)), np.uint64(0))
+    order = np.lexsort((rest, word))
+    group, word, rest = group[order], word[order], rest[order]
+    cuts = np.flatnonzero((word[1:] != word[:-1]) | (rest[1:] != rest[:-1])) + 1
+    parts = np.split(group, cuts)
+    done = rest[np.concatenate([[0], cuts])] < 8
+    return np.concatenate([p if d or len(p) == 1 else _by_bytes(raw, eights, p, ends, depth, k + 8) for p, d in zip(parts, done, strict=True)])
+
+
 def suffix_order(text: np.ndarray, ends: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """The wanted positions in order of their suffixes (up to their string's end, at least to `depth` bytes).
 
@@ -159,13 +180,11 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, wanted: np.ndarray, depth:
     direct = direct[np.argsort(lead, kind="stable")]
     cuts = np.flatnonzero(np.diff(np.sort(lead))) + 1
     raw = text.tobytes()
+    eights = np.ndarray(shape=(n,), dtype=">u8", buffer=raw + bytes(8), strides=(1,))
     by_first: dict[int, list[np.ndarray]] = {}
     for group in np.split(direct, cuts):
         if len(group):
-            stops = np.minimum(group + depth, ends[group]).tolist()
-            where = group.tolist()
-            keys = [raw[i:j] for i, j in zip(where, stops, strict=True)]
-            by_first.setdefault(raw[where[0]], []).append(group[sorted(range(len(where)), key=keys.__getitem__)])
+            by_first.setdefault(raw[group[0]], []).append(_by_bytes(raw, eights, group, ends, depth))
     larger = need & ~smaller
     front: dict[int, list[np.ndarray]] = {}
 
@@ -266,23 +285,28 @@ def _sorted_strings(length: int):
     """Over a stream sorted by hash: the repeated windows of each string."""
 
     def out(rows):
-        hits = repeated([r["bytes"] for r in rows], [r["windows"] for r in rows], length)
-        spans = [[{"a": 0, "b": r["windows"] - 1}] if r["many"] else _spans(h) for r, h in zip(rows, hits, strict=True)]
+        twice = [r for r in rows for _ in range(1 + r["many"])]
+        hits = repeated([r["bytes"] for r in twice], [r["windows"] for r in twice], length)
+        first = np.concatenate([[0], np.cumsum([1 + r["many"] for r in rows])])
+        spans = [_spans(hits[i]) for i in first[:-1]]
         keep = [i for i, s in enumerate(spans) if s]
         longs = [pa.array([rows[i][c] for i in keep], pa.int64()) for c in ("hash", "d1", "d2")]
         return pa.RecordBatch.from_arrays([*longs, pa.array([spans[i] for i in keep], _SPANS)], ["hash", "d1", "d2", "spans"])
 
     def run(batches):
-        rows, size = [], 0
+        #: group: the strings of the hash at hand; rows: those of hashes before it.
+        rows, size, group, more = [], 0, [], 0
         for b in batches:
             for r in b.to_pylist():
-                if size > SORT_BYTES and r["hash"] != rows[-1]["hash"]:
+                if group and r["hash"] != group[0]["hash"]:
+                    rows, size, group, more = rows + group, size + more, [], 0
+                group.append(r)
+                more += len(r["bytes"])
+                if rows and size + more > SORT_BYTES:
                     yield out(rows)
                     rows, size = [], 0
-                rows.append(r)
-                size += len(r["bytes"])
-        if rows:
-            yield out(rows)
+        if rows + group:
+            yield out(rows + group)
 
     return run
 
@@ -323,7 +347,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     strings = runs.groupBy("hash", "d1", "d2").agg(F.count("*").alias("k"), F.max("self").alias("self"), F.min(F.struct("doc", "key", "start", "more")).alias("at"))
     strings = staged(strings, "dedup-strings")
     size = F.sum(F.col("at.more").cast("bigint") + length)
-    doubtful = strings.groupBy("hash").agg(F.count("*").alias("m"), F.max("self").alias("s"), (size > SORT_BYTES).alias("large")).filter("m > 1 or s").select("hash", "large")
+    doubtful = strings.groupBy("hash").agg(F.sum("k").alias("m"), F.max("self").alias("s"), (size > SORT_BYTES).alias("large")).filter("m > 1 or s").select("hash", "large")
     compared = strings.join(doubtful, "hash").select("at.doc", "at.key", "large", F.struct("hash", "d1", "d2", "at.start", "at.more", (F.col("k") > 1).alias("many")).alias("r"))
     listed = staged(compared.groupBy("large", "doc", "key").agg(F.collect_list("r").alias("runs")), "dedup-listed")
 
@@ -335,8 +359,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     large = listed.filter("large")
     if not large.isEmpty():
         found = found.unionByName(_counted(staged(cut(large), "dedup-large"), length))
-    whole = strings.filter("k > 1").join(doubtful, "hash", "left_anti").select("hash", "d1", "d2", F.array(F.struct(F.lit(0).alias("a"), F.col("at.more").alias("b"))).alias("spans"))
-    hits = staged(whole.unionByName(found), "dedup-hits")
+    hits = staged(found, "dedup-hits")
     placed = runs.join(hits, ["hash", "d1", "d2"]).select("doc", "key", "start", F.explode("spans").alias("s"))
     spans = placed.select("doc", "key", F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b")).alias("s"))
     return staged(spans.groupBy("doc", "key").agg(F.collect_set("s").alias("spans")), "dedup-spans")
