@@ -7,7 +7,8 @@ The output is thus a class, then a word in it. Training is truncated backpropaga
 of windows, each run of every training document in one of ROUNDS rounds; in a round, each partition trains
 from the same parameters, and the results are averaged. Scoring carries the state through all windows of a document.
 
-A word's identity is a 64-bit hash of its bytes.
+A word's identity is a 64-bit hash of its bytes. Within an ending's class, a training word has its count and one, and
+any other word the mass of one, so that nothing is learnt from held-out texts.
 
 Cases: null and empty texts are an end alone; a null doc_id is a training document; repeated rows
 count each and are scored each; without training documents, all counts are 0; an empty table
@@ -33,8 +34,8 @@ STATE = 16
 LISTED, CLASSES, TAILS = 1024, 32, 32
 PER = LISTED // CLASSES
 #: Tokens of a window; windows of a training run; rounds that the runs are dealt to; sequences in a step.
-WINDOW, RUN, ROUNDS, BATCH = 32, 2, 3, 64
-RATE = 0.06
+WINDOW, RUN, ROUNDS, BATCH = 32, 2, 3, 256
+RATE = 0.2
 
 _SHARD = "shard string, ids binary, nulls binary, held binary, sizes binary, words binary, tails binary, tokens binary, counts binary"
 
@@ -137,15 +138,21 @@ def gradient(m: Model, given: np.ndarray, target: np.ndarray, mask: np.ndarray,
     """Of the mean loss over one window (rows: sequences), and the state after it. No gradient goes to the state before it."""
     g = Model(np.zeros_like(m.flat))
     rows, steps = given.shape
-    x = m.E[given] @ m.Wx + m.b
+    whole = mask.all()
+    #: Steps first, so that each step's rows lie together.
+    ids = given.T.ravel()
+    x = (m.E @ m.Wx + m.b)[ids].reshape(steps, rows, 3 * STATE)
     kept, states = [], np.empty((steps, rows, STATE), np.float32)
     for t in range(steps):
-        new, *parts = m.step(x[:, t], h)
-        new = np.where(mask[:, t, None], new, h)
+        new, *parts = m.step(x[t], h)
+        if not whole:
+            new = np.where(mask[:, t, None], new, h)
         kept.append((h, *parts))
         states[t] = h = new
     live = mask.T.ravel()
-    hs, goal = states.reshape(-1, STATE)[live], target.T.ravel()[live]
+    hs, goal = states.reshape(-1, STATE), target.T.ravel()
+    if not whole:
+        hs, goal = hs[live], goal[live]
     scale = np.float32(1 / max(len(goal), 1))
     kind = np.where(goal < LISTED, goal // PER, goal - LISTED + CLASSES)
     d = _softmax(hs @ m.Wc + m.bc)
@@ -164,20 +171,24 @@ def gradient(m: Model, given: np.ndarray, target: np.ndarray, mask: np.ndarray,
     from_out = np.zeros((steps * rows, STATE), np.float32)
     from_out[live] = dh
     from_out = from_out.reshape(steps, rows, STATE)
-    dx = np.zeros((rows, steps, 3 * STATE), np.float32)
+    dx = np.empty((steps, rows, 3 * STATE), np.float32)
     back = np.zeros((rows, STATE), np.float32)
     for t in range(steps - 1, -1, -1):
         before, z, r, c, an = kept[t]
-        on = mask[:, t, None]
-        dn = (from_out[t] + back) * on
+        dn = from_out[t] + back
+        if not whole:
+            on = mask[:, t, None]
+            dn *= on
         dc = dn * (1 - z) * (1 - c * c)
         dz = dn * (before - c) * z * (1 - z)
         dr = dc * an * r * (1 - r)
-        dx[:, t] = np.concatenate([dz, dr, dc], 1)
-        da = np.concatenate([dz, dr, dc * r], 1)
-        g.U += before.T @ da
-        back = np.where(on, dn * z + da @ m.U.T, back)
-    flat_x, ids = dx.reshape(-1, 3 * STATE), given.ravel()
+        out = dx[t]
+        out[:, :STATE], out[:, STATE : 2 * STATE], out[:, 2 * STATE :] = dz, dr, dc * r
+        g.U += before.T @ out
+        through = dn * z + out @ m.U.T
+        back = through if whole else np.where(on, through, back)
+        out[:, 2 * STATE :] = dc
+    flat_x = dx.reshape(-1, 3 * STATE)
     g.b[:] = flat_x.sum(0)
     g.Wx[:] = m.E[ids].T @ flat_x
     de = flat_x @ m.Wx.T
@@ -276,7 +287,7 @@ def _score(listed: np.ndarray, model: np.ndarray, tail_sums: np.ndarray, total:
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _model_scores(m: Model, codes: np.ndarray, sizes: np.ndarray, first: np.ndarray, rows: int = 1024, window: int = 64) -> np.ndarray:
+def _model_scores(m: Model, codes: np.ndarray, sizes: np.ndarray, first: np.ndarray, rows: int = 256, window: int = 64) -> np.ndarray:
     """Natural logarithm for each document, windows in turn with the state carried on; documents of like size together."""
     out = np.zeros(len(sizes))
     inputs = m.E @ m.Wx + m.b
@@ -319,7 +330,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     top = words.filter("c > 0").orderBy(F.desc("c"), "word").limit(LISTED - 1).select("word", "c", "tail").collect()
     listed = np.array([r["word"] for r in top], np.int64)
     tail_sums = np.zeros(TAILS)
-    for r in words.groupBy("tail").agg(F.sum(F.col("c") + 1).alias("s")).collect():
+    for r in words.filter("c > 0").groupBy("tail").agg(F.sum(F.col("c") + 1).alias("s")).collect():
         tail_sums[r["tail"]] = r["s"]
     for r in top:
         tail_sums[r["tail"]] -= r["c"] + 1
