@@ -89,7 +89,7 @@ _WORD_LIST = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'),
         OR 10 * (length(text) - length(replace(text, '!', ''))) > 3 * n_words
         OR 10 * length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) > 4 * word_chars
         OR 2 * length(regexp_replace(text, '[^\\p{{L}}]+', '', 'g')) < word_chars
-        OR len(regexp_extract_all(text, '(?i)(^|[^A-Za-z])({'|'.join(quality.ABUSE)})')) >= 2) AS kept
+        OR {quality.ABUSE_WORDS} * len(regexp_extract_all(' ' || regexp_replace(text, '[^A-Za-z]+', '  ', 'g') || ' ', '(?i) (?:{'|'.join(quality.ABUSE)})(?:{'|'.join(quality.ENDINGS)})? ')) >= greatest(n_words, 1)) AS kept
     FROM b
     """,
 )
