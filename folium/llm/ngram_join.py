@@ -110,9 +110,9 @@ def links_within(ids: list[int], sets: list[np.ndarray], limit: Threshold, side:
     if side is not None:
         side = side[order]
     wide = int(min(256, max(16, 1 << int(np.ceil(np.log2(max(size.mean() / 2, 1)))))))
-    points = np.zeros((len(sets), wide), np.uint16)
+    points = np.zeros((len(sets), wide), np.uint32)
     for i, s in enumerate(sets):
-        points[i] = np.minimum(np.bincount((s & np.uint64(wide - 1)).astype(np.int64), minlength=wide), 65535)
+        points[i] = np.bincount((s & np.uint64(wide - 1)).astype(np.int64), minlength=wide)
     tree = Tree(points, size)
     label = np.arange(len(sets))
     out = []
