@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,21 @@ def test_cascade_order_does_not_change_verdicts(spark):
     assert kept(quality.rules()) == kept(quality.rules()[::-1]) == kept(quality.order_rules(docs, quality.rules()))
 
 
+def test_rules_that_cost_more_come_later(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(120)), lambda i: F.concat(F.lit("word"), (F.col("id") * 7 + i).cast("string"))), " ")).alias("text"))
+    slow = quality.Rule("slow", lambda get: (F.regexp_count(get("text"), F.lit("(?:[a-z0-9]+ )+!")) > 0) | get("text").startswith("word10"))
+    quick = quality.Rule("quick", lambda get: get("text").startswith("word11"))
+    never = quality.Rule("never", lambda get: get("n_words") > 1000)
+    assert [r.name for r in quality.order_rules(docs, [slow, never, quick])] == ["quick", "slow", "never"]
+
+
+def test_abuse_by_share_of_words(spark):
+    plain = [f"word{i}" for i in range(5000)]
+    texts = [(0, " ".join([*plain[:99], "Idiots!"])), (1, " ".join([*plain[:2000], "trash", "clown"])), (2, " ".join([*plain[:99], "trashcan", "idiotic2"])), (3, " ".join([*plain[:380], "scum,", "scum"])), (4, " ".join(plain[:99]) + " liar-liar")]
+    got = {r["doc_id"]: (r["kept"], r["failed_rule"]) for r in quality.judge(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {0: (False, "abuse"), 1: (True, None), 2: (True, None), 3: (False, "abuse"), 4: (False, "abuse")}
+
+
 def waterfill(sizes, weights, factor, most):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
@@ -128,6 +145,55 @@ def test_surrogates_stay_distinct(spark):
     assert out.count() == 900 and out.select("sub").distinct().count() == 900
 
 
+def test_names_keep_their_parts(spark):
+    text = "Mr. John Smith came, Mr. Smith left, Mrs. Smith and Mrs. Anna Smith stayed. Г-жа Иванова, Г-н Иванов, Г-жа Анна Петрова"
+    out = pii.replace_entities(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    w = out.replace(",", "").replace(".", "").split()
+    john, smith = w[1], w[2]
+    assert w[5] == smith and w[8] == smith and w[12] == smith and w[11] != john and "Smith" not in out and "John" not in out
+    assert w[15] == w[17] + "а" and w[20] != w[15]
+
+
+def test_surrogates_end_in_full_spaces(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = [(i, " ".join(f"{a}@{b}.com" for b in letters)) for i, a in enumerate(letters)] + [(26, "write _@-.com now"), (27, "Mr. " + " Mr. ".join(f"A{a}{b}" for a in letters for b in letters))]
+    out = {r["doc_id"]: r["text"] for r in pii.replace_entities(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    mails = [m for i in range(26) for m in out[i].split()]
+    old = {m for i in range(26) for m in docs[i][1].split()}
+    assert len(mails) == len(set(mails)) == 676 and not set(mails) & old
+    assert "_@-.com" not in out[26].split() and out[26].split()[1].endswith(".com")
+    names = out[27].split()[1::2]
+    assert len(names) == len(set(names)) == 676 and not set(names) & set(docs[27][1].split())
+
+
+def brute_entities(text):
+    """Leftmost matches of the kinds in turn; Python's patterns have no script classes, so names are left out."""
+    import re
+
+    out, at = [], 0
+    kinds = {k: re.compile(p) for k, p in pii.KINDS.items() if k != "name"}
+    while True:
+        found = [(m.start(), i, k, m.group()) for i, (k, p) in enumerate(kinds.items()) if (m := p.search(text, at))]
+        if not found:
+            return out
+        start, _, kind, mention = min(found)
+        out.append((kind, mention))
+        at = start + len(mention)
+
+
+def test_surrogates_are_one_to_one_over_a_table(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r["text"] and not any(f"{t} " in r["text"] or f"{t}. " in r["text"] for t in pii.MALE + pii.FEMALE)}
+    out = {r["doc_id"]: r["text"] for r in pii.replace_entities(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    plain = lambda kind, m: "".join(c for c in m if c.isdigit() or c == "+") if kind in ("phone", "card", "ssn") else m.lower()
+    pairs = set()
+    for i, text in docs.items():
+        before, after = brute_entities(text), brute_entities(out[i])
+        assert [k for k, _ in before] == [k for k, _ in after]
+        pairs |= {(k, plain(k, a), plain(k, b)) for (k, a), (_, b) in zip(before, after, strict=True)}
+    assert len(pairs) > 5 and len({p[1] for p in pairs}) == len({p[2] for p in pairs}) == len(pairs)
+    assert not {p[1] for p in pairs} & {p[2] for p in pairs}
+
+
 def test_phone_numbers_of_other_forms(spark):
     numbers = ["+14155550123", "+33 1 23 45 67 89", "+49 30 12 34 56 78", "+44 (0)20 7946 0958", "+1 (017) 555-7713", "+1.415.555.0123", "+2 3 4 5 6 7 8 9"]
     texts = [f"call {n}, or 4111 1111 1111 1111" for n in numbers] + ["call +1 (017) 555-7713 4111 1111 1111 1111 now", "about +12345 more, 2 + 3 = 5"]
@@ -142,7 +208,7 @@ def test_phone_numbers_of_other_forms(spark):
 
 
 def test_surrogate_names_have_no_end(spark):
-    names = spark.range(6000).select(F.lit("name").alias("kind"), F.concat(F.lit("m "), F.translate(F.col("id").cast("string"), "0123456789", "абвгдежзик")).alias("norm"), F.lit(30).alias("tries"))
+    names = spark.range(6000).select(F.lit("given").alias("kind"), F.concat(F.lit("m "), F.translate(F.col("id").cast("string"), "0123456789", "абвгдежзик")).alias("norm"), F.lit(30).alias("tries"))
     assert pii._draw(names, "k").select("sub").distinct().count() == 6000
 
 
@@ -158,6 +224,36 @@ def test_licences(spark, nothing):
     assert licences.scan(frame.filter("false")).count() == 0
 
 
+def test_licences_in_wrapped_and_long_paragraphs(spark):
+    base = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    model = licences.train(base)
+    long = " ".join(f"w{i % 4000}" for i in range(20000))
+    texts = [
+        "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed",
+        "#  This program is free software: you can redistribute it and/or modify\n#  it under the terms of the GNU General Public License as published",
+        f"{long} Released under the MIT License. {long}",
+        f"copyright {long}",
+        "Licensed under the MIT license.\nReleased under the BSD License.",
+        "Her driving license had lapsed.",
+        "Released under the AGPL, version 3 or later.",
+    ]
+    got = {r["doc_id"]: r["families"] for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert got == {0: "MPL", 1: "GPL", 2: "MIT", 3: "", 4: "BSD,MIT", 5: "", 6: "AGPL"}
+    plan = model.predict(spark.createDataFrame([((1, 2), 0, "copyright")], "key struct<a:long,b:int>, at int, text string"))._jdf.queryExecution().toString()
+    assert not any("lambda" in line and "regexp" in line.split("lambda", 1)[1] for line in plan.splitlines())
+    rows = [(i, 0, t) for i, t in enumerate(texts)]
+    seen = {r["key"]: (r["family"], r["probability"]) for r in model.predict(spark.createDataFrame(rows, "key long, at int, text string")).collect()}
+    weights = {r["gram"]: np.array(r["w"]) for r in model.weights.collect()}
+    for i, _, t in rows:
+        w = re.findall(r"[^\W_]+", t.lower())
+        own = {" ".join(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)}
+        logits = np.array(model.bias) + sum((weights[g] for g in own if g in weights), np.zeros(len(model.bias)))
+        p = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        best = model.families[int(p.argmax())]
+        want = best if best != licences.UNKNOWN and p.max() >= model.least else None
+        assert (seen.get(i) or (None, 0))[0] == want and (want is None or seen[i][1] == pytest.approx(p.max()))
+
+
 def test_pipeline(spark, awkward, nothing):
     out = corpus_pipeline.run(spark, DATA)
     rows = out.collect()

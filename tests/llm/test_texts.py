@@ -204,7 +204,9 @@ def test_strings_around_one_hash_are_bounded(spark, monkeypatch):
     assert sorted((tuple(r) for r in suffix_dedup.remove_repeats(frame).collect()), key=str) == brute_removal(docs, 400)
 
 
-def test_suffix_order_is_lexicographic():
+@pytest.mark.parametrize("copied", [1 << 16, 2])
+def test_suffix_order_is_lexicographic(monkeypatch, copied):
+    monkeypatch.setattr(suffix_dedup, "COPIED", copied)
     rnd = random.Random(9)
     for _ in range(30):
         strings = [bytes(rnd.choice(b"ab\x00\xff") for _ in range(rnd.randrange(1, 60))) for _ in range(4)]
@@ -218,6 +220,12 @@ def test_suffix_order_is_lexicographic():
         assert sorted(order) == list(np.flatnonzero(wanted)) and suffixes == sorted(suffixes)
 
 
+def test_removal_with_clashing_columns_and_periodic_texts(spark, awkward):
+    docs = [(r["doc_id"], r["text"]) for r in awkward.collect()] + [(20, "ab" * 3000), (21, "abc" * 1000 + "x"), (22, "y" * 5000)]
+    frame = awkward.unionByName(spark.createDataFrame(docs[-3:], "doc_id long, text string"), allowMissingColumns=True)
+    assert sorted((tuple(r) for r in suffix_dedup.remove_repeats(frame).collect()), key=str) == brute_removal(docs, 400)
+
+
 def test_scores_base_exactly(spark):
     docs = [(i, "the cat sat on the mat " * (i % 5) + f"word{i % 11}") for i in range(60)] + [(60, None), (61, ""), (None, "The CAT"), (5, "the end"), (5, "the end")]
     got = [tuple(r) for r in gru_lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
@@ -264,6 +272,49 @@ def test_model_is_a_distribution():
     assert np.exp(m.log_probs(h, np.arange(len(h)))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_held_out_texts_teach_nothing(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    docs = [(i, "the cat sat on the mat " * (i % 5) + f"word{i % 11}") for i in range(60) if i not in held] + [(held[0], "the unseen cat sings")]
+    score = lambda rows: {r["doc_id"]: r["score"] for r in gru_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    a, b = score(docs + [(held[1], "mat")]), score(docs + [(held[1], " ".join(f"sings{i}s" for i in range(500)))])
+    a.pop(held[1]), b.pop(held[1])
+    assert a == pytest.approx(b, rel=1e-6)
+
+
+def test_scores_carry_the_state_through_all_windows():
+    rng = np.random.default_rng(8)
+    m = gru_lm.Model(rng.normal(0, 0.3, gru_lm.Model.size()).astype(np.float32))
+    sizes = np.array([0, 1, 150, 63, 64, 65], np.int64)
+    codes = rng.integers(1, gru_lm.LISTED + gru_lm.TAILS, sizes.sum())
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    want = []
+    for a, z in zip(first[:-1], first[1:], strict=True):
+        h, before, total = np.zeros(gru_lm.STATE), 0, 0.0
+        for goal in [*codes[a:z], 0]:
+            x = m.E[before] @ m.Wx + m.b
+            n = gru_lm.STATE
+            u = h @ m.U
+            zed, r = 1 / (1 + np.exp(-(x[:n] + u[:n]))), 1 / (1 + np.exp(-(x[n : 2 * n] + u[n : 2 * n])))
+            c = np.tanh(x[2 * n :] + r * u[2 * n :])
+            h = zed * h + (1 - zed) * c
+            logits = h @ m.Wc + m.bc
+            kind = goal // gru_lm.PER if goal < gru_lm.LISTED else goal - gru_lm.LISTED + gru_lm.CLASSES
+            total += logits[kind] - math.log(np.exp(logits).sum())
+            if goal < gru_lm.LISTED:
+                inner = h @ m.Ww[kind] + m.bw[kind]
+                total += inner[goal % gru_lm.PER] - math.log(np.exp(inner).sum())
+            before = goal
+        want.append(total)
+    assert gru_lm._model_scores(m, codes, sizes, first, rows=4, window=16) == pytest.approx(want, rel=1e-3)
+
+
+def test_scores_on_awkward_rows(spark, awkward, nothing):
+    got = gru_lm.score_documents(awkward).collect()
+    assert len(got) == 13 and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    assert max(r["n_tokens"] for r in got) == 30001
+    assert gru_lm.score_documents(nothing).count() == 0
+
+
 def test_rounds_train_on_each_run_once(monkeypatch):
     rng = np.random.default_rng(3)
     sizes, held = np.array([0, 5, 63, 64, 65, 700, 31, 1000], "<i4"), np.array([0, 0, 0, 0, 0, 0, 1, 1], np.uint8)
