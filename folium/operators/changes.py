@@ -49,3 +49,8 @@ def table_html(cells: DataFrame, key: str, row: str, column: str, text: Column,
     told = rows.select(key, row, F.concat(F.lit("<tr>"), F.array_join(F.transform("cs", lambda c: c["h"]), ""), F.lit("</tr>")).alias("h"))
     whole = told.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(row).alias("r"), "h"))).alias("rs"))
     return whole.select(key, F.concat(F.lit("<table>"), F.array_join(F.transform("rs", lambda r: r["h"]), ""), F.lit("</table>")).alias("html"))
+
+
+def replaced(old: DataFrame, again: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The snapshot after the keys of `again` are extracted anew: their old rows go, whether or not `new` has any for them."""
+    return old.join(again.select(key), key, "left_anti").unionByName(new.select(old.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.sources.tables import settled
@@ -30,28 +30,31 @@ def _asked(answer: Answer):
     return run
 
 
-def enrich(rows: DataFrame, answer: Answer, accept: Callable[[Column, Column], Column], batch: str = "batch", rounds: int = 4, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def enrich(rows: DataFrame, answer: Answer, accept: Callable[[Column, Column], Column], batch: str = "batch", save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """id, answer, status (done, rejected or failed) for rows (id, text, batch).
 
-    A batch that raises is halved for the next round. Answers that are missing or not accepted are asked again once, alone;
+    A batch that raises is halved for the next round, down to single rows, of which one that raises has failed. Answers that are missing or not accepted are asked again once, alone;
     unknown ids in an answer are ignored. save: writes a round's answers and reads them back, so that none is asked twice.
     """
     keep = save or settled
     todo = rows.select("id", "text", F.col(batch).cast("string").alias("b"), F.lit(0).alias("tries"))
     done = None
-    for turn in range(rounds):
+    while True:
         got = keep(todo.join(todo.groupBy("b").applyInPandas(_asked(answer), "id string, answer string, failed boolean"), "id"))
         ok = got.filter(~F.col("failed") & F.col("answer").isNotNull() & F.coalesce(accept(F.col("text"), F.col("answer")), F.lit(False)))
         out = ok.select("id", "answer", F.lit("done").alias("status"))
         bad = got.join(ok.select("id"), "id", "left_anti")
         over = bad.filter(~F.col("failed") & (F.col("tries") >= 1)).select("id", F.lit(None).cast("string").alias("answer"), F.lit("rejected").alias("status"))
         done = out.unionByName(over) if done is None else done.unionByName(out).unionByName(over)
-        again = bad.filter(F.col("failed") | (F.col("tries") < 1))
-        half = F.concat_ws("/", "b", F.pmod(F.shiftright(F.xxhash64("id"), turn), F.lit(2)).cast("string"))
+        alone = got.groupBy("b").count().filter("count = 1").select("b")
+        lost = bad.filter("failed").join(alone, "b", "left_semi").select("id", F.lit(None).cast("string").alias("answer"), F.lit("failed").alias("status"))
+        done = done.unionByName(lost)
+        again = bad.join(lost.select("id"), "id", "left_anti").filter(F.col("failed") | (F.col("tries") < 1))
+        half = F.concat_ws("/", "b", (F.row_number().over(Window.partitionBy("b").orderBy("id")) % 2).cast("string"))
         todo = again.select("id", "text", F.when(F.col("failed"), half).otherwise(F.concat_ws("/", "b", "id")).alias("b"), F.when(F.col("failed"), F.col("tries")).otherwise(F.col("tries") + 1).alias("tries"))
+        todo = keep(todo)
         if todo.isEmpty():
             return done
-    return done.unionByName(todo.select("id", F.lit(None).cast("string").alias("answer"), F.lit("failed").alias("status")))
 
 
 def with_memo(rows: DataFrame, memo: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:

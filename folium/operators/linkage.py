@@ -42,7 +42,7 @@ def geometry(a: str, b: str) -> Column:
     iou = w * h / F.greatest(area(a) + area(b) - w * h, F.lit(1e-9))
     middle = lambda x, p: (c(f"{x}.{p}0") + c(f"{x}.{p}1")) / 2
     far = F.sqrt(F.pow(middle(a, "x") - middle(b, "x"), 2) + F.pow(middle(a, "y") - middle(b, "y"), 2))
-    tall = F.least(c(f"{a}.y1") - c(f"{a}.y0"), c(f"{b}.y1") - c(f"{b}.y0"))
+    tall = F.greatest(c(f"{a}.y1") - c(f"{a}.y0"), c(f"{b}.y1") - c(f"{b}.y0"))
     wide = F.least(c(f"{a}.x1") - c(f"{a}.x0"), c(f"{b}.x1") - c(f"{b}.x0"))
     near = (iou >= 0.15) | ((far <= F.greatest(F.lit(24.0), F.least(F.lit(60.0), 0.5 * tall))) & (w >= 0.5 * wide))
     return F.when(near, 1 - iou + far / 1000)

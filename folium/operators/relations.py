@@ -72,28 +72,26 @@ def cascade_delete(gone: DataFrame, key: str, tables: dict[str, DataFrame]) -> d
     return {name: t.join(gone.select(key), key, "left_anti") for name, t in tables.items()}
 
 
-def merged_status(old: Column, new: Column) -> Column:
-    """Paused wins, unless the job is queued again."""
-    return F.when((old == "paused") & (new != "queued"), old).otherwise(F.coalesce(new, old))
-
-
-def descendants(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """root, node, depth: all nodes under the roots along edges (parent, child), the roots themselves at 0."""
-    level = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth"))
-    parts, now = [level], level
-    for depth in range(1, most + 1):
-        now = settled(_next(now, edges, depth))
+def merged_states(rows: DataFrame, w, paused: Column, queued: Column, status: Column, checkpoint: dict[str, Column]) -> DataFrame:
+    """rows in the order of w with `held`: whether the job is paused, which wins until it is queued again; and each key of its checkpoint as last written."""
+    up_to = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.row_number().over(w)
+    told = rows.withColumns({"_paused": F.when(paused, place), "_queued": F.when(queued, place)} | {name: F.last(c, ignorenulls=True).over(up_to) for name, c in checkpoint.items()})
+    held = F.coalesce(F.max("_paused").over(up_to) > F.coalesce(F.max("_queued").over(up_to), F.lit(0)), F.lit(False))
+    return told.withColumn("held", held & status.isNotNull()).drop("_paused", "_queued")
+
+
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, node, depth: all nodes under the roots along edges (parent, child), the roots themselves at 0; each at its least depth, so cycles end."""
+    seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    now, depth = seen, 0
+    while True:
+        depth += 1
+        step = now.join(edges, now["node"] == edges["parent"]).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
+        now = settled(step.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
         if now.isEmpty():
-            break
-        parts.append(now)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _next(now: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    return now.join(edges, now["node"] == edges["parent"]).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth"))
+            return seen
+        seen = settled(seen.unionByName(now)) if depth % 8 == 0 else seen.unionByName(now)
 
 
 def overlap(a: str, b: str) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_blocks, queries_links, queries_state, queries_store
+from . import queries_blocks, queries_context, queries_content, queries_filters, queries_links, queries_state, queries_store
 
-QUERIES = queries_store.QUERIES | queries_blocks.QUERIES | queries_links.QUERIES | queries_state.QUERIES
-SQL = queries_store.SQL | queries_blocks.SQL | queries_links.SQL | queries_state.SQL
+_MODULES = (queries_store, queries_blocks, queries_links, queries_state, queries_filters, queries_context, queries_content)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}

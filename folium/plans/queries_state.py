@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folium.functions import text as T
 from folium.operators.changes import allowed, supersede, table_html, with_answers
 from folium.operators.linkage import link
-from folium.operators.relations import cascade_delete, descendants, merged_status, upsert
+from folium.operators.relations import cascade_delete, descendants, merged_states, upsert
 from folium.sources.tables import blocks, settled, table
 
 from .registry import BLOCKS, registry
@@ -86,16 +86,17 @@ def cascade(spark, sf_dir):
     return left["c"].join(n, "k", "left").select(F.col("k").alias("c_custkey"), F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
-@query("job_state_merge", "SELECT user_id, event_id, CASE WHEN lag(event_type) OVER w = 'error' AND event_type <> 'click' THEN 'error' ELSE event_type END AS status FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query(
+    "job_state_merge",
+    """WITH e AS (SELECT *, row_number() OVER w AS k, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER w AS seen, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER w AS bought FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    f AS (SELECT *, max(CASE WHEN event_type = 'error' THEN k END) OVER w AS paused, max(CASE WHEN event_type = 'click' THEN k END) OVER w AS queued FROM e WINDOW w AS (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING))
+    SELECT user_id, event_id, CASE WHEN paused > coalesce(queued, 0) THEN 'error' ELSE event_type END AS status, seen, bought FROM f""",
+)
 def job_state_merge(spark, sf_dir):
-    """A paused job (error) stays so unless it is queued (click)."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
-    names = F.create_map(F.lit("error"), F.lit("paused"), F.lit("click"), F.lit("queued"))
-    back = F.create_map(F.lit("paused"), F.lit("error"), F.lit("queued"), F.lit("click"))
-    to = lambda x: F.coalesce(F.try_element_at(names, x), x)
-    old = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    merged = merged_status(to(F.coalesce(old, F.lit(""))), to(F.col("event_type")))
-    return e.select("user_id", "event_id", merged.alias("m")).select("user_id", "event_id", F.coalesce(F.try_element_at(back, F.col("m")), F.col("m")).alias("status"))
+    """A paused job (error) stays so until it is queued (click); of each key of its checkpoint (seen, bought), the last value stays."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return merged_states(e, w, F.col("event_type") == "error", F.col("event_type") == "click", F.col("event_type"), {"seen": F.when(F.col("event_type") == "view", F.col("value")), "bought": F.when(F.col("event_type") == "purchase", F.col("value"))}).select("user_id", "event_id", F.when(F.col("held"), "error").otherwise(F.col("event_type")).alias("status"), "seen", "bought")
 
 
 @query("family_closure", "WITH RECURSIVE t AS (SELECT doc_id AS root, doc_id AS node, 0 AS depth FROM documents WHERE doc_id BETWEEN 1 AND 3 UNION ALL SELECT t.root, d.doc_id, t.depth + 1 FROM t JOIN documents d ON d.doc_id // 4 = t.node AND d.doc_id > 3) SELECT root, CAST(depth AS BIGINT) AS depth, count(*) AS nodes FROM t GROUP BY root, depth")
@@ -115,7 +116,9 @@ def note_tree_order(spark, sf_dir):
     edges = docs.filter("doc_id > 3").select(F.floor(F.col("doc_id") / 4).alias("parent"), "doc_id")
     out = now
     while not now.isEmpty():
-        now = settled(now.select(F.col("doc_id").alias("parent"), "path").join(edges, "parent").select("doc_id", F.concat("path", F.array("doc_id")).alias("path")))
+        #: A note is not put under itself, so cycles end.
+        below = now.select(F.col("doc_id").alias("parent"), "path").join(edges, "parent").filter(~F.array_contains("path", F.col("doc_id")))
+        now = settled(below.select("doc_id", F.concat("path", F.array("doc_id")).alias("path")))
         out = out.unionByName(now)
     return out.select("doc_id", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 

@@ -32,35 +32,40 @@ def progress_changes(events: DataFrame) -> DataFrame:
     return rows.applyInPandasWithState(_changes, "user_id long, event_id long, event_type string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-class Redactor:
-    """Replaces secrets in a stream of chunks; holds back what may be the start of one."""
+MASK = "[REDACTED]"
 
-    def __init__(self, secrets: list[str]):
-        self.secrets = [s for s in secrets if s]
-        self.tail = ""
 
-    def feed(self, chunk: str) -> str:
-        text = self.tail + chunk
-        for s in self.secrets:
-            text = text.replace(s, "[REDACTED]")
-        keep = max((n for s in self.secrets for n in range(1, len(s)) if text.endswith(s[:n])), default=0)
-        self.tail = text[len(text) - keep :]
-        return text[: len(text) - keep]
-
-    def close(self) -> str:
-        out, self.tail = self.tail, ""
-        return out
+def passed_on(tail: str, chunk: str, secrets: list[str]) -> tuple[str, str]:
+    """What of tail and chunk can be shown, with secrets masked, and the new tail: the end that a secret may begin with."""
+    text = tail + chunk
+    for s in secrets:
+        text = MASK.join(text.split(s))
+    longest = max(map(len, secrets), default=1) - 1
+    for at in range(max(0, len(text) - longest), len(text)):
+        if any(s.startswith(text[at:]) for s in secrets):
+            return text[:at], text[at:]
+    return text, ""
 
 
 def redacted_stream(chunks: DataFrame, secrets: list[str]) -> DataFrame:
-    """stream, seq, text: chunks (stream, seq, text) with secrets replaced, also those cut by a chunk's end. State: the tail held back."""
+    """stream, seq, text: chunks (stream, seq, text) with secrets masked, also those cut by a chunk's end. State: the tail held back.
+
+    A chunk whose text is null ends its stream: what was held back comes out with it.
+    """
+    hidden = [s for s in secrets if s]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        r = Redactor(secrets)
-        r.tail = state.get[0] if state.exists else ""
+        tail = state.get[0] if state.exists else ""
         rows = pd.concat(list(frames)).sort_values("seq")
-        out = [r.feed(t or "") for t in rows["text"]]
-        state.update((r.tail,))
+        out = []
+        for text in rows["text"]:
+            if text is None:
+                out.append(tail)
+                tail = ""
+            else:
+                shown, tail = passed_on(tail, text, hidden)
+                out.append(shown)
+        state.update((tail,))
         yield pd.DataFrame({"stream": key[0], "seq": rows["seq"].to_numpy(), "text": out})
 
     return chunks.select("stream", "seq", "text").groupBy("stream").applyInPandasWithState(run, "stream long, seq long, text string", "tail string", "append", GroupStateTimeout.NoTimeout)

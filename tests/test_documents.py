@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from folium.operators import enrich, layout, linkage
+from folium.operators import enrich, layout, linkage, relations
 
 LINK = "doc_id bigint, id bigint, ord bigint, type string, section string, page int, n string, anchor string, text string, sig string, x0 double, y0 double, x1 double, y1 double"
 PROSE = "A paragraph about measuring the growth of small plants in wet soil, with 3 repeats."
@@ -78,6 +78,12 @@ def test_paragraphs_rejoin_over_asides(spark):
     assert [(r["ord"], r["text"]) for r in got] == [(0, "The method is simple and fast."), (1, "Figure 1"), (3, "New one"), (4, "References"), (5, "a cut"), (6, "entry stays")]
 
 
+def test_paragraphs_rejoin_from_their_first_page(spark):
+    rows = [(1, 0, "p", 1, "one,"), (1, 1, "p", 2, "two,"), (1, 2, "p", 3, "three"), (1, 3, "li", 3, "item,"), (1, 4, "p", 3, "goes on"), (1, 5, "sec", 3, "Head,"), (1, 6, "p", 3, "after"), (2, 0, "p", 1, "other doc")]
+    got = layout.rejoined(spark.createDataFrame(rows, "doc_id bigint, ord bigint, type string, page bigint, text string")).orderBy("doc_id", "ord").collect()
+    assert [(r["doc_id"], r["ord"], r["page"], r["text"]) for r in got] == [(1, 0, 1, "one, two,"), (1, 2, 3, "three"), (1, 3, 3, "item, goes on"), (1, 5, 3, "Head,"), (1, 6, 3, "after"), (2, 0, 1, "other doc")]
+
+
 def test_hyphens_follow_the_vocabulary(spark):
     texts = spark.createDataFrame([(1, "we are ap- plying self- attention to pre- and post-processing"), (2, "plain")], "id int, text string")
     words = spark.createDataFrame([("applying", 3), ("self-attention", 5), ("selfattention", 1)], "word string, n int")
@@ -107,10 +113,28 @@ def test_enrichment_halves_asks_again_and_rejects(spark):
         df.write.parquet(f"{at}/{count[0]}")
         return spark.read.parquet(f"{at}/{count[0]}")
 
-    got = {r["id"]: (r["answer"], r["status"]) for r in enrich.enrich(rows, answer, lambda t, a: F.upper(t) == a, rounds=6, save=save).collect()}
+    got = {r["id"]: (r["answer"], r["status"]) for r in enrich.enrich(rows, answer, lambda t, a: F.upper(t) == a, save=save).collect()}
     assert got == {f"i{k}": (f"T{k}", "done") for k in range(6)} | {"bad": ("BOOM", "done"), "no": (None, "rejected")}
 
 
+def test_one_bad_row_of_many_fails_alone(spark):
+    rows = spark.createDataFrame([(f"i{k}", f"t{k}", "b") for k in range(40)], "id string, text string, batch string")
+
+    def answer(asked):
+        if any(i == "i7" for i, _ in asked):
+            raise ValueError("bad row")
+        return {i: t.upper() for i, t in asked}
+
+    got = {r["id"]: r["status"] for r in enrich.enrich(rows, answer, lambda t, a: F.upper(t) == a).collect()}
+    assert got == {f"i{k}": "failed" if k == 7 else "done" for k in range(40)}
+
+
+def test_trees_have_no_cap_and_cycles_end(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 3)], "parent long, child long")
+    got = {r["node"]: r["depth"] for r in relations.descendants(edges, spark.createDataFrame([(0,)], "root long")).collect()}
+    assert got == {i: i for i in range(13)}
+
+
 def test_memo_is_asked_first(spark):
     rows = spark.createDataFrame([("a", "x"), ("b", "y")], "key string, text string")
     memo = spark.createDataFrame([("a", "kept"), ("z", "other")], "key string, answer string")
