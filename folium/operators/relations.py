@@ -72,6 +72,11 @@ def cascade_delete(gone: DataFrame, key: str, tables: dict[str, DataFrame]) -> d
     return {name: t.join(gone.select(key), key, "left_anti") for name, t in tables.items()}
 
 
+def merged_status(old: Column, new: Column) -> Column:
+    """One step: paused wins, unless the job is queued again."""
+    return F.when((old == "paused") & (new != "queued"), old).otherwise(F.coalesce(new, old))
+
+
 def merged_states(rows: DataFrame, w, paused: Column, queued: Column, status: Column, checkpoint: dict[str, Column]) -> DataFrame:
     """rows in the order of w with `held`: whether the job is paused, which wins until it is queued again; and each key of its checkpoint as last written."""
     up_to = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
