@@ -318,6 +318,8 @@ def _model_scores(m: Model, codes: np.ndarray, sizes: np.ndarray, first: np.ndar
 def score_documents(docs: DataFrame) -> DataFrame:
     """A row for each of docs (doc_id, text): see SCORES. Held out: crc32 of the doc_id as text, mod 7, is 2."""
     spark = docs.sparkSession
+    #: Tasks fill the cores; more threads of numpy's in each would only wait for one another. For Python workers started from here on.
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held"), "text")
     shards = staged(rows.mapInArrow(_shards, _SHARD), "lm-shards", "zstd")
