@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField
+
+from .folds import over_keys
 
 
 def place_cells(cells: DataFrame, key: str) -> DataFrame:
     """key, r, c, text for every grid square that a cell covers.
 
-    cells: key, r, k (its place in the row), text, colspan, rowspan. Cells of a row stand side by side; those that
-    reach down from rows above shift it. The fold runs over the cells of one table.
+    cells: key, r, k (its place in the row), text, colspan, rowspan (1 at least). Cells of a row stand side by side; those that
+    reach down from rows above shift it.
     """
-    told = cells.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("r", "k", "colspan", "rowspan", "text"))).alias("cs"))
-    square = "struct<r:int,c:int,text:string>"
-    start = F.array().cast(f"array<{square}>")
-
-    def add(grid: Column, x: Column) -> Column:
-        taken = F.transform(F.filter(grid, lambda g: g["r"] == x["r"]), lambda g: g["c"])
-        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(taken)), taken))
-        covered = F.flatten(F.transform(F.sequence(F.lit(0), x["rowspan"] - 1), lambda i: F.transform(F.sequence(F.lit(0), x["colspan"] - 1), lambda j: F.struct((x["r"] + i).cast("int").alias("r"), (free + j).cast("int").alias("c"), x["text"].alias("text")))))
-        return F.concat(grid, covered.cast(f"array<{square}>"))
 
-    return told.select(key, F.inline(F.aggregate("cs", start, add)))
+    def each(told: Iterator[tuple]) -> Iterator[tuple]:
+        #: The last row that each column is taken in.
+        until: dict[int, int] = {}
+        row, c = None, 0
+        for r, wide, high, text in told:
+            if r != row:
+                row, c = r, 0
+            while until.get(c, r - 1) >= r:
+                c += 1
+            for j in range(c, c + wide):
+                until[j] = max(until.get(j, r), r + high - 1)
+                for i in range(r, r + high):
+                    yield i, j, text
+
+    span = lambda name: F.greatest(F.col(name).cast("int"), F.lit(1))
+    fields = [StructField("r", IntegerType()), StructField("c", IntegerType()), StructField("text", StringType())]
+    return over_keys(cells, key, ["r", "k"], [F.col("r").cast("int"), span("colspan"), span("rowspan"), F.col("text")], fields, each)
 
 
 def grid_faults(squares: DataFrame, key: str) -> DataFrame:

@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField
+
+from .folds import over_keys, scanned
 
 
 def pack(rows: DataFrame, key: str, order: str, size: Column, budget: int, most: int, group: Column | None = None) -> DataFrame:
     """key, batch (from 0), first, last, n, size: greedy batches in order.
 
     A batch is closed before a row that would pass the budget, exceed the count, or change the group; a row
-    over the budget is a batch of its own. The fold depends on its state, so it runs over the ordered rows of each key.
+    over the budget is a batch of its own; a null size counts 0.
     """
-    told = rows.select(key, F.struct(F.col(order).alias("o"), size.cast("bigint").alias("s"), (F.lit(0) if group is None else group).cast("string").alias("g")).alias("r"))
-    ordered = told.groupBy(key).agg(F.sort_array(F.collect_list("r")).alias("rs"))
-    start = F.struct(F.lit(-1).cast("bigint").alias("batch"), F.lit(0).cast("bigint").alias("len"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("g"), F.array().cast("array<bigint>").alias("out"))
 
-    def add(a: Column, r: Column) -> Column:
-        close = (a["n"] == 0) | (a["len"] + r["s"] > budget) | (a["n"] >= most) | ~a["g"].eqNullSafe(r["g"])
-        batch = a["batch"] + close.cast("bigint")
-        return F.struct(
-            batch.alias("batch"),
-            (F.when(close, 0).otherwise(a["len"]) + r["s"]).cast("bigint").alias("len"),
-            (F.when(close, 0).otherwise(a["n"]) + 1).cast("bigint").alias("n"),
-            r["g"].alias("g"),
-            F.concat(a["out"], F.array(batch)).alias("out"),
-        )
+    def each(told: Iterator[tuple]) -> Iterator[tuple]:
+        batch, first, last, n, total, held = -1, None, None, 0, 0, None
+        for o, s, g in told:
+            if n == 0 or total + s > budget or n >= most or g != held:
+                if n:
+                    yield batch, first, last, n, total
+                batch, first, n, total, held = batch + 1, o, 0, 0, g
+            last, n, total = o, n + 1, total + s
+        if n:
+            yield batch, first, last, n, total
 
-    packed = ordered.select(key, F.explode(F.arrays_zip("rs", F.aggregate("rs", start, add)["out"].alias("b"))).alias("x"))
-    return packed.groupBy(key, F.col("x.b").alias("batch")).agg(F.min("x.rs.o").alias("first"), F.max("x.rs.o").alias("last"), F.count("*").alias("n"), F.sum("x.rs.s").alias("size"))
+    take = [F.col(order), F.coalesce(size.cast("bigint"), F.lit(0)), (F.lit(0) if group is None else group).cast("string")]
+    place, long = rows.schema[order].dataType, LongType()
+    fields = [StructField("batch", long), StructField("first", place), StructField("last", place), StructField("n", long), StructField("size", long)]
+    return over_keys(rows, key, [order], take, fields, each)
 
 
 def neighbours(rows: DataFrame, key: str, order: str, value: str, k: int) -> DataFrame:
@@ -59,14 +63,19 @@ def gap_clusters(rows: DataFrame, key: str, by: str, tolerance: float, tie: str)
 
 def anchored_clusters(rows: DataFrame, key: str, by: str, tolerance: float) -> DataFrame:
     """key, anchor, n: a new cluster where `by` is over the tolerance from the first of the cluster."""
-    start = F.struct(F.lit(None).cast("double").alias("a"), F.array().cast("array<double>").alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        a = F.when(acc["a"].isNull() | (x - acc["a"] > tolerance), x).otherwise(acc["a"])
-        return F.struct(a.alias("a"), F.concat(acc["out"], F.array(a)).alias("out"))
+    def each(told: Iterator[tuple]) -> Iterator[tuple]:
+        anchor, n = None, 0
+        for (x,) in told:
+            if n and x - anchor > tolerance:
+                yield anchor, n
+                n = 0
+            anchor, n = (anchor if n else x), n + 1
+        if n:
+            yield anchor, n
 
-    values = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.col(by).cast("double"))).alias("v"))
-    return values.select(key, F.explode(F.aggregate("v", start, add)["out"]).alias("anchor")).groupBy(key, "anchor").agg(F.count("*").alias("n"))
+    fields = [StructField("anchor", DoubleType()), StructField("n", LongType())]
+    return over_keys(rows.filter(F.col(by).isNotNull()), key, [by], [F.col(by).cast("double")], fields, each)
 
 
 def reordered(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
@@ -84,8 +93,4 @@ def compacted(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 def section_paths(rows: DataFrame, key: str, order: str, depth: Column, label: Column) -> DataFrame:
     """rows with `path`: at a heading of depth d, the first d entries of the path before it and its label; other rows carry it on."""
-    at = F.when(depth.isNotNull(), F.struct(depth.alias("d"), F.coalesce(label, F.lit("")).alias("l")))
-    seen = F.collect_list(at).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    empty = F.array().cast("array<string>")
-    path = F.aggregate(seen, empty, lambda p, h: F.concat(F.slice(p, 1, h["d"]), F.array(h["l"])))
-    return rows.withColumn("path", path)
+    return scanned(rows, key, [order], [depth.cast("int"), F.coalesce(label, F.lit(""))], "path", "array<string>", [], lambda path, h: path if h[0] is None else [*path[: h[0]], h[1]])

@@ -150,9 +150,16 @@ def order_compaction(spark, sf_dir):
     return S.compacted(_blocks(spark, sf_dir).filter("type <> 'sec'"), "doc_id", "ord").select("doc_id", "ord", "position")
 
 
-@query("section_path", f"WITH {BLOCKS} SELECT doc_id, ord, coalesce(last_value(CASE WHEN type = 'sec' THEN trim(text) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING), '') AS path FROM blocks")
+@query(
+    "section_path",
+    f"""WITH RECURSIVE {BLOCKS}, h AS (SELECT doc_id, ord, CASE WHEN type = 'sec' THEN ord % 3 END AS d, trim(text) AS l FROM blocks),
+    f AS (SELECT doc_id, ord, CASE WHEN d IS NULL THEN CAST([] AS VARCHAR[]) ELSE [l] END AS path FROM h WHERE ord = 0
+      UNION ALL SELECT h.doc_id, h.ord, CASE WHEN h.d IS NULL THEN f.path ELSE list_append(f.path[1:h.d], h.l) END FROM f JOIN h ON h.doc_id = f.doc_id AND h.ord = f.ord + 1)
+    SELECT doc_id, ord, array_to_string(path, '/') AS path FROM f""",
+)
 def section_path(spark, sf_dir):
-    depth = F.when(F.col("type") == "sec", 0)
+    """Headings of three depths and the path that each block stands under."""
+    depth = F.when(F.col("type") == "sec", F.col("ord") % 3)
     return S.section_paths(_blocks(spark, sf_dir), "doc_id", "ord", depth, F.trim("text")).select("doc_id", "ord", F.array_join("path", "/").alias("path"))
 
 

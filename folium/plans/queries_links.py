@@ -99,13 +99,21 @@ def best_cells(spark, sf_dir):
     return grids.best_cells(li, "l_orderkey", "col", F.col("l_quantity"))
 
 
-@query("table_grid", "SELECT l_orderkey, CAST(sum(l_linenumber % 2 + 1) AS BIGINT) AS squares, 0 AS faults FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) FROM lineitem) GROUP BY l_orderkey")
+@query(
+    "table_grid",
+    """WITH n AS (SELECT l_orderkey, 1 + l_partkey % 2 AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+    g AS (SELECT l_orderkey, n, sum(w * CASE WHEN n > 3 AND i = 0 OR n = 4 AND i = 2 THEN 2 ELSE 1 END) AS squares, sum(w) FILTER (i < 3) AS top, sum(w) FILTER (i BETWEEN 3 AND 5) AS mid, sum(w) FILTER (i > 5) AS low, max(w) FILTER (i = 0) AS w0, max(w) FILTER (i = 1) AS w1, max(w) FILTER (i = 3) AS w3 FROM n GROUP BY ALL)
+    SELECT l_orderkey, CAST(squares AS BIGINT) AS squares, CASE WHEN n < 4 THEN NULL WHEN n = 4 THEN CASE WHEN w3 > w1 THEN 'overlap' WHEN w3 < w1 THEN 'gap' END WHEN w0 + mid <> top OR coalesce(low, top) <> top THEN 'ragged' END AS fault FROM g""",
+)
 def table_grid(spark, sf_dir):
-    """Each order as a row of cells with spans, placed on a grid and checked."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.lit(0).alias("r"), F.struct("l_linenumber", "l_partkey").alias("k"), F.col("l_quantity").cast("string").alias("text"), (F.col("l_linenumber") % 2 + 1).alias("colspan"), F.lit(1).alias("rowspan"))
-    squares = grids.place_cells(li, "l_orderkey")
+    """Each order as a table of rows of three cells, placed on a grid and checked; the first cell reaches down a row, of four cells the third as well."""
+    w = Window.partitionBy("l_orderkey")
+    i = F.row_number().over(w.orderBy("l_linenumber", "l_partkey")) - 1
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", i.alias("i"), F.count("*").over(w).alias("n"), F.col("l_quantity").cast("string").alias("text"), (F.col("l_partkey") % 2 + 1).alias("colspan"))
+    down = ((F.col("n") > 3) & (F.col("i") == 0)) | ((F.col("n") == 4) & (F.col("i") == 2))
+    squares = grids.place_cells(li.select("l_orderkey", F.floor(F.col("i") / 3).alias("r"), (F.col("i") % 3).alias("k"), "text", "colspan", F.when(down, 2).otherwise(1).alias("rowspan")), "l_orderkey")
     faults = grids.grid_faults(squares, "l_orderkey")
-    return squares.groupBy("l_orderkey").agg(F.count("*").alias("squares")).join(faults, "l_orderkey").select("l_orderkey", "squares", F.when(F.col("fault").isNull(), 0).otherwise(1).alias("faults"))
+    return squares.groupBy("l_orderkey").agg(F.count("*").alias("squares")).join(faults, "l_orderkey").select("l_orderkey", "squares", "fault")
 
 
 @query("numeric_conflicts", "SELECT l_orderkey, CAST(sum(CASE WHEN l_quantity <> l_quantity + (CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END) THEN 1 ELSE 0 END) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey")
