@@ -1,22 +1,26 @@
 """Linking two extractions of one document, in passes; each takes only what the ones before have left.
 
-old, new: doc_id, id (bigint), ord, type, section, page, n, anchor, text, sig, x0, y0, x1, y1.
+old, new: doc_id, id (bigint), ord, type, section, page, n, anchor, text, sig, x0, y0, x1, y1, and perhaps fingerprint (of a picture).
+Rows without a page or rectangle have no place, so they link by anchor, signature, turn or label only.
 """
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from folium.sources.tables import settled
 
 #: Texts count as one with an edit from this similarity on, if no longer than a tenth more and at least this long.
 ALIKE, LENGTHS, LEAST = 0.94, 0.9, 40
-MARGIN = 0.025
+MARGIN, STEP = 0.025, 0.01
+PROSE = ("p", "li", "sec", "sub", "ssub")
+LABELLED = ("fig", "tab", "eq", "sec", "sub", "ssub")
 
 
 def _pairs(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,31 +53,58 @@ def geometry(a: str, b: str) -> Column:
 
 
 def mutual_best(scored: DataFrame, margin: float) -> DataFrame:
-    """doc_id, old_id, new_id: pairs (with score, low is good) that are the best of both rows, by the margin over the second best."""
+    """doc_id, old_id, new_id: pairs (with score, low is good) that are the best of both rows, by over the margin to the second best.
 
-    def lead(side: str) -> DataFrame:
+    What is linked leaves the others, among which the same is looked for, until nothing is found.
+    """
+
+    def lead(rows: DataFrame, side: str) -> DataFrame:
         w = Window.partitionBy("doc_id", side).orderBy("score", "old_id", "new_id")
-        return scored.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead("score").over(w)).filter(F.col("_r") == 1).filter(F.col("_next").isNull() | (F.col("_next") - F.col("score") >= margin)).select("doc_id", "old_id", "new_id")
+        first = rows.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead("score").over(w)).filter("_r = 1")
+        return first.filter(F.col("_next").isNull() | (F.col("_next") - F.col("score") > margin)).select("doc_id", "old_id", "new_id")
+
+    rows, found = settled(scored), None
+    while True:
+        some = settled(lead(rows, "old_id").join(lead(rows, "new_id"), ["doc_id", "old_id", "new_id"]))
+        found = some if found is None else found.unionByName(some)
+        if some.isEmpty():
+            return found
+        rows = settled(rows.join(some.select("doc_id", "old_id"), ["doc_id", "old_id"], "left_anti").join(some.select("doc_id", "new_id"), ["doc_id", "new_id"], "left_anti"))
+
 
-    return lead("old_id").join(lead("new_id"), ["doc_id", "old_id", "new_id"])
+def _placed(old: DataFrame, new: DataFrame, on: Column) -> DataFrame:
+    """Pairs of rows of one page whose rectangles are near each other, with `score`."""
+    j = old.alias("a").join(new.alias("b"), on & (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")))
+    return j.withColumn("score", geometry("a", "b")).filter("score is not null")
 
 
 def _by_place(old: DataFrame, new: DataFrame) -> DataFrame:
-    a, b = old.alias("a"), new.alias("b")
-    j = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.sig") == F.col("b.sig")) & (F.col("a.page") == F.col("b.page")))
-    scored = j.select(F.col("a.doc_id").alias("doc_id"), F.col("a.id").alias("old_id"), F.col("b.id").alias("new_id"), geometry("a", "b").alias("score")).filter("score is not null")
-    return mutual_best(scored, 1e-6)
+    scored = _placed(old, new, F.col("a.sig") == F.col("b.sig"))
+    return mutual_best(scored.select(F.col("a.doc_id").alias("doc_id"), F.col("a.id").alias("old_id"), F.col("b.id").alias("new_id"), "score"), 1e-6)
 
 
 def _by_turn(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The i-th with the i-th of one signature, page and section, where both sides have as many and none has a rectangle."""
-    keys = ["doc_id", "sig", "page", "section"]
+    """The i-th with the i-th of one signature, page and section, where both sides have as many; not if their rectangles speak against it."""
+    keys = ["doc_id", "sig", F.coalesce("page", F.lit(-1)).alias("_page"), F.coalesce("section", F.lit("")).alias("_section")]
 
-    def numbered(df: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy(*keys)
-        return df.filter("x0 is null").withColumn("_i", F.row_number().over(w.orderBy("ord"))).withColumn("_n", F.count("*").over(w)).select(*keys, "_i", "_n", F.col("id").alias(name))
+    def numbered(df: DataFrame) -> DataFrame:
+        rows = df.filter("sig is not null").select(*keys, "id", "ord", "x0", "y0", "x1", "y1")
+        w = Window.partitionBy("doc_id", "sig", "_page", "_section")
+        return rows.withColumn("_i", F.row_number().over(w.orderBy("ord", "id"))).withColumn("_n", F.count("*").over(w))
 
-    return numbered(old, "old_id").join(numbered(new, "new_id"), [*keys, "_i", "_n"]).select("doc_id", "old_id", "new_id")
+    same = ["doc_id", "sig", "_page", "_section", "_i", "_n"]
+    a, b = numbered(old).alias("a"), numbered(new).alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in same]
+    apart = F.col("a.x0").isNotNull() & F.col("b.x0").isNotNull() & geometry("a", "b").isNull()
+    return a.join(b, on).filter(~apart).select("a.doc_id", F.col("a.id").alias("old_id"), F.col("b.id").alias("new_id"))
+
+
+def _by_label(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Unique labels of a section, at most a page apart."""
+    pairs = _pairs(old.filter(F.col("type").isin(*LABELLED)), new.filter(F.col("type").isin(*LABELLED)), ["type", "n", "section"])
+    page = lambda df, x: df.select("doc_id", F.col("id").alias(f"{x}_id"), F.col("page").alias(x))
+    both = pairs.join(page(old, "old"), ["doc_id", "old_id"]).join(page(new, "new"), ["doc_id", "new_id"])
+    return both.filter("old is null or new is null or abs(old - new) <= 1").select("doc_id", "old_id", "new_id")
 
 
 @F.pandas_udf(DoubleType())
@@ -82,33 +113,69 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(BooleanType())
+def explained(target: pd.Series, own: pd.Series, runs: pd.Series, score: pd.Series) -> pd.Series:
+    """Whether one of the runs is nearer to the target than the row's own text is: in length, and in characters by over STEP."""
+
+    def nearer(t: str, o: str, run: str, r: float) -> bool:
+        return abs(len(t) - len(run)) < abs(len(t) - len(o)) and SequenceMatcher(None, t, run, autojunk=False).ratio() > r + STEP
+
+    return pd.Series([any(nearer(t, o, run, r) for run in rs) for t, o, rs, r in zip(target, own, runs, score, strict=True)], dtype=bool)
+
+
+def _with_runs(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """The rows that are not linked yet, with the texts of the two or three neighbouring ones, itself among them at an end, that they could be parts of."""
+    linked = found.select("doc_id", F.col(name).alias("id"), F.lit(True).alias("_linked"))
+    told = rows.join(linked, ["doc_id", "id"], "left").withColumn("_free", F.col("_linked").isNull())
+    w = Window.partitionBy("doc_id").orderBy("ord", "id")
+    me = F.struct("text", "type", "section", "page", "_free")
+    near = {f"_{k}": F.lag(me, -k).over(w) for k in (-2, -1, 1, 2)}
+
+    def run(*members: str) -> Column:
+        others = [F.col(m) for m in members if m != "me"]
+        whole = reduce(lambda x, y: x & y, [m.isNotNull() & m["_free"] & (m["type"] == F.col("type")) & m["section"].eqNullSafe(F.col("section")) for m in others])
+        pages = F.array(F.col("page"), *(m["page"] for m in others))
+        close = F.coalesce(F.array_max(pages) - F.array_min(pages) <= 1, F.lit(True))
+        return F.when(whole & close, F.concat_ws(" ", *(F.col("text") if m == "me" else F.col(m)["text"] for m in members)))
+
+    runs = F.array_compact(F.array(run("_-1", "me"), run("me", "_1"), run("_-2", "_-1", "me"), run("me", "_1", "_2")))
+    return told.withColumns(near).withColumn("runs", runs).filter("_free").drop("_linked", "_free", *near)
+
+
 def _by_text(old: DataFrame, new: DataFrame) -> DataFrame:
-    a, b = old.alias("a"), new.alias("b")
+    """Edited texts of one type and section in nearby places; not if a split or merged neighbour explains the text better."""
     n, m = F.length("a.text"), F.length("b.text")
     part = F.col("a.text").contains(F.col("b.text")) | F.col("b.text").contains(F.col("a.text"))
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.type") == F.col("b.type")) & F.col("a.section").eqNullSafe(F.col("b.section")) & (F.col("a.page") == F.col("b.page"))
-    j = a.filter(F.col("type").isin("p", "li")).join(b, on).filter((n >= LEAST) & (m >= LEAST) & (F.least(n, m) >= LENGTHS * F.greatest(n, m)) & ~part)
-    ratio = j.withColumn("r", similarity(F.col("a.text"), F.col("b.text"))).filter(F.col("r") >= ALIKE)
-    return mutual_best(ratio.select(F.col("a.doc_id").alias("doc_id"), F.col("a.id").alias("old_id"), F.col("b.id").alias("new_id"), (1 - F.col("r")).alias("score")), MARGIN)
+    prose = old.filter(F.col("type").isin(*PROSE) & (F.length("text") >= LEAST))
+    j = _placed(prose, new, (F.col("a.type") == F.col("b.type")) & F.col("a.section").eqNullSafe(F.col("b.section")))
+    alike = j.filter((F.least(n, m) >= LENGTHS * F.greatest(n, m)) & ~part).withColumn("r", similarity(F.col("a.text"), F.col("b.text"))).filter(F.col("r") >= ALIKE)
+    better = explained(F.col("a.text"), F.col("b.text"), F.col("b.runs"), F.col("r")) | explained(F.col("b.text"), F.col("a.text"), F.col("a.runs"), F.col("r"))
+    kept = alike.withColumn("better", better).filter("not better")
+    return mutual_best(kept.select(F.col("a.doc_id").alias("doc_id"), F.col("a.id").alias("old_id"), F.col("b.id").alias("new_id"), (1 - F.col("r")).alias("score")), MARGIN)
 
 
 def link(old: DataFrame, new: DataFrame) -> DataFrame:
-    """doc_id, old_id, new_id, step: anchors, unique signatures, places of equal ones, their turn, labels, then similar texts. Ambiguous rows stay unlinked."""
+    """doc_id, old_id, new_id, step: anchors, pictures, unique signatures, places of equal ones, their turn, labels, then similar texts. Ambiguous rows and notes stay unlinked."""
+    old, new = (settled(df.filter(~F.col("type").isin("note", "card"))) for df in (old, new))
+    visual = lambda df: df.filter("type in ('fig', 'tab', 'eq')")
     steps = {
         "anchor": lambda a, b: _pairs(a, b, ["type", "anchor"]),
+        "picture": lambda a, b: _pairs(visual(a), visual(b), ["type", "fingerprint"]),
         "signature": lambda a, b: _pairs(a, b, ["sig"]),
         "place": _by_place,
         "turn": _by_turn,
-        "label": lambda a, b: _pairs(a.filter("type in ('fig', 'tab', 'sec', 'sub', 'ssub')"), b, ["type", "n", "section"]),
-        "text": _by_text,
+        "label": _by_label,
     }
+    if "fingerprint" not in old.columns or "fingerprint" not in new.columns:
+        del steps["picture"]
     found = None
     for name, step in steps.items():
         a = old if found is None else _without(old, found, "old_id")
         b = new if found is None else _without(new, found, "new_id")
         some = settled(step(a, b).withColumn("step", F.lit(name)))
         found = some if found is None else found.unionByName(some)
-    return found
+    text = _by_text(_with_runs(old, found, "old_id"), _with_runs(new, found, "new_id")).withColumn("step", F.lit("text"))
+    return found.unionByName(settled(text))
 
 
 def with_changes(old: DataFrame, new: DataFrame, links: DataFrame) -> DataFrame:

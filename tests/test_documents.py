@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import random
 import tempfile
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -44,10 +47,113 @@ def test_duplicates_without_places_need_equal_counts(spark):
 
 
 def test_edited_prose_links_unless_ambiguous(spark):
-    old = [block(1, PROSE)]
-    assert linked(spark, old, [block(11, PROSE.replace("3", "4"))]) == {(1, 11): "text"}
-    assert linked(spark, old, [block(11, PROSE.replace("3", "4")), block(12, PROSE.replace("3", "5"))]) == {}
-    assert linked(spark, old, [block(11, PROSE[:60])]) == {}
+    old = [block(1, PROSE, y=100)]
+    edit = PROSE.replace("3", "4")
+    assert linked(spark, old, [block(11, edit, y=104)]) == {(1, 11): "text"}
+    assert linked(spark, old, [block(11, edit, y=400)]) == {} == linked(spark, old, [block(11, edit)]) == linked(spark, old, [block(11, edit, page=2, y=104)])
+    assert linked(spark, old, [block(11, edit, y=100), block(12, PROSE.replace("3", "5"), y=104)]) == {}
+    assert linked(spark, old, [block(11, PROSE[:60], y=100)]) == {}
+
+
+def test_split_and_merged_paragraphs_stay_unlinked(spark):
+    whole = f"{PROSE} It was hot. {PROSE} The end was near."
+    parts = [block(11, whole[:-6].replace("3", "4"), y=100), block(12, whole[-5:], y=132)]
+    assert linked(spark, [block(1, whole, y=100)], parts) == {} == linked(spark, parts, [block(1, whole, y=100)])
+    assert linked(spark, [block(1, whole, y=100)], [parts[0], block(12, whole[-5:], y=132, section="2")]) == {(1, 11): "text"}
+
+
+def test_labels_pictures_and_notes(spark):
+    old = [block(1, "x", kind="tab", n="Table 2", page=3), block(2, "y", kind="fig", n="Figure 1"), block(3, "a note", kind="note")]
+    assert linked(spark, old, [block(11, "z", kind="tab", n="Table 2", page=4), block(12, "w", kind="fig", n="Figure 1", page=3), block(13, "a note", kind="note")]) == {(1, 11): "label"}
+    with_print = lambda rows, prints: spark.createDataFrame([(*r, p) for r, p in zip(rows, prints, strict=True)], LINK + ", fingerprint string")
+    got = linkage.link(with_print(old[1:], ["f", "f"]), with_print([block(21, "q", kind="fig"), block(22, "r", kind="fig")], ["f", None])).collect()
+    assert [(r["old_id"], r["new_id"], r["step"]) for r in got] == [(2, 21, "picture")]
+
+
+def near(a, b):
+    """The score of two rectangles of a page, or None."""
+    if a["page"] is None or a["page"] != b["page"] or a["x0"] is None or b["x0"] is None:
+        return None
+    w = max(0, min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]))
+    both = w * max(0, min(a["y1"], b["y1"]) - max(a["y0"], b["y0"]))
+    size = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+    iou = both / (size(a) + size(b) - both)
+    far = math.dist(((a["x0"] + a["x1"]) / 2, (a["y0"] + a["y1"]) / 2), ((b["x0"] + b["x1"]) / 2, (b["y0"] + b["y1"]) / 2))
+    reach = max(24, min(60, max(a["y1"] - a["y0"], b["y1"] - b["y0"]) / 2))
+    return 1 - iou + far / 1000 if iou >= 0.15 or far <= reach and w >= 0.5 * min(a["x1"] - a["x0"], b["x1"] - b["x0"]) else None
+
+
+def one_by_one(old, new):
+    """The links of one document by comparing all pairs, in plain loops."""
+    found, ratio = {}, lambda x, y: SequenceMatcher(None, x, y, autojunk=False).ratio()
+    free = lambda rows, side: [r for r in rows if r["type"] != "note" and all(p[side] != r["id"] for p in found)]
+
+    def by_key(step, key, fits=lambda a, b: True):
+        a, b = ({k: [r for r in rows if key(r) == k] for k in {key(r) for r in rows} - {None}} for rows in (free(old, 0), free(new, 1)))
+        found.update({(a[k][0]["id"], b[k][0]["id"]): step for k in a.keys() & b.keys() if len(a[k]) == len(b[k]) == 1 and fits(a[k][0], b[k][0])})
+
+    def by_score(step, scores, margin):
+        while True:
+            picks = []
+            for (o, n), s in scores.items():
+                rest = [t for (p, q), t in scores.items() if (p == o) != (q == n)]
+                if all(t - s > margin for t in rest):
+                    picks.append((o, n))
+            if not picks:
+                return
+            found.update(dict.fromkeys(picks, step))
+            scores = {k: s for k, s in scores.items() if not any(k[0] == o or k[1] == n for o, n in picks)}
+
+    def explained(rows, side, r, target, score):
+        mine = sorted((x for x in rows if x["type"] != "note"), key=lambda x: x["ord"])
+        left, i = {x["id"] for x in free(rows, side)}, next(k for k, x in enumerate(mine) if x["id"] == r["id"])
+        for lo, hi in ((i - 1, i), (i, i + 1), (i - 2, i), (i, i + 2)):
+            run = mine[max(lo, 0) : hi + 1]
+            if lo < 0 or len(run) < hi - lo + 1 or any(x["id"] not in left or (x["type"], x["section"]) != (r["type"], r["section"]) for x in run):
+                continue
+            text = " ".join(x["text"] for x in run)
+            if max(x["page"] for x in run) - min(x["page"] for x in run) <= 1 and abs(len(target) - len(text)) < abs(len(target) - len(r["text"])) and ratio(target, text) > score + 0.01:
+                return True
+        return False
+
+    by_key("anchor", lambda r: r["anchor"] and (r["type"], r["anchor"]))
+    by_key("signature", lambda r: r["sig"])
+    pairs = lambda: [(a, b) for a in free(old, 0) for b in free(new, 1)]
+    by_score("place", {(a["id"], b["id"]): near(a, b) for a, b in pairs() if a["sig"] == b["sig"] and near(a, b) is not None}, 1e-6)
+    at = lambda r: (r["sig"], r["page"], r["section"])
+    for k in {at(r) for r in free(old, 0)}:
+        a, b = (sorted((r for r in free(rows, side) if at(r) == k), key=lambda r: r["ord"]) for side, rows in ((0, old), (1, new)))
+        if len(a) == len(b):
+            found.update({(x["id"], y["id"]): "turn" for x, y in zip(a, b, strict=True) if x["x0"] is None or y["x0"] is None or near(x, y) is not None})
+    by_key("label", lambda r: r["n"] and r["type"] in linkage.LABELLED and (r["type"], r["n"], r["section"]) or None, lambda a, b: abs(a["page"] - b["page"]) <= 1)
+    scores = {}
+    for a, b in pairs():
+        x, y = a["text"], b["text"]
+        if a["type"] != b["type"] or a["type"] not in linkage.PROSE or a["section"] != b["section"] or near(a, b) is None or len(x) < 40 or min(len(x), len(y)) < 0.9 * max(len(x), len(y)) or x in y or y in x:
+            continue
+        s = ratio(x, y)
+        if s >= 0.94 and not explained(new, 1, b, x, s) and not explained(old, 0, a, y, s):
+            scores[a["id"], b["id"]] = 1 - s
+    by_score("text", scores, 0.025)
+    return found
+
+
+def test_links_equal_a_comparison_of_all_pairs(spark):
+    draw, names = random.Random(5), [c.split()[0] for c in LINK.split(", ")]
+    made = {0: [], 1: []}
+    for doc in range(20):
+        for side in made:
+            for i in range(18):
+                text = draw.choice([PROSE, PROSE.replace("3", str(draw.randrange(10))), PROSE[:-6], PROSE[-5:], "twice", f"unique {i}", f"other {draw.random()}"])
+                kind = draw.choice(["p", "p", "p", "p", "li", "sec", "tab", "note"])
+                r = block(100 * side + i, text, draw.choice([1, 1, 2, 3]), draw.choice([None] * 5 + list(range(0, 200, 20))), draw.choice([None] * 9 + list("abcd")), kind, draw.choice([None, None, "1", "2"]), draw.choice(["1", "1", "1", "2"]))
+                made[side].append((doc, *r[1:]))
+    got = {(r["doc_id"], r["old_id"], r["new_id"]): r["step"] for r in linkage.link(*(spark.createDataFrame(made[side], LINK) for side in made)).collect()}
+    want = {}
+    for doc in range(20):
+        old, new = ([dict(zip(names, r, strict=True)) for r in made[side] if r[0] == doc] for side in made)
+        want |= {(doc, *k): step for k, step in one_by_one(old, new).items()}
+    assert got == want and {"anchor", "signature", "place", "turn", "label", "text"} <= set(want.values())
 
 
 def span(page, block_no, line, x, y, text, size=10.0, bold=False, wide=100.0):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from folium.functions import html
@@ -53,6 +55,33 @@ def test_grid_places_spans_and_finds_faults(spark):
     assert {r["t"]: r["fault"] for r in grids.grid_faults(squares, "t").collect()} == {"ok": None, "bad": "ragged"}
 
 
+def test_grids_equal_placing_cell_by_cell(spark):
+    draw = random.Random(3)
+    cells = [(t, r, k, f"{r}.{k}", draw.choice([1, 1, 1, 2, 3]), draw.choice([1, 1, 1, 2, 4])) for t in range(40) for r in range(5) for k in range(draw.randrange(1, 5))]
+    want = []
+    for t in range(40):
+        taken = []
+        for _, r, _, text, wide, high in sorted(c for c in cells if c[0] == t):
+            free = next(c for c in range(99) if (r, c) not in taken)
+            covered = [(r + i, free + j) for i in range(high) for j in range(wide)]
+            taken += covered
+            want += [(t, *square, text) for square in covered]
+    draw.shuffle(cells)
+    got = grids.place_cells(spark.createDataFrame(cells, "t long, r int, k int, text string, colspan int, rowspan int"), "t").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_folds_are_linear_in_a_long_document(spark):
+    rows = spark.range(100_000).select(F.lit(1).alias("doc"), F.col("id").alias("ord"), F.lit("t").alias("text"), F.when(F.col("id") % 10 == 0, F.col("id") / 10 % 3).cast("int").alias("depth"))
+    packed = sequence.pack(rows, "doc", "ord", F.lit(7), 700, 60).collect()
+    assert [(r["batch"], r["first"], r["last"], r["n"], r["size"]) for r in sorted(packed)][-1] == (1666, 99960, 99999, 40, 280) and len(packed) == 1667
+    paths = sequence.section_paths(rows, "doc", "ord", F.col("depth"), F.col("ord").cast("string"))
+    assert paths.columns == [*rows.columns, "path"] and paths.filter("ord = 99999").first()["path"] == ["99990"]
+    assert paths.filter("ord = 99989").first()["path"] == ["99960", "99970", "99980"]
+    assert sequence.anchored_clusters(rows, "doc", "ord", 9.0).agg(F.count("*"), F.max("n")).first()[:] == (10_000, 10)
+    assert sequence.pack(rows.filter("false"), "doc", "ord", F.lit(7), 700, 60).count() == 0
+
+
 def test_best_cells_keep_ties(spark):
     rows = spark.createDataFrame([(1, 0, 0.3), (1, 0, 0.5), (1, 0, 0.5), (1, 1, 9.0)], "t int, c int, v double")
     assert grids.best_cells(rows, "t", "c", F.col("v")).count() == 2
