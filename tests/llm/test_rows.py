@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,40 @@ def test_mixture(spark, awkward, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def cut_by_sorting(frame):
+    """doc_id to copies: all documents sorted by rank in memory, whole copies first, then the beginning of the ranking that fits, then fills."""
+    rows = frame.select("doc_id", "source", "text", mixing._uniform(17, "doc_id", "key").alias("u"), "key").collect()
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows}
+    of = defaultdict(list)
+    for r in rows:
+        of[r["source"]].append(r)
+    total = {s: sum(size[r["doc_id"]] for r in rs) for s, rs in of.items()}
+    target, copies = waterfill(total, (3, 1, 2), 1.5, 2), {}
+    for s, rs in of.items():
+        sure, p = divmod(min(target[s] / total[s], 2) if total[s] else 0, 1)
+        copies |= {r["doc_id"]: int(sure) for r in rs}
+        left = target[s] - sure * total[s]
+        odds = {r["doc_id"]: r["u"] * (1 - p) / (r["u"] * (1 - p) + (1 - r["u"]) * p) if p else None for r in rs}
+        for i in sorted(odds, key=lambda i: odds[i]) if p else ():
+            if size[i] > left:
+                break
+            left -= size[i]
+            copies[i] += 1
+        for _ in range(mixing.FILLS):
+            fits = [i for i in odds if p and copies[i] == sure and 0 < size[i] <= left]
+            if fits:
+                best = max(fits, key=lambda i: (size[i], -odds[i]))
+                left -= size[best]
+                copies[best] += 1
+    return copies
+
+
+def test_cut_equals_sorting_in_memory(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("key", F.xxhash64("text"))
+    for frame in (docs, docs.withColumn("source", F.lit("one")), docs.withColumn("source", F.when(F.col("doc_id") % 9 > 0, F.col("source")))):
+        assert {r["doc_id"]: r["copies"] for r in mixing.mix(frame.drop("key")).collect()} == cut_by_sorting(frame)
+
+
 def test_propensity_shifts_inclusion(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
     got = mixing.mix(docs, factor=0.5, propensity=F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0)).groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.sum("copies").alias("n")).collect()
@@ -267,6 +302,35 @@ def test_pipeline(spark, awkward, nothing):
         assert set(corpus_pipeline.STAGES[-1][1](spark, now, DATA).columns) >= {"doc_id", "text", "taken"}
 
 
+def test_pipeline_equals_its_stages_one_after_the_other(spark):
+    """SQL for quality and decontamination, all pairs for near duplicates, a sort for the mixture."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{DATA}/benchmark.parquet'; CREATE TABLE documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    con.execute(f"CREATE TABLE judged AS {SQL['op2_quality_cascade']}")
+    con.execute("DELETE FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM judged WHERE kept)")
+    sets = {}
+    for i, text in con.execute("SELECT doc_id, text FROM documents").fetchall():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+    first = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and first[a] != first[b]:
+                low, high = sorted((first[a], first[b]))
+                first = {i: low if f == high else f for i, f in first.items()}
+    con.execute("DELETE FROM documents WHERE doc_id IN (SELECT unnest(?::BIGINT[]))", [[i for i in sets if first[i] != i]])
+    con.execute(f"CREATE TABLE met AS {SQL['op3_decontaminate']}")
+    con.execute("DELETE FROM documents WHERE doc_id IN (SELECT doc_id FROM met WHERE contaminated)")
+    left = [r[0] for r in con.execute("SELECT doc_id FROM documents").fetchall()]
+    clean = corpus_pipeline.replace_personal_data(spark, docs.filter(F.col("doc_id").isin(left)), DATA)
+    assert 0 < len(left) < len(sets) < docs.count()
+    want = {i: n for i, n in cut_by_sorting(clean.withColumn("key", F.xxhash64("text"))).items() if n}
+    rows = corpus_pipeline.run(spark, DATA).collect()
+    assert {r["doc_id"]: r["copies"] for r in rows} == want
+    assert {r["doc_id"]: r["text"] for r in rows}.items() <= {r["doc_id"]: r["text"] for r in clean.collect()}.items()
+
+
 def test_pipeline_drops_rows_one_by_one(spark, tmp_path):
     text = lambda a: " ".join(f"{a}{i}" for i in range(60))
     passage = " ".join(f"bench{i}" for i in range(12))
