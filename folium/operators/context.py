@@ -66,6 +66,21 @@ def barriers(rows: DataFrame, is_heading: Column, is_body: Column) -> DataFrame:
     return rows.withColumns({"above": above, "below": below})
 
 
+def captioned(items: DataFrame, page: list[str], caption: Column, artwork: Column, barrier: Column) -> DataFrame:
+    """page, id, art, gap: captions (fig or tab, else null) with their artwork, of items (page, id, y0, y1) in one column each.
+
+    A figure's artwork is the nearest above its caption, a table's the nearest below; a barrier in between parts them. Of several captions of one artwork the nearest has it.
+    """
+    w = Window.partitionBy(*page).orderBy("y0", "id")
+    mark = F.when(artwork | barrier, F.struct(artwork.alias("art"), "id", "y0", "y1"))
+    above = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    below = F.first(mark, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    near = items.withColumns({"_kind": caption, "_above": above, "_below": below}).withColumn("_near", F.when(F.col("_kind") == "fig", F.col("_above")).when(F.col("_kind") == "tab", F.col("_below"))).filter("_near.art")
+    pairs = near.select(*page, "id", F.col("_near.id").alias("art"), F.greatest(F.col("y0") - F.col("_near.y1"), F.col("_near.y0") - F.col("y1"), F.lit(0)).alias("gap"))
+    place = F.row_number().over(Window.partitionBy(*page, "art").orderBy("gap", "id"))
+    return pairs.withColumn("_place", place).filter("_place = 1").drop("_place")
+
+
 def kept_refs(refs: Column, known: Column, most: int) -> Column:
     """References in order, each once, that are among the known, `most` at most."""
     return F.slice(F.filter(F.array_distinct(refs), lambda r: F.array_contains(known, r)), 1, most)

@@ -151,3 +151,17 @@ def other_versions(spark, sf_dir):
     """Versions that assets name besides a document's own."""
     g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("vs"), F.max("o_orderpriority").alias("own"))
     return g.select("o_custkey", F.size(F.array_except("vs", F.array("own"))).cast("bigint").alias("others"))
+
+
+@query(
+    "captioned_artwork",
+    f"""WITH {RICH}, it AS (SELECT doc_id, ord % 2 AS col, ord, CASE WHEN type IN ('fig', 'tab') THEN 'art' WHEN type = 'sec' THEN 'bar' WHEN type = 'p' AND ord % 3 = 1 THEN 'fig' WHEN type = 'p' AND ord % 3 = 2 THEN 'tab' END AS k FROM rich),
+    c AS (SELECT doc_id, col, ord, k, CASE WHEN k = 'fig' THEN (SELECT max(m.ord) FROM it m WHERE m.doc_id = c.doc_id AND m.col = c.col AND m.k IN ('art', 'bar') AND m.ord < c.ord) ELSE (SELECT min(m.ord) FROM it m WHERE m.doc_id = c.doc_id AND m.col = c.col AND m.k IN ('art', 'bar') AND m.ord > c.ord) END AS near FROM it c WHERE k IN ('fig', 'tab'))
+    SELECT c.doc_id, c.ord AS id, c.near AS art, abs(c.ord - c.near) * 20 - 15 AS gap FROM c JOIN it a ON a.doc_id = c.doc_id AND a.ord = c.near AND a.k = 'art' QUALIFY row_number() OVER (PARTITION BY c.doc_id, c.near ORDER BY gap, c.ord) = 1""",
+)
+def captioned_artwork(spark, sf_dir):
+    """Captions and their artwork, in documents of two columns; headings part them."""
+    ord_, kind = F.col("ord"), F.col("type")
+    items = rich_blocks(spark, sf_dir).select("doc_id", (ord_ % 2).alias("col"), ord_.alias("id"), (ord_ * 20).alias("y0"), (ord_ * 20 + 15).alias("y1"), kind)
+    caption = F.when((kind == "p") & (F.col("id") % 3 == 1), "fig").when((kind == "p") & (F.col("id") % 3 == 2), "tab")
+    return O.captioned(items, ["doc_id", "col"], caption, kind.isin("fig", "tab"), kind == "sec").select("doc_id", "id", "art", "gap")
