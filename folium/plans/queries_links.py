@@ -102,8 +102,9 @@ def best_cells(spark, sf_dir):
 @query(
     "table_grid",
     """WITH n AS (SELECT l_orderkey, 1 + l_partkey % 2 AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
-    g AS (SELECT l_orderkey, n, sum(w * CASE WHEN n > 3 AND i = 0 OR n = 4 AND i = 2 THEN 2 ELSE 1 END) AS squares, sum(w) FILTER (i < 3) AS top, sum(w) FILTER (i BETWEEN 3 AND 5) AS mid, sum(w) FILTER (i > 5) AS low, max(w) FILTER (i = 0) AS w0, max(w) FILTER (i = 1) AS w1, max(w) FILTER (i = 3) AS w3 FROM n GROUP BY ALL)
-    SELECT l_orderkey, CAST(squares AS BIGINT) AS squares, CASE WHEN n < 4 THEN NULL WHEN n = 4 THEN CASE WHEN w3 > w1 THEN 'overlap' WHEN w3 < w1 THEN 'gap' END WHEN w0 + mid <> top OR coalesce(low, top) <> top THEN 'ragged' END AS fault FROM g""",
+    f AS (SELECT l_orderkey, n, w, i, i // 3 AS r, max(w) FILTER (i = 0) OVER (PARTITION BY l_orderkey) AS w0 FROM n),
+    wide AS (SELECT l_orderkey, n, sum(w) + CASE WHEN r = 1 THEN max(w0) ELSE 0 END AS wide, sum(w * CASE WHEN n > 3 AND i = 0 OR n = 4 AND i = 2 THEN 2 ELSE 1 END) AS squares, max(w) FILTER (i = 1) AS w1, max(w) FILTER (i = 3) AS w3 FROM f GROUP BY l_orderkey, n, r)
+    SELECT l_orderkey, CAST(sum(squares) AS BIGINT) AS squares, CASE WHEN n = 4 THEN CASE WHEN max(w3) > max(w1) THEN 'overlap' WHEN max(w3) < max(w1) THEN 'gap' END WHEN min(wide) <> max(wide) THEN 'ragged' END AS fault FROM wide GROUP BY l_orderkey, n""",
 )
 def table_grid(spark, sf_dir):
     """Each order as a table of rows of three cells, placed on a grid and checked; the first cell reaches down a row, of four cells the third as well."""
