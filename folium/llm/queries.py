@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, gru_lm, licences, mixing, ngram_join, phrase_index, pii, quality, suffix_dedup, warc
+from . import chat, gru_lm, licences, mixing, ngram_join, phrase_index, pii, quality, suffix_dedup, token_alignment, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_licence_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"))
