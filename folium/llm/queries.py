@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, gru_lm, licences, mixing, ngram_join, phrase_index, pii, quality, suffix_dedup, token_alignment, warc
+from . import chat, fingerprints, gru_lm, lexical_search, licences, mixing, ngram_join, phrase_index, pii, quality, suffix_dedup, token_alignment, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_token_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_lexical_search",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SPLIT} AS w FROM documents),
+    s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d),
+    q AS (SELECT item_id, t, count(*) AS repeats FROM (SELECT item_id, unnest({_SPLIT}) AS t FROM benchmark) GROUP BY ALL),
+    p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+    f AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+    c AS (SELECT item_id, r, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score FROM p JOIN f USING (t) JOIN q USING (t), s GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM c WHERE score > 0
+    QUALIFY rank <= 20
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_fingerprints")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_versions(table(spark, sf_dir, "documents"))
