@@ -34,7 +34,7 @@ TABLE = 8
 BLOCK_DIGESTS = 10
 #: Rounds of peeling; each takes the single digests of each table in turn.
 ROUNDS = 5
-#: Cells in each table when a block is tried again, with other hashes each time.
+#: Cells in each table when a block is tried again, powers of 2, with other hashes each time.
 RETRIES = (16, 32, 64, 128, 128, 128)
 #: Rows of neighbouring ids that are put in order by one task, up to so many groups.
 ROWS = 1000
@@ -48,21 +48,24 @@ def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def _hash(digest: Column, salt: int) -> Column:
-    return F.xxhash64(digest, F.lit(salt))
+def _hash(digest: Column, salt: Column) -> Column:
+    return F.xxhash64(digest, salt)
 
 
 def _check(h: Column) -> Column:
     return F.shiftright(h, 32).bitwiseAND(F.lit(_MASK))
 
 
-def _shift(value: Column, by: Column) -> Column:
-    return F.call_function("shiftrightunsigned", value, by)
+def _at(h: Column, cell: Column, bits: Column) -> Column:
+    """Whether the digest with hash h goes to this cell, numbered through the three tables of 2 ** bits cells."""
+    mask = F.call_function("shiftleft", F.lit(1), bits) - 1
+    own = F.call_function("shiftrightunsigned", h, F.call_function("shiftright", cell, bits) * 10)
+    return own.bitwiseAND(mask.cast("bigint")) == cell.bitwiseAND(mask).cast("bigint")
 
 
-def _at(h: Column, cell: Column, table: int) -> Column:
-    bits = table.bit_length() - 1
-    return _shift(h, F.shiftright(cell, bits) * 10).bitwiseAND(F.lit(table - 1)) == cell.bitwiseAND(F.lit(table - 1)).cast("bigint")
+def _first() -> tuple[Column, Column]:
+    """Bits and salt of the first size."""
+    return F.lit(TABLE.bit_length() - 1), F.lit(0)
 
 
 def paragraphs(text: Column) -> Column:
@@ -78,7 +81,7 @@ def _empty() -> Column:
     return _cell(F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def sketch(entries: Column, versions: int, table: int, salt: int) -> Column:
+def sketch(entries: Column, versions: int, bits: Column, salt: Column) -> Column:
     """Cells of entries (digest k, bits m of the versions that have it): for each cell an array of one struct a version."""
     hashed = F.transform(entries, lambda e: F.struct(e["k"].alias("k"), e["m"].alias("m"), _hash(e["k"], salt).alias("h")))
 
@@ -87,8 +90,9 @@ def sketch(entries: Column, versions: int, table: int, salt: int) -> Column:
         one = lambda v: _cell(cells[v]["n"] + own(v), cells[v]["k"].bitwiseXOR(e["k"] * own(v)), cells[v]["c"].bitwiseXOR(_check(e["h"]) * own(v)))
         return F.array(*(one(v) for v in range(versions)))
 
-    zero = F.array(*[_empty()] * versions)
-    return _let(hashed, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(3 * table - 1)), lambda cell: F.aggregate(F.filter(all_, lambda e: _at(e["h"], cell, table)), zero, add)))
+    zero = F.array(*[_empty() for _ in range(versions)])
+    cells = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(3), bits) - 1)
+    return _let(hashed, lambda all_: F.transform(cells, lambda cell: F.aggregate(F.filter(all_, lambda e: _at(e["h"], cell, bits)), zero, add)))
 
 
 def difference(cells: Column, left: int, right: int) -> Column:
@@ -96,44 +100,41 @@ def difference(cells: Column, left: int, right: int) -> Column:
     return F.transform(cells, lambda c: _cell(c[left]["n"] - c[right]["n"], c[left]["k"].bitwiseXOR(c[right]["k"]), c[left]["c"].bitwiseXOR(c[right]["c"])))
 
 
-def peeled(cells: Column, table: int, salt: int) -> Column:
-    """ok, and found: the digests k left in the difference, n 1 if only the left has it, -1 if only the right."""
+def peeled(cells: Column, bits: Column, salt: Column) -> Column:
+    """ok, and found: the digests k left in the difference, n 1 if only the left has it, -1 if only the right.
 
-    def single(c: Column) -> Column:
-        return (F.abs(c["n"]) == 1) & (_check(_hash(c["k"], salt)) == c["c"])
+    Each turn takes out the digests that are alone in a cell of one table; there each is in one cell only.
+    """
+    less = lambda c, e: _cell(c["n"] - e["n"], c["k"].bitwiseXOR(e["k"]), c["c"].bitwiseXOR(_check(e["h"])))
+    single = lambda c: (F.abs(c["n"]) == 1) & (_check(_hash(c["k"], salt)) == c["c"])
+    table = F.call_function("shiftleft", F.lit(1), bits)
 
-    def take(state: Column, k: int) -> Column:
-        """Takes out the digests that are alone in a cell of table k; there each is in one cell only."""
+    def turn(state: Column, k: Column) -> Column:
         alone = F.transform(F.filter(F.slice(state["cells"], k * table + 1, table), single), lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), _hash(c["k"], salt).alias("h")))
 
-        def out(p: Column) -> Column:
-            less = lambda c, e: _cell(c["n"] - e["n"], c["k"].bitwiseXOR(e["k"]), c["c"].bitwiseXOR(_check(e["h"])))
-            cells = F.transform(state["cells"], lambda c, i: F.aggregate(F.filter(p, lambda e: _at(e["h"], i, table)), c, less))
-            return F.struct(cells.alias("cells"), F.concat(state["found"], F.transform(p, lambda e: F.struct(e["k"].alias("k"), e["n"].alias("n")))).alias("found"))
+        def without(p: Column) -> Column:
+            left = F.transform(state["cells"], lambda c, i: F.aggregate(F.filter(p, lambda e: _at(e["h"], i, bits)), c, less))
+            return F.struct(left.alias("cells"), F.concat(state["found"], F.transform(p, lambda e: F.struct(e["k"].alias("k"), e["n"].alias("n")))).alias("found"))
 
-        return _let(alone, lambda p: F.when(F.size(p) == 0, state).otherwise(out(p)))
+        return _let(alone, lambda p: F.when(F.size(p) == 0, state).otherwise(without(p)))
 
-    none = F.array().cast("array<struct<k: bigint, n: int>>")
-    start = F.struct(cells.alias("cells"), none.alias("found"))
-    turns = F.sequence(F.lit(1), F.lit(ROUNDS))
-    end = F.aggregate(turns, start, lambda s, _: _let(_let(take(s, 0), lambda s: take(s, 1)), lambda s: take(s, 2)))
+    start = F.struct(cells.alias("cells"), _none().alias("found"))
+    turns = F.flatten(F.array_repeat(F.array(F.lit(0), F.lit(1), F.lit(2)), ROUNDS))
     clear = lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0)
-    return _let(end, lambda e: F.struct(F.forall(e["cells"], clear).alias("ok"), e["found"].alias("found")))
+    return F.aggregate(turns, start, turn, lambda s: F.struct(F.forall(s["cells"], clear).alias("ok"), s["found"].alias("found")))
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<k: bigint, n: int>>")
 
 
 def _retried(found: Column, entries: Column, versions: int, right: int) -> Column:
     """found if it is ok, else the first size of RETRIES at which the block peels."""
     if not RETRIES:
         return found
-
-    def again(k: int, last: Column) -> Column:
-        if k == len(RETRIES):
-            return last
-        table = RETRIES[k]
-        new = peeled(difference(sketch(entries, versions, table, k + 1), 0, right), table, k + 1)
-        return F.when(last["ok"], last).otherwise(_let(new, lambda x: again(k + 1, x)))
-
-    return _let(found, lambda x: again(0, x))
+    sizes = F.array(*(F.struct(F.lit(t.bit_length() - 1).alias("bits"), F.lit(k).alias("salt")) for k, t in enumerate(RETRIES, 1)))
+    again = lambda last, size: F.when(last["ok"], last).otherwise(peeled(difference(sketch(entries, versions, size["bits"], size["salt"]), 0, right), size["bits"], size["salt"]))
+    return F.aggregate(sizes, found, again)
 
 
 def _told(cells: Column) -> Column:
@@ -161,7 +162,7 @@ def compare_fingerprints(left: Column, right: Column) -> Column:
     less = lambda l, r: _cell(l["n"] - r["n"], l["k"].bitwiseXOR(r["k"]), l["c"].bitwiseXOR(r["c"]))  # noqa: E731, E741
 
     def of(both: Column) -> Column:
-        found = peeled(F.zip_with(both["l"], both["r"], less), TABLE, 0)
+        found = peeled(F.zip_with(both["l"], both["r"], less), *_first())
         side = lambda x, n: F.transform(F.filter(x["found"], lambda e: e["n"] == n), lambda e: e["k"])
         told = lambda x: F.struct(_likeness(count(both["l"]), count(both["r"]), F.size(x["found"])).alias("likeness"), side(x, 1).alias("only_left"), side(x, -1).alias("only_right"))
         return _let(found, lambda x: F.when(x["ok"], told(x)))
@@ -180,14 +181,15 @@ def compare(rows: DataFrame, keys: list[str], versions: list[str]) -> DataFrame:
     most = reduce(F.greatest, [F.size(lists[v]) for v in versions[1:]], F.size(lists[versions[0]])) + F.size(lists[versions[0]]) if len(versions) > 1 else F.size(lists[versions[0]])
     marked = lambda p, bit: F.transform(p, lambda d: F.struct(d.alias("k"), F.lit(bit).alias("m")))
     entries = F.concat(*(marked(p, 1 << k) for k, p in enumerate(lists.values())))
-    one = cut.select(*keys, F.ceil(most / BLOCK_DIGESTS).cast("int").alias("_blocks"), F.explode_outer(entries).alias("_e"))
+    listed = cut.select(*keys, F.ceil(most / BLOCK_DIGESTS).cast("int").alias("_blocks"), entries.alias("_entries"))
+    one = listed.select(*keys, "_blocks", F.explode_outer("_entries").alias("_e"))
     sets = one.groupBy(*keys, "_blocks", F.col("_e.k").alias("_k")).agg(F.bit_or("_e.m").alias("_m"))
     block = F.pmod(F.shiftright("_k", 8), F.greatest("_blocks", F.lit(1))).alias("_block")
     blocks = sets.select(*keys, block, F.when(F.col("_k").isNotNull(), F.struct(F.col("_k").alias("k"), F.col("_m").alias("m"))).alias("_e")).groupBy(*keys, "_block").agg(F.collect_list("_e").alias("_all"))
     n = len(versions)
-    cells = blocks.select(*keys, "_all", sketch(F.col("_all"), n, TABLE, 0).alias("_cells"))
+    cells = blocks.select(*keys, "_all", sketch(F.col("_all"), n, *_first()).alias("_cells"))
     later = list(enumerate(versions))[1:]
-    found = cells.select(*keys, "_cells", *(_retried(peeled(difference(F.col("_cells"), 0, k), TABLE, 0), F.col("_all"), n, k).alias(f"_f_{v}") for k, v in later))
+    found = cells.select(*keys, "_cells", *(_retried(peeled(difference(F.col("_cells"), 0, k), *_first()), F.col("_all"), n, k).alias(f"_f_{v}") for k, v in later))
     side = lambda v, s: F.flatten(F.collect_list(F.transform(F.filter(f"_f_{v}.found", lambda e: e["n"] == s), lambda e: e["k"])))
     summed = found.groupBy(*keys).agg(
         F.collect_list("_cells").alias("_cells"),
@@ -197,7 +199,7 @@ def compare(rows: DataFrame, keys: list[str], versions: list[str]) -> DataFrame:
         *(side(v, -1).alias(f"only_{v}") for _, v in later),
     )
     plus = lambda l, r: F.zip_with(l, r, lambda x, y: _cell(x["n"] + y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"])))  # noqa: E731, E741
-    nothing = F.array_repeat(F.array(*[_empty()] * n), 3 * TABLE)
+    nothing = F.array_repeat(F.array(*[_empty() for _ in range(n)]), 3 * TABLE)
     small = F.aggregate("_cells", nothing, lambda a, b: F.zip_with(a, b, plus))
     of = lambda k: F.transform("_cells", lambda c: c[k])
     folded = summed.withColumn("_cells", small)
