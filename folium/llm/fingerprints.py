@@ -1,17 +1,15 @@
 """Fingerprints of documents: invertible Bloom lookup sketches of their paragraphs, by built-in functions only.
 
 A paragraph is a line; a longer line is cut after the first sentence end at which a piece has 60 characters. A sketch has three
-tables of cells; each distinct paragraph digest goes to one cell in each, which holds how many came, and the XORs of
-the digests and of their checks. The sketches of two versions subtract cell by cell, and what both have cancels out; then a
+tables of cells; each distinct paragraph digest (48 bits of a hash and 16 that check them) goes to one cell in each, which holds how
+many came and their XOR. The sketches of two versions subtract cell by cell, and what both have cancels out; then a
 cell with one digest left names it, it is taken out of its other cells, and so on (`peeled`), until the digests that only
 one version has are all known. Their number gives the likeness: of all distinct digests of both, the share that both have.
 
-Peeling fails where the difference is too large for the cells. A fingerprint therefore exists in sizes: it is a
-number of blocks of 3 * TABLE cells, digests being dealt to blocks by their bits, and the small one that is returned as a string
-is the sum of the blocks of a larger one. `compare` takes as many blocks as the paragraphs of its versions need (BLOCK_DIGESTS in a
-block), so that long texts become many rows and no array grows with them but the list of a text's paragraphs; a block
-that fails is tried again, each time with twice the cells and other hashes (RETRIES). `compare_fingerprints` works on the strings alone
-and gives null where they are too small.
+Peeling fails where the difference is too large for the cells. The string that is returned is a sketch of 3 * TABLE cells;
+`compare_fingerprints` works on two of them alone and gives null where they are too small. `compare` makes sketches as large as the paragraphs of
+both versions may need; their cells are rows that Spark sums, and each turn of the peeling is an aggregation of them. A
+row's cells stay in one partition from the first sum to the last. Pairs that fail are tried again with twice the cells and other hashes, until none is left.
 
 Cases: a null text is an empty one; texts without a paragraph are all alike (likeness 1); repeated rows have results each;
 rows without doc_id follow all others; rows with one doc_id follow each other in the order of a hash of their texts; an empty table
@@ -21,26 +19,27 @@ gives an empty result; other columns are ignored, whatever their names. Repeated
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small, staged
+
 #: Lines, cut after the first sentence end at which a piece has 60 characters or more.
 PARAGRAPH = r"[^\n]{59}[^\n]*?[.!?](?=[ \n]|$)|[^\n]+"
 #: Cells in each of the three tables of a block, a power of 2.
 TABLE = 8
-#: Digests of a version and the first together in a block, on average.
-BLOCK_DIGESTS = 10
+#: The least and most cells in a table of the sketches that are compared, and how many digests of both versions together come to one at most: so few that two rounds nearly always do.
+LEAST, MOST, LOAD = 16, 1 << 24, 0.6
 #: Rounds of peeling; each takes the single digests of each table in turn.
-ROUNDS = 5
-#: Cells in each table when a block is tried again, powers of 2, with other hashes each time.
-RETRIES = (16, 32, 64, 128, 128, 128)
+ROUNDS = 2
+#: How often a pair that fails is tried again.
+RETRIES = 12
 #: Rows of neighbouring ids that are put in order by one task, up to so many groups.
 ROWS = 1000
 GROUPS = 16_384
 
-_MASK = (1 << 31) - 1
+_CHECK = (1 << 16) - 1
+_TABLES = range(3)
 
 
 def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
@@ -48,106 +47,94 @@ def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def _hash(digest: Column, salt: Column) -> Column:
-    return F.xxhash64(digest, salt)
+def _checked(h: Column) -> Column:
+    """A hash whose last 16 bits check the others."""
+    top = F.shiftright(h, 16)
+    return F.shiftleft(top, 16).bitwiseXOR(F.xxhash64(top).bitwiseAND(F.lit(_CHECK)))
 
 
-def _check(h: Column) -> Column:
-    return F.shiftright(h, 32).bitwiseAND(F.lit(_MASK))
+def _checks(digest: Column) -> Column:
+    return F.xxhash64(F.shiftright(digest, 16)).bitwiseXOR(digest).bitwiseAND(F.lit(_CHECK)) == 0
 
 
-def _at(h: Column, cell: Column, bits: Column) -> Column:
-    """Whether the digest with hash h goes to this cell, numbered through the three tables of 2 ** bits cells."""
-    mask = F.call_function("shiftleft", F.lit(1), bits) - 1
-    own = F.call_function("shiftrightunsigned", h, F.call_function("shiftright", cell, bits) * 10)
-    return own.bitwiseAND(mask.cast("bigint")) == cell.bitwiseAND(mask).cast("bigint")
+def _places(digest: Column, table: Column, salt: Column, *more: Column) -> Column:
+    """A struct of the digest's places p0, p1, p2 in the three tables, and more."""
+    place = lambda h, i: F.shiftrightunsigned(h, 10 * i).bitwiseAND(table.cast("bigint") - 1).cast("int").alias(f"p{i}")
+    return _let(F.xxhash64(digest, salt), lambda h: F.struct(*more, *(place(h, i) for i in _TABLES)))
 
 
 def _first() -> tuple[Column, Column]:
-    """Bits and salt of the first size."""
-    return F.lit(TABLE.bit_length() - 1), F.lit(0)
+    """Cells in a table and salt of the first size."""
+    return F.lit(TABLE), F.lit(0)
 
 
 def paragraphs(text: Column) -> Column:
     """The digests of a text's paragraphs."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p))
-
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0)), lambda p: _checked(F.xxhash64(p)))
 
-def _cell(n: Column, k: Column, c: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), k.alias("k"), c.alias("c"))
 
+def _cell(n: Column, k: Column) -> Column:
+    return F.struct(n.cast("int").alias("n"), k.alias("k"))
 
-def _empty() -> Column:
-    return _cell(F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
 
+def _zero() -> Column:
+    return _cell(F.lit(0), F.lit(0).cast("bigint"))
 
-def sketch(entries: Column, versions: int, bits: Column, salt: Column) -> Column:
-    """Cells of entries (digest k, bits m of the versions that have it): for each cell an array of one struct a version."""
-    hashed = F.transform(entries, lambda e: F.struct(e["k"].alias("k"), e["m"].alias("m"), _hash(e["k"], salt).alias("h")))
 
-    def add(cells: Column, e: Column) -> Column:
-        own = lambda v: F.shiftright(e["m"], v).bitwiseAND(F.lit(1))
-        one = lambda v: _cell(cells[v]["n"] + own(v), cells[v]["k"].bitwiseXOR(e["k"] * own(v)), cells[v]["c"].bitwiseXOR(_check(e["h"]) * own(v)))
-        return F.array(*(one(v) for v in range(versions)))
+def sketch(digests: Column, table: Column, salt: Column) -> Column:
+    """The cells of digests, the three tables one after another."""
+    placed = F.transform(digests, lambda d: _places(d, table, salt, d.alias("k"), F.lit(1).alias("n")))
+    add = lambda c, e: _cell(c["n"] + e["n"], c["k"].bitwiseXOR(e["k"]))
 
-    zero = F.array(*[_empty() for _ in range(versions)])
-    cells = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(3), bits) - 1)
-    return _let(hashed, lambda all_: F.transform(cells, lambda cell: F.aggregate(F.filter(all_, lambda e: _at(e["h"], cell, bits)), zero, add)))
+    def tables(all_: Column) -> Column:
+        one = lambda i: F.transform(F.sequence(F.lit(0), table - 1), lambda cell: F.aggregate(F.filter(all_, lambda e: e[f"p{i}"] == cell), _zero(), add))
+        return F.concat(*(one(i) for i in _TABLES))
 
+    return _let(placed, tables)
 
-def difference(cells: Column, left: int, right: int) -> Column:
-    """The cells of one version less those of another."""
-    return F.transform(cells, lambda c: _cell(c[left]["n"] - c[right]["n"], c[left]["k"].bitwiseXOR(c[right]["k"]), c[left]["c"].bitwiseXOR(c[right]["c"])))
 
-
-def peeled(cells: Column, bits: Column, salt: Column) -> Column:
+def peeled(cells: Column, table: Column, salt: Column) -> Column:
     """ok, and found: the digests k left in the difference, n 1 if only the left has it, -1 if only the right.
 
     Each turn takes out the digests that are alone in a cell of one table; there each is in one cell only.
     """
-    less = lambda c, e: _cell(c["n"] - e["n"], c["k"].bitwiseXOR(e["k"]), c["c"].bitwiseXOR(_check(e["h"])))
-    single = lambda c: (F.abs(c["n"]) == 1) & (_check(_hash(c["k"], salt)) == c["c"])
-    table = F.call_function("shiftleft", F.lit(1), bits)
+    less = lambda c, e: _cell(c["n"] - e["n"], c["k"].bitwiseXOR(e["k"]))
 
-    def turn(state: Column, k: Column) -> Column:
-        alone = F.transform(F.filter(F.slice(state["cells"], k * table + 1, table), single), lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), _hash(c["k"], salt).alias("h")))
+    def out(state: Column, e: Column) -> Column:
+        def left(i: int) -> Column:
+            cells, at = state[f"t{i}"], e[f"p{i}"]
+            return F.concat(F.slice(cells, F.lit(1), at), F.array(less(cells[at], e)), F.slice(cells, at + 2, table))
 
-        def without(p: Column) -> Column:
-            left = F.transform(state["cells"], lambda c, i: F.aggregate(F.filter(p, lambda e: _at(e["h"], i, bits)), c, less))
-            return F.struct(left.alias("cells"), F.concat(state["found"], F.transform(p, lambda e: F.struct(e["k"].alias("k"), e["n"].alias("n")))).alias("found"))
+        found = F.concat(state["found"], F.array(F.struct(e["k"].alias("k"), e["n"].alias("n"))))
+        return F.struct(*(left(i).alias(f"t{i}") for i in _TABLES), found.alias("found"), F.lit(0).alias("idle"))
 
-        return _let(alone, lambda p: F.when(F.size(p) == 0, state).otherwise(without(p)))
+    def turn(state: Column, k: int) -> Column:
+        alone = F.filter(state[f"t{k}"], lambda c: (F.abs(c["n"]) == 1) & _checks(c["k"]))
+        told = F.transform(alone, lambda c: _places(c["k"], table, salt, c["k"].alias("k"), c["n"].alias("n")))
+        one_more = F.struct(*(state[f"t{i}"].alias(f"t{i}") for i in _TABLES), state["found"].alias("found"), (state["idle"] + 1).alias("idle"))
+        return F.aggregate(told, one_more, out)
 
-    start = F.struct(cells.alias("cells"), _none().alias("found"))
-    turns = F.flatten(F.array_repeat(F.array(F.lit(0), F.lit(1), F.lit(2)), ROUNDS))
-    clear = lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0)
-    return F.aggregate(turns, start, turn, lambda s: F.struct(F.forall(s["cells"], clear).alias("ok"), s["found"].alias("found")))
+    start = F.struct(*(F.slice(cells, table * i + 1, table).alias(f"t{i}") for i in _TABLES), _none().alias("found"), F.lit(0).alias("idle"))
+    turns = F.flatten(F.array_repeat(F.array(*(F.lit(i) for i in _TABLES)), ROUNDS))
+    clear = lambda c: (c["n"] == 0) & (c["k"] == 0)
+    # when no table has had a single digest, none will
+    one = lambda s, i: F.when(s["idle"] >= len(_TABLES), s).when(i == 0, turn(s, 0)).when(i == 1, turn(s, 1)).otherwise(turn(s, 2))
+    end = lambda s: F.struct((F.forall(s["t0"], clear) & F.forall(s["t1"], clear) & F.forall(s["t2"], clear)).alias("ok"), s["found"].alias("found"))
+    return F.aggregate(turns, start, one, end)
 
 
 def _none() -> Column:
     return F.array().cast("array<struct<k: bigint, n: int>>")
 
 
-def _retried(found: Column, entries: Column, versions: int, right: int) -> Column:
-    """found if it is ok, else the first size of RETRIES at which the block peels."""
-    if not RETRIES:
-        return found
-    sizes = F.array(*(F.struct(F.lit(t.bit_length() - 1).alias("bits"), F.lit(k).alias("salt")) for k, t in enumerate(RETRIES, 1)))
-    again = lambda last, size: F.when(last["ok"], last).otherwise(peeled(difference(sketch(entries, versions, size["bits"], size["salt"]), 0, right), size["bits"], size["salt"]))
-    return F.aggregate(sizes, found, again)
-
-
 def _told(cells: Column) -> Column:
-    """Cells as a string: count, digests and checks of each, nothing for an empty one."""
-    one = lambda c: F.when(c["n"] == 0, "").otherwise(F.concat_ws(".", c["n"].cast("string"), c["k"].cast("string"), c["c"].cast("string")))
+    """Cells as a string: count and digests of each, nothing for an empty one."""
+    one = lambda c: F.when(c["n"] == 0, "").otherwise(F.concat_ws(".", c["n"].cast("string"), c["k"].cast("string")))
     return F.array_join(F.transform(cells, one), ",")
 
 
 def _read(fingerprint: Column) -> Column:
-    def one(x: Column) -> Column:
-        p = F.split(x, r"\.")
-        return F.when(x == "", _empty()).otherwise(_cell(p[0].cast("int"), p[1].cast("bigint"), p[2].cast("bigint")))
-
+    one = lambda x: F.when(x == "", _zero()).otherwise(_cell(F.split(x, r"\.")[0], F.split(x, r"\.")[1].cast("bigint")))
     return F.transform(F.split(fingerprint, ",", -1), one)
 
 
@@ -159,7 +146,7 @@ def _likeness(a: Column, b: Column, d: Column) -> Column:
 def compare_fingerprints(left: Column, right: Column) -> Column:
     """Of two fingerprint strings: likeness, only_left and only_right (digests); null if they are too small for the difference."""
     count = lambda cells: F.aggregate(F.slice(cells, 1, TABLE), F.lit(0), lambda n, c: n + c["n"])
-    less = lambda l, r: _cell(l["n"] - r["n"], l["k"].bitwiseXOR(r["k"]), l["c"].bitwiseXOR(r["c"]))  # noqa: E731, E741
+    less = lambda l, r: _cell(l["n"] - r["n"], l["k"].bitwiseXOR(r["k"]))  # noqa: E731, E741
 
     def of(both: Column) -> Column:
         found = peeled(F.zip_with(both["l"], both["r"], less), *_first())
@@ -170,51 +157,83 @@ def compare_fingerprints(left: Column, right: Column) -> Column:
     return _let(F.struct(_read(left).alias("l"), _read(right).alias("r")), of)
 
 
-def compare(rows: DataFrame, keys: list[str], versions: list[str]) -> DataFrame:
-    """keys (which tell rows apart); for each column of versions (texts) fingerprint_<v>; for each but the first near_<v>, and the digests
-    only_first_<v> and only_<v> that only the first or only v has.
+def _place(k: Column, table: int, salt: int, size: Column) -> Column:
+    return F.xxhash64(k, F.lit(3 * salt + table)).bitwiseAND(size - 1)
+
+
+def _signed(lists: DataFrame, key: str, versions: list[str], salt: int) -> DataFrame:
+    """key, v, s (cells in a table), t, i, n, k: the cells of the first version less those of version v, those that are left."""
+    first = F.col(f"_p_{versions[0]}")
+    marked = lambda p, v, n, s: F.transform(p, lambda d: F.struct(d.alias("k"), F.lit(v).alias("v"), F.lit(n).cast("bigint").alias("n"), s.alias("s")))
+    parts = []
+    for v, name in enumerate(versions[1:], 1):
+        other = F.col(f"_p_{name}")
+        need = F.greatest(F.lit(LEAST), (F.size(first) + F.size(other)) / LOAD)
+        size = F.least(F.lit(MOST), F.shiftleft(F.pow(F.lit(2.0), F.ceil(F.log2(need))).cast("bigint"), salt))
+        parts += [marked(first, v, 1, size), marked(other, v, -1, size)]
+    one = lists.select(key, F.explode(F.concat(*parts)).alias("e")).select(key, "e.*")
+    cells = one.select(key, "v", "s", "n", "k", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), _place(F.col("k"), t, salt, F.col("s")).alias("i")) for t in _TABLES))).alias("c"))
+    return _summed(cells.select(key, "v", "s", "c.t", "c.i", "n", "k"), key)
 
-    The rows of a key stay in their partition if rows are dealt by columns of keys.
+
+def _summed(cells: DataFrame, key: str) -> DataFrame:
+    return cells.groupBy(key, "v", "s", "t", "i").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k")).filter("n <> 0 OR k <> 0")
+
+
+def _turn(cells: DataFrame, key: str, table: int, salt: int, digests: bool) -> DataFrame:
+    """The digests that are alone in a cell of a table taken out of all three; each goes to a row of its own (t 3), or to one that counts them."""
+    n, k, s = F.col("n"), F.col("k"), F.col("s")
+    cell = lambda t, i, n: F.struct(F.lit(t).alias("t") if isinstance(t, int) else t.alias("t"), i.alias("i"), n.alias("n"), k.alias("k"))
+    own = cell(F.col("t"), F.col("i"), n)
+    single = (F.col("t") == table) & (F.abs(n) == 1) & _checks(k)
+    told = cell(3, k, n) if digests else cell(3, F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))
+    out = F.when(single, F.array(own, *(cell(t, _place(k, t, salt, s), -n) for t in _TABLES), told)).otherwise(F.array(own))
+    return _summed(cells.select(key, "v", "s", F.explode(out).alias("c")).select(key, "v", "s", "c.*"), key)
+
+
+def _attempt(lists: DataFrame, key: str, versions: list[str], salt: int, digests: bool) -> DataFrame:
+    """key, v, ok, d, and with digests left and right: what peeling finds for each row and version."""
+    cells = _signed(lists.repartition(key), key, versions, salt)
+    for _ in range(ROUNDS):
+        for table in _TABLES:
+            cells = _turn(cells, key, table, salt, digests)
+    side = lambda n: F.collect_list(F.when((F.col("t") == 3) & (F.col("n") == n), F.col("k")))
+    more = [side(1).alias("left"), side(-1).alias("right")] if digests else []
+    return cells.groupBy(key, "v").agg(F.min(F.col("t") == 3).alias("ok"), F.coalesce(F.sum(F.when(F.col("t") == 3, F.lit(1) if digests else F.col("n"))), F.lit(0)).alias("d"), *more)
+
+
+def compare(rows: DataFrame, key: str, versions: list[str], digests: bool = True) -> DataFrame:
+    """rows without the columns of versions (texts), but with fingerprint_<v> of each and near_<v> of each but the first; with digests also
+    only_first_<v> and only_<v>, the digests that only the first or only v has. key tells rows apart.
     """
-    lists = {v: F.col(f"_p_{v}") for v in versions}
-    cut = rows.select(*keys, *(paragraphs(F.col(v)).alias(f"_p_{v}") for v in versions))
-    most = reduce(F.greatest, [F.size(lists[v]) for v in versions[1:]], F.size(lists[versions[0]])) + F.size(lists[versions[0]]) if len(versions) > 1 else F.size(lists[versions[0]])
-    marked = lambda p, bit: F.transform(p, lambda d: F.struct(d.alias("k"), F.lit(bit).alias("m")))
-    entries = F.concat(*(marked(p, 1 << k) for k, p in enumerate(lists.values())))
-    listed = cut.select(*keys, F.ceil(most / BLOCK_DIGESTS).cast("int").alias("_blocks"), entries.alias("_entries"))
-    one = listed.select(*keys, "_blocks", F.explode_outer("_entries").alias("_e"))
-    sets = one.groupBy(*keys, "_blocks", F.col("_e.k").alias("_k")).agg(F.bit_or("_e.m").alias("_m"))
-    block = F.pmod(F.shiftright("_k", 8), F.greatest("_blocks", F.lit(1))).alias("_block")
-    blocks = sets.select(*keys, block, F.when(F.col("_k").isNotNull(), F.struct(F.col("_k").alias("k"), F.col("_m").alias("m"))).alias("_e")).groupBy(*keys, "_block").agg(F.collect_list("_e").alias("_all"))
-    n = len(versions)
-    cells = blocks.select(*keys, "_all", sketch(F.col("_all"), n, *_first()).alias("_cells"))
-    later = list(enumerate(versions))[1:]
-    found = cells.select(*keys, "_cells", *(_retried(peeled(difference(F.col("_cells"), 0, k), *_first()), F.col("_all"), n, k).alias(f"_f_{v}") for k, v in later))
-    side = lambda v, s: F.flatten(F.collect_list(F.transform(F.filter(f"_f_{v}.found", lambda e: e["n"] == s), lambda e: e["k"])))
-    summed = found.groupBy(*keys).agg(
-        F.collect_list("_cells").alias("_cells"),
-        *(F.sum(F.size(f"_f_{v}.found")).alias(f"_d_{v}") for _, v in later),
-        *(F.min(f"_f_{v}.ok").alias(f"_ok_{v}") for _, v in later),
-        *(side(v, 1).alias(f"only_first_{v}") for _, v in later),
-        *(side(v, -1).alias(f"only_{v}") for _, v in later),
-    )
-    plus = lambda l, r: F.zip_with(l, r, lambda x, y: _cell(x["n"] + y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"])))  # noqa: E731, E741
-    nothing = F.array_repeat(F.array(*[_empty() for _ in range(n)]), 3 * TABLE)
-    small = F.aggregate("_cells", nothing, lambda a, b: F.zip_with(a, b, plus))
-    of = lambda k: F.transform("_cells", lambda c: c[k])
-    folded = summed.withColumn("_cells", small)
-    told = folded.select(
-        *keys,
-        *(of(k).alias(f"_v_{v}") for k, v in enumerate(versions)),
-        *(c for c in summed.columns if c not in (*keys, "_cells")),
-    )
-    count = lambda v: F.aggregate(F.slice(f"_v_{v}", 1, TABLE), F.lit(0), lambda n, c: n + c["n"])
-    return told.select(
-        *keys,
-        *(_told(F.col(f"_v_{v}")).alias(f"fingerprint_{v}") for v in versions),
-        *(F.when(F.col(f"_ok_{v}"), _likeness(count(versions[0]), count(v), F.col(f"_d_{v}"))).alias(f"near_{v}") for _, v in later),
-        *(f"only_first_{v}" for _, v in later),
-        *(f"only_{v}" for _, v in later),
+    kept = [c for c in rows.columns if c not in versions]
+    lists = [f"_p_{v}" for v in versions]
+    base = staged(rows.select(*kept, *(F.array_distinct(paragraphs(F.col(v))).alias(p) for v, p in zip(versions, lists, strict=True))), "fingerprint-digests", "zstd")
+    found = staged(_attempt(base.select(key, *lists), key, versions, 0, digests), "fingerprint-peeled", "zstd")
+    done = found.filter("ok")
+    for salt in range(1, RETRIES + 1):
+        stuck = found.filter("NOT ok").select(key, "v")
+        if stuck.isEmpty():
+            break
+        again = base.select(key, *lists).join(small(stuck.select(key).distinct()), key, "left_semi")
+        found = staged(_attempt(again, key, versions, salt, digests).join(small(stuck), [key, "v"], "left_semi"), "fingerprint-peeled", "zstd")
+        done = done.unionByName(found.filter("ok"))
+    else:
+        done = done.unionByName(found.filter("NOT ok"))
+    one = lambda c, v: F.max(F.when(F.col("v") == v, F.col(c)))
+    names = ["d", "ok", *(["left", "right"] if digests else [])]
+    wide = done.groupBy(key).agg(*(one(c, v).alias(f"_{c}_{name}") for v, name in enumerate(versions[1:], 1) for c in names))
+    both = base.join(wide, key, "left")
+    none = F.array().cast("array<bigint>")
+    size = lambda v: F.size(f"_p_{v}")
+    first = versions[0]
+    later = versions[1:]
+    return both.select(
+        *kept,
+        *(_told(sketch(F.col(p), *_first())).alias(f"fingerprint_{v}") for v, p in zip(versions, lists, strict=True)),
+        *(F.when(F.coalesce(f"_ok_{v}", F.lit(True)), _likeness(size(first), size(v), F.coalesce(f"_d_{v}", F.lit(0)))).alias(f"near_{v}") for v in later),
+        *(F.coalesce(f"_left_{v}", none).alias(f"only_first_{v}") for v in later if digests),
+        *(F.coalesce(f"_right_{v}", none).alias(f"only_{v}") for v in later if digests),
     )
 
 
@@ -267,7 +286,7 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprint_versions(docs: DataFrame) -> DataFrame:
     """For each row of docs its fingerprint, that of its edited text, and how alike it is to that and to the next row's text."""
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next")))
-    kept = rows.select("group", "number", "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next")
-    keys = ["group", "number", "doc_id", "n_chars", "edited_sha256"]
-    told = compare(kept, keys, ["text", "edited", "next"])
+    row = F.shiftleft(F.col("group").cast("bigint"), 32) + F.col("number")
+    kept = rows.select(row.alias("row"), "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next")
+    told = compare(kept, "row", ["text", "edited", "next"], digests=False)
     return told.select("doc_id", "n_chars", "edited_sha256", F.col("fingerprint_text").alias("fingerprint"), F.col("fingerprint_edited").alias("edited_fingerprint"), "near_edited", "near_next")

@@ -81,13 +81,14 @@ def edited_texts(docs):
 
 def test_digests_are_recovered_and_small_blocks_are_tried_again(spark, monkeypatch):
     """Blocks far too small at first: later sizes recover every digest."""
-    monkeypatch.setattr(fp, "BLOCK_DIGESTS", 40)
+    monkeypatch.setattr(fp, "LOAD", 8.0)
+    monkeypatch.setattr(fp, "LEAST", 1)
     rng = random.Random(8)
     words = [f"line {k}" for k in range(400)]
     rows = [(k, "\n".join(rng.sample(words, rng.randint(0, 90))), "\n".join(rng.sample(words, rng.randint(0, 90)))) for k in range(60)]
     frame = spark.createDataFrame(rows, "id long, a string, b string")
-    digest = {r["w"]: r["d"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("d")).collect()}
-    for r in fp.compare(frame, ["id"], ["a", "b"]).collect():
+    digest = {r["w"]: r["d"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", fp._checked(F.xxhash64("w")).alias("d")).collect()}
+    for r in fp.compare(frame, "id", ["a", "b"]).collect():
         a, b = ({digest[w] for w in rows[r["id"]][i].split("\n") if w} for i in (1, 2))
         assert sorted(r["only_first_b"]) == sorted(a - b) and sorted(r["only_b"]) == sorted(b - a) and r["near_b"] == pytest.approx(likeness(a, b))
 
@@ -96,7 +97,7 @@ def test_strings_alone(spark):
     lines = [f"line {k}" for k in range(60)]
     rows = [(0, lines, lines), (1, lines, lines[:-2] + ["new"]), (2, [], []), (3, [], ["one"]), (4, lines[:30], lines[30:])]
     frame = spark.createDataFrame([(k, "\n".join(a), "\n".join(b)) for k, a, b in rows], "id long, a string, b string")
-    made = fp.compare(frame, ["id"], ["a", "b"]).select("id", "near_b", fp.compare_fingerprints(F.col("fingerprint_a"), F.col("fingerprint_b")).alias("c"))
+    made = fp.compare(frame, "id", ["a", "b"]).select("id", "near_b", fp.compare_fingerprints(F.col("fingerprint_a"), F.col("fingerprint_b")).alias("c"))
     read = {r["id"]: (r["near_b"], r["c"]) for r in made.collect()}
     assert all(read[k][1]["likeness"] == read[k][0] for k in (0, 1, 2, 3)) and read[4] == (0.0, None)
     assert len(read[1][1]["only_left"]) == 2 and len(read[1][1]["only_right"]) == 1
@@ -111,5 +112,9 @@ def test_awkward_rows(spark, awkward, nothing):
 
 
 def test_no_python_in_the_plan(spark):
-    plan = QUERIES["op11_fingerprints"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    lists = docs.select("doc_id", *(fp.paragraphs(F.col("text")).alias(f"_p_{v}") for v in "ab"))
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (fp.with_next(docs), fp._attempt(lists, "doc_id", ["a", "b"], 0, False), QUERIES["op11_fingerprints"](spark, DATA))]
+    assert not any(word in p for p in plans for word in ("Python", "Arrow"))
+    # from the first sum of cells to the last turn nothing is shuffled
+    assert plans[0].count("Exchange hashpartitioning") == plans[1].count("Exchange hashpartitioning") == 1
