@@ -177,3 +177,25 @@ def decorated_tables(spark, sf_dir):
     models = spark.createDataFrame([("Net-RO",), ("net-rf",), ("Net-NO",), ("Net-N",)], "name string")
     own, best = tables.decorated(cells, "l_orderkey", models)
     return best.select("l_orderkey", F.lit("best").alias("kind"), "r", F.col("c").cast("int").alias("c"), "text").unionByName(own.select("l_orderkey", F.lit("own").alias("kind"), "r", F.lit(None).cast("int").alias("c"), F.lit(None).cast("string").alias("text")))
+
+
+@query(
+    "restored_tables",
+    f"""WITH {_LINES} SELECT l_orderkey, CASE l_orderkey % 6 WHEN 1 THEN 1 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE 0 END AS attempt, CASE l_orderkey % 6 WHEN 2 THEN 'numeric_mismatch' WHEN 3 THEN 'invalid' END AS error FROM l WHERE i = 1""",
+)
+def restored_tables(spark, sf_dir):
+    """Tables recovered in two attempts: unchanged, with another figure, with another label, unsound, or in place of an unsound one."""
+    lines = _lines(spark, sf_dir)
+    kind = F.col("l_orderkey") % 6
+    cell = lambda head, r, k, text: F.struct(F.lit(head).alias("head"), r.cast("int").alias("r"), F.lit(k).alias("k"), text.alias("text"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"))
+    at = F.col("i") - 1
+    extra = F.when((kind == 5) & (F.col("i") == 1), cell(False, at, 2, F.lit("odd")))
+    body = lines.select("l_orderkey", F.inline(F.array_compact(F.array(cell(False, at, 0, F.col("flag")), cell(False, at, 1, F.concat("qty", F.lit(" ± "), "off")), extra))))
+    head = lines.filter("i = 1").select("l_orderkey", F.inline(F.array(cell(True, F.lit(0), 0, F.lit("Flag")), cell(True, F.lit(0), 1, F.lit("Quantity")))))
+    other = (kind.isin(2, 4, 5) | ((kind == 1) & (F.col("a") == 0))) & (F.col("i") == F.col("n"))
+    label = F.when((kind == 4) & (F.col("i") == 1), "Z").otherwise(F.col("flag"))
+    row = F.concat(F.lit("<tr><td>"), label, F.lit("</td><td><b>"), F.when(other, F.lit("77777")).otherwise(F.col("qty")), F.lit("</b> &#177; "), F.col("off"), F.lit("</td>"), F.when((kind == 3) & (F.col("i") == 1), "<td>x</td>").otherwise(""), F.lit("</tr>"))
+    tried = lines.withColumn("a", F.explode(F.array(F.lit(0), F.lit(1)))).filter(~((kind == 3) & (F.col("a") == 1)))
+    html = F.concat(F.lit("<table><thead><tr><th>Flag</th><th>Quantity</th></tr></thead>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", row.alias("row")))), lambda x: x["row"]), ""), F.lit("</table>"))
+    answers = tried.groupBy("l_orderkey", F.col("a").alias("attempt")).agg(html.alias("html"))
+    return tables.restored(head.unionByName(body), answers, "l_orderkey")
