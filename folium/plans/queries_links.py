@@ -76,7 +76,18 @@ def state_fingerprint(spark, sf_dir):
     return g.select("conv_id", F.sha2(F.array_join(F.transform("rs", lambda r: r["s"]), "\n"), 256).alias("state"))
 
 
-@query("html_page_blocks")
+#: Tags by place; a block's text goes from the tag that opens it to the next that opens or closes one.
+_PAGE_BLOCKS = r"""WITH s AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<(?:script|style|nav|footer)\b[^>]*>.*?</(?:script|style|nav|footer)>', '', 'g') AS h FROM pages),
+t AS (SELECT page_id, unnest(string_split(h, '<')) AS t, generate_subscripts(string_split(h, '<'), 1) AS i FROM s),
+e AS (SELECT page_id, i, lower(regexp_extract(t, '^(/?[A-Za-z0-9]+)', 1)) AS tag, regexp_replace(t, '^[^>]*>', '') AS txt FROM t WHERE i > 1),
+m AS (SELECT *, tag IN ('h1', 'h2', 'h3', 'p', 'li', 'pre', 'caption', 'figcaption') AS opens, tag IN ('/h1', '/h2', '/h3', '/p', '/li', '/pre', '/caption', '/figcaption', '/article', '/body', '/div', '/ul', '/ol', '/table') AS closes FROM e),
+g AS (SELECT *, sum((opens OR closes)::INT) OVER (PARTITION BY page_id ORDER BY i) AS g FROM m),
+b AS (SELECT page_id, g, arg_min(tag, i) AS tag, bool_or(opens) AS opens, string_agg(CASE WHEN tag = 'br' THEN ' ' ELSE '' END || txt, '' ORDER BY i) AS txt FROM g GROUP BY page_id, g),
+d AS (SELECT page_id, g, CASE tag WHEN 'h1' THEN 'sec' WHEN 'h2' THEN 'sub' WHEN 'h3' THEN 'ssub' WHEN 'li' THEN 'li' ELSE 'p' END AS type, trim(regexp_replace(replace(replace(replace(replace(replace(txt, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM b WHERE opens)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY g) - 1 AS ord, type, text FROM d WHERE text <> ''"""
+
+
+@query("html_page_blocks", _PAGE_BLOCKS)
 def html_page_blocks(spark, sf_dir):
     return html_blocks(table(spark, sf_dir, "pages"))
 
