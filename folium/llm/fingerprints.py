@@ -32,6 +32,8 @@ TABLE = 8
 LEAST, MOST, LOAD = 16, 1 << 24, 0.6
 #: Rounds of peeling; each takes the single digests of each table in turn.
 ROUNDS = 2
+#: Digests that one task sums to cells and peels.
+TASK_DIGESTS = 300_000
 #: How often a pair that fails is tried again.
 RETRIES = 12
 #: Rows of neighbouring ids that are put in order by one task, up to so many groups.
@@ -193,7 +195,10 @@ def _turn(cells: DataFrame, key: str, table: int, salt: int, digests: bool) -> D
 
 def _attempt(lists: DataFrame, key: str, versions: list[str], salt: int, digests: bool) -> DataFrame:
     """key, v, ok, d, and with digests left and right: what peeling finds for each row and version."""
-    cells = _signed(lists.repartition(key), key, versions, salt)
+    # a list is small and its cells are many, so partitions are set by the digests and not by the bytes that are shuffled
+    size = lambda v: F.size(f"_p_{v}")
+    total = lists.agg(*(F.sum(size(versions[0]) + size(v)) for v in versions[1:])).first()
+    cells = _signed(lists.repartition(sum(x or 0 for x in total) // TASK_DIGESTS + 1, key), key, versions, salt)
     for _ in range(ROUNDS):
         for table in _TABLES:
             cells = _turn(cells, key, table, salt, digests)

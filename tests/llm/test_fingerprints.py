@@ -111,7 +111,8 @@ def test_awkward_rows(spark, awkward, nothing):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
-def test_no_python_in_the_plan(spark):
+def test_no_python_in_the_plan(spark, monkeypatch):
+    monkeypatch.setattr(fp, "TASK_DIGESTS", 500)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     lists = docs.select("doc_id", *(fp.paragraphs(F.col("text")).alias(f"_p_{v}") for v in "ab"))
     plans = [x._jdf.queryExecution().executedPlan().toString() for x in (fp.with_next(docs), fp._attempt(lists, "doc_id", ["a", "b"], 0, False), QUERIES["op11_fingerprints"](spark, DATA))]
