@@ -155,3 +155,43 @@ def mended_words(spark, sf_dir):
     cut = F.transform(F.split("text", " "), lambda w, i: F.when(((i + 1) % 5 == 0) & w.rlike("^[a-z]{6,}$"), F.concat(F.substring(w, 1, 3), F.lit("- "), F.substring(w, 4, 1 << 30))).otherwise(w))
     rows = blocks(table(spark, sf_dir, "documents")).select("doc_id", "ord", F.array_join(cut, " ").alias("text"))
     return layout.mended(rows)
+
+
+@query(
+    "styled_lines",
+    f"""WITH {BLOCKS}, w AS (SELECT doc_id, ord, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS k, len(w) AS n FROM (SELECT doc_id, ord, list_filter(string_split_regex(text, '[ \\t]+'), lambda x: regexp_matches(x, '\\S')) AS w FROM blocks)),
+    e AS (SELECT *, replace(replace(replace(w, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM w)
+    SELECT doc_id, ord, string_agg(CASE k % 5 WHEN 1 THEN '<b>' || e || ' </b>' WHEN 2 THEN '<i>' || e || ' </i>' WHEN 3 THEN '<sup>' || e || '</sup>' WHEN 4 THEN '<sub>' || e || '</sub>' ELSE e || CASE WHEN k < n - 1 THEN ' ' ELSE '' END END, '' ORDER BY k) AS text FROM e GROUP BY doc_id, ord""",
+)
+def styled_lines(spark, sf_dir):
+    """Lines of documents whose words are bold, italic, raised by their flag, and lowered by their size and base line, by turns."""
+    words = F.filter(F.split("text", "[ \t]+"), lambda x: x.rlike(r"\S"))
+    rows = blocks(table(spark, sf_dir, "documents")).select("doc_id", "ord", F.posexplode(words).alias("k", "w"))
+    kind = F.col("k") % 5
+    flags = F.when(kind == 1, 16).when(kind == 2, 2).when(kind == 3, 1).otherwise(0)
+    low = kind == 4
+    spans = rows.select("doc_id", "ord", "k", F.when(low, 6.0).otherwise(10.0).alias("size"), flags.alias("flags"), F.when(low, 102.0).otherwise(100.0).alias("y"), F.concat("w", F.lit(" ")).alias("text"))
+    return layout.styled_lines(spans, ["doc_id", "ord"])
+
+
+@query(
+    "paper_metadata",
+    f"""WITH {BLOCKS}, n AS (SELECT doc_id, count(*) AS pages, min(text) FILTER (ord = 0) AS first FROM blocks GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Title ' || doc_id WHEN doc_id % 3 = 1 THEN 'A large title' ELSE 'paper' || doc_id END AS title, CASE WHEN doc_id % 2 = 0 THEN 'Author ' || doc_id WHEN doc_id % 3 <> 2 THEN 'A. One B. Two' ELSE '' END AS authors,
+    CASE WHEN doc_id % 4 = 0 THEN printf('2401.%05d', doc_id % 100000) ELSE '' END AS paper, pages FROM n WHERE pages BETWEEN 1 AND 1000""",
+)
+def paper_metadata(spark, sf_dir):
+    """Titles, authors and ids of papers whose files name some of them, from the lines of a first page."""
+    d = blocks(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("pages"))
+    title = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" Ti\u00adtle "), F.col("doc_id").cast("string")))
+    papers = d.select("doc_id", F.concat(F.lit("paper"), F.col("doc_id").cast("string")).alias("name"), title.alias("title"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Author "), F.col("doc_id").cast("string"))).alias("author"), "pages", F.lit(800.0).alias("height"))
+    line = lambda ord_, y, size, bold, text: F.struct(F.lit(ord_).alias("ord"), F.lit(y).alias("y0"), F.lit(y + 10).alias("y1"), F.lit(size).alias("size"), F.lit(bold).alias("bold"), text.alias("text"))
+    large = F.col("doc_id") % 3 == 1
+    number = F.concat(F.lit("arXiv:2401."), F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0"), F.lit("v1"))
+    lines = F.array_compact(F.array(
+        F.when(large, line(0, 50.0, 20.0, False, F.lit("A large"))), F.when(large, line(1, 72.0, 19.8, False, F.lit("title"))),
+        F.when(F.col("doc_id") % 3 != 2, line(2, 120.0, 11.0, True, F.lit("A. One"))), F.when(F.col("doc_id") % 3 != 2, line(3, 130.0, 11.0, True, F.lit("B. Two"))),
+        F.when(F.col("doc_id") % 3 == 2, line(4, 250.0, 11.0, True, F.lit("Below"))),
+        F.when(F.col("doc_id") % 4 == 0, line(6, 700.0, 30.0, False, number)),
+    ))
+    return layout.paper_metadata(d.select("doc_id", F.inline(lines)), papers)
