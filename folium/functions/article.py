@@ -29,6 +29,7 @@ SKIPPED = {"ltx_authors", "ltx_title_document", "ltx_date", "ltx_note", "ltx_pag
 HEADINGS = {"ltx_title_section": 0, "ltx_title_subsection": 1, "ltx_title_subsubsection": 2}
 NAMED = {"ltx_title_abstract": "Abstract", "ltx_title_bibliography": "References"}
 EQUATION = {"ltx_equation", "ltx_equationgroup"}
+#: Fixed value: how a caption without a marked label begins.
 LABEL = re.compile(r"(Figure|Fig\.|Table)\s*(\d+[a-z]?)(?=[\s:.)]|$)", re.I)
 
 
