@@ -195,3 +195,28 @@ def paper_metadata(spark, sf_dir):
         F.when(F.col("doc_id") % 4 == 0, line(6, 700.0, 30.0, False, number)),
     ))
     return layout.paper_metadata(d.select("doc_id", F.inline(lines)), papers)
+
+
+@query(
+    "recognised_lines",
+    f"""WITH {_LINES}, p AS (SELECT *, n >= 3 AS columns FROM l),
+    t AS (
+      SELECT l_orderkey, i AS line, 0 AS part, columns, CASE WHEN i % 4 = 0 THEN 'wide ' || qty ELSE 'left ' || qty || ' of ' || CASE WHEN columns THEN 'it' ELSE 'it right ' || price || ' there' END END AS text, i % 4 = 0 AS wide FROM p
+      UNION ALL SELECT l_orderkey, i, 1, columns, 'right ' || price || ' there', false FROM p WHERE columns AND i % 4 <> 0),
+    b AS (SELECT *, CASE WHEN columns THEN count(*) FILTER (wide) OVER (PARTITION BY l_orderkey ORDER BY line, part ROWS UNBOUNDED PRECEDING) * 2 - wide::INT ELSE 0 END AS band FROM t)
+    SELECT l_orderkey AS doc_id, 1 AS page, line, part, columns, text, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY band, part, line) - 1 AS INTEGER) AS place FROM b""",
+)
+def recognised_lines(spark, sf_dir):
+    """Words recognised as one long row over two columns, with a wide line at every fourth place; with two rows of a page or fewer they stay one."""
+    lines = _lines(spark, sf_dir)
+    y = F.col("i") * 20
+    word = lambda x, dy, text: F.struct(*_at(x, y + dy, F.lit(x) + 45, y + 10 + dy), text.alias("text"))
+    left = [word(20, 0, F.lit("left")), word(75, 1, F.col("qty")), word(130, -1, F.lit("of")), word(185, 0, F.lit("it"))]
+    right = [word(340, 0, F.lit("right")), word(400, 1.5, F.col("price")), word(460, 0, F.lit("there"))]
+    whole = [F.struct(*_at(100, y, 350, y + 10), F.lit("wide").alias("text")), word(360, 0, F.col("qty"))]
+    words = lines.filter("i % 4 <> 0").select("l_orderkey", "i", "n", F.inline(F.array(*left, *right))).unionByName(lines.filter("i % 4 = 0").select("l_orderkey", "i", "n", F.inline(F.array(*whole))))
+    pages = lines.filter("i = 1").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(600.0).alias("width"))
+    # on shorter pages a word stands over the middle
+    kept = words.withColumn("x1", F.when((F.col("n") < 3) & (F.col("text") == "it"), 310.0).otherwise(F.col("x1")))
+    rows = kept.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("block"), F.col("i").alias("line"), *artwork.BOX, "text")
+    return layout.recognised_lines(rows, pages).select("doc_id", "page", "line", "part", "columns", "text", "place")
