@@ -34,3 +34,12 @@ def test_references_without_a_semicolon_stay(tables):
     put("pages", [(1, "<article><h1>a&amp;&amp;&amp</h1><p>b &lt;c&gt; &quo</p><p>R&D &#39;d&#39; &ampe;</p></article>")], "page_id bigint, html string")
     assert [r["text"] for r in ask("html_page_blocks").orderBy("ord").collect()] == ["a&&&amp", "b <c> &quo", "R&D 'd' &ampe;"]
     assert read("<p>&copy; &nosuch; &amp;lt;") == [("p", "© &nosuch; &lt;")]
+
+
+def test_equal_lines_have_one_order(tables):
+    put, ask = tables
+    rows = [(k, 5 * (k % 2), 1, float(q)) for k in range(40) for q in ((11, 10, 12) if k % 3 else (10, 11, 12))]
+    put("lineitem", rows, "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double")
+    plan = ask("numeric_conflicts")._jdf.queryExecution().analyzed().toString()
+    windows = [line for line in plan.splitlines() if "row_number()" in line and "Window" in line]
+    assert windows and all("l_quantity#" in line.split("row_number()")[1] for line in windows)
