@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions import article
@@ -22,6 +22,11 @@ k AS (SELECT *, (i - 1) % 10 AS j, (i - 1) // 10 + 1 AS g FROM l),
 read AS (SELECT DISTINCT doc_id FROM k WHERE doc_id % 6 <> 1 AND doc_id % 6 <> 2)"""
 
 
+def _number() -> Column:
+    """The paper's id: five digits at least (lpad would cut longer ones)."""
+    return F.format_string("9901.%05d", F.col("doc_id"))
+
+
 def _written(spark, sf_dir) -> DataFrame:
     """doc_id, html: every line is a part of the article by its number; of six documents, one has no article, one draws within its text."""
     line = F.expr("trim(BOTH ' \t\r' FROM text)")
@@ -36,7 +41,7 @@ def _written(spark, sf_dir) -> DataFrame:
         .when(F.col("j") == 3, put("<h3 class='ltx_title ltx_title_subsection'><span class='ltx_tag'>", g, ".1</span>", e, "</h3>"))
         .when(F.col("j") == 4, put("<table class='ltx_equation' id='E", g, "'><tr class='ltx_eqn_row'><td><math display='block' alttext='a_{", g, "}'><mi>a</mi></math></td></tr><tr class='ltx_eqn_row'><td><math><annotation encoding='application/x-tex'>b</annotation></math><span class='ltx_tag ltx_tag_equation'>(", g, ")</span></td></tr></table>"))
         .when((F.col("j") == 5) & (kind == 3), put("<figure class='ltx_figure'><figure><img class='ltx_graphics' src='p1.png'></figure><figure><img class='ltx_graphics' src='p2.png'></figure><figcaption>Figure ", g, ": ", e, "</figcaption></figure>"))
-        .when(F.col("j") == 5, put("<figure class='ltx_figure' id='F", g, "'><img class='ltx_graphics' src='9901.", F.lpad(F.col("doc_id").cast("string"), 5, "0"), "v", F.when((kind == 5) & (F.col("i") > 10), "3").otherwise("2"), "/x", g, ".png'><figcaption><span class='ltx_tag ltx_tag_figure'>Figure ", g, ": </span>", e, "</figcaption></figure>"))
+        .when(F.col("j") == 5, put("<figure class='ltx_figure' id='F", g, "'><img class='ltx_graphics' src='", _number(), "v", F.when((kind == 5) & (F.col("i") > 10), "3").otherwise("2"), "/x", g, ".png'><figcaption><span class='ltx_tag ltx_tag_figure'>Figure ", g, ": </span>", e, "</figcaption></figure>"))
         .when(F.col("j") == 6, put("<figure class='ltx_table'><figcaption class='ltx_caption'>Table ", g, ": ", e, "</figcaption><table class='ltx_tabular'><tr><td>Name</td><td>Score</td></tr><tr><td>ours<td><math alttext='", g, ".5'></math></td></tr></table></figure>"))
         .when(F.col("j") == 7, put("<div class='ltx_para'><p>", e, " <strong class='x'>so</strong> <em>it</em> <span>is</span> <math alttext='x&lt;1'></math><span class='ltx_note'>note</span><script>s()</script></p></div>"))
         .when(F.col("j") == 8, put("<h6 class='ltx_title ltx_title_paragraph'>", e, "</h6>"))
@@ -93,7 +98,7 @@ _ID = "printf('9901.%05d', doc_id)"
 )
 def paper_imports(spark, sf_dir):
     """Where the blocks of each paper come from: its HTML, its HTML with pictures of the PDF, or the PDF, and why."""
-    number = F.concat(F.lit("9901."), F.lpad(F.col("doc_id").cast("string"), 5, "0"))
+    number = _number()
     version = F.when(F.col("doc_id") % 4 == 0, "v2").when(F.col("doc_id") % 4 == 3, "v1").otherwise("")
     papers = _written(spark, sf_dir).select("doc_id", F.concat(number, version).alias("paper"), F.when(F.col("doc_id") % 11 != 0, F.col("html")).alias("html"))
     found = article.articles(papers.filter("html IS NOT NULL"), "paper")

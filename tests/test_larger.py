@@ -43,3 +43,10 @@ def test_equal_lines_have_one_order(tables):
     plan = ask("numeric_conflicts")._jdf.queryExecution().analyzed().toString()
     windows = [line for line in plan.splitlines() if "row_number()" in line and "Window" in line]
     assert windows and all("l_quantity#" in line.split("row_number()")[1] for line in windows)
+
+
+def test_papers_of_more_than_five_digits(tables):
+    put, ask = tables
+    text = "\n".join(f"line {i} of a text" for i in range(24))
+    put("documents", [(i, text) for i in (7, 99999, *range(123450, 123462), 1234560)], "doc_id bigint, text string")
+    assert ask("paper_imports").select("paper").distinct().count() == 15
