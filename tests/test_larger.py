@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from folium.functions.html import read
+from folium.operators import grids
+from folium.operators.tables import decorated
 from folium.plans.catalog import QUERIES, SQL
 
 from .conftest import same
@@ -50,3 +52,18 @@ def test_papers_of_more_than_five_digits(tables):
     text = "\n".join(f"line {i} of a text" for i in range(24))
     put("documents", [(i, text) for i in (7, 99999, *range(123450, 123462), 1234560)], "doc_id bigint, text string")
     assert ask("paper_imports").select("paper").distinct().count() == 15
+
+
+def test_squares_keep_the_columns_of_their_cells(spark):
+    rows = [(k, r, c, f"{k}/{r}/{c}", 1 + (c == 1), 1 + (r + c) % 2, c == 2) for k in range(3000) for r in range(3) for c in range(3)]
+    cells = spark.createDataFrame(rows, "t long, r int, k int, text string, colspan int, rowspan int, flag boolean")
+    got = grids.place_cells(cells, "t", ("text", "flag")).collect()
+    one = sorted(((r["r"], r["c"], r["text"][2:], r["flag"]) for r in got if r["t"] == 7), key=repr)
+    assert len(got) == 3000 * len(one) and one[:4] == [(0, 0, "0/0", False), (0, 1, "0/1", False), (0, 2, "0/1", False), (0, 3, "0/2", True)]
+    assert all(r["flag"] == r["text"].endswith("/2") and r["text"].startswith(f"{r['t']}/") for r in got)
+
+
+def test_names_that_others_contain_are_told_apart(spark):
+    cells = spark.createDataFrame([(1, False, i, 0, t, 1, 1, False, False) for i, t in enumerate(["Net-N old", "Net-NO", "xNet-N", "a Net-NOT Net-N", "other"])], "t long, head boolean, r int, k int, text string, colspan int, rowspan int, numeric boolean, th boolean")
+    own, _ = decorated(cells, "t", spark.createDataFrame([("net-n",), ("Net-NO",)], "name string"))
+    assert sorted(r["r"] for r in own.collect()) == [0, 1, 3]
