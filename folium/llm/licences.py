@@ -8,8 +8,7 @@ paragraphs of the sample that were not trained on, the least probability for nam
 chosen such that at most MISTAKES of them are named. A prediction is confirmed by comparing the paragraph with the
 notices of the family: of one of them, CONFIRM of the words must stand in the paragraph, in line with one another.
 
-Only paragraphs with a telling word are looked at. Every notice has one among the words that
-tell its family, so no confirmed family is lost by that.
+Every paragraph is looked at: a notice may have lost the very word that tells of licences.
 
 Cases: null and empty texts have no paragraphs and no families; very long paragraphs take time in proportion to their words;
 repeated rows are judged each; a null doc_id is kept; an empty table gives an empty result; other columns are ignored.
@@ -57,7 +56,6 @@ MOST = 3
 #: Characters from which a line may be wrapped.
 WRAPPED = 40
 
-_TOLD = rf"(?<![0-9A-Za-z])(?:(?i:{'|'.join(TELLING)})|{'|'.join(TELLING_CAPITALS)})(?![0-9A-Za-z])"
 _MARKS = r"(?m)^[ \t]*(?:#+|//+|/?\*+|--+|;+)[ \t]?"
 _WRAP = rf"(?<=[^\n]{{{WRAPPED}}})(?<![.!?:;])[ \t]*\n[ \t]*(?=[^ \t\n])"
 
@@ -91,10 +89,10 @@ def with_grams(rows: DataFrame) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """key, at, text (_outer: a plain explode would have Spark work the pieces out twice): the paragraphs that have a telling word, of each distinct text that has one."""
-    told = docs.filter(F.col("text").rlike(_TOLD)).select("key", "text").dropDuplicates(["key"])
+    """key, at, text (_outer: a plain explode would have Spark work the pieces out twice): the paragraphs of each distinct text."""
+    told = docs.filter("text IS NOT NULL").select("key", "text").dropDuplicates(["key"])
     blocks = F.split(F.regexp_replace(F.regexp_replace("text", _MARKS, ""), _WRAP, " "), "\n")
-    return told.select("key", F.posexplode_outer(blocks).alias("at", "text")).filter(F.col("text").rlike(_TOLD))
+    return told.select("key", F.posexplode_outer(blocks).alias("at", "text")).filter("trim(text) <> ''")
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -120,10 +118,9 @@ class Classifier:
         self.families, self.weights, self.bias, self.least = families, weights, bias, least
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """rows (key, at, text) with family, probability and confirmed, where an n-gram of the paragraph has weight; the others are unknown."""
-        spelled = staged(_with_words(rows), "licence-words")
+        """rows (key, at, text) that are named, with family, probability and confirmed; the others, and those without an n-gram that has weight, are unknown."""
         k = len(self.families)
-        parts = spelled.select("key", "at", F.explode_outer(F.array_distinct(grams(F.col("w")))).alias("gram")).join(F.broadcast(self.weights), "gram")
+        parts = _with_words(rows).select("key", "at", F.explode_outer(F.array_distinct(grams(F.col("w")))).alias("gram")).join(F.broadcast(self.weights), "gram")
         sums = parts.groupBy("key", "at").agg(*(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)))
         logits = F.array(*(F.col(f"s{i}") + self.bias[i] for i in range(k)))
         scored = sums.select("key", "at", logits.alias("l")).withColumn("top", F.array_max("l"))
@@ -131,8 +128,9 @@ class Classifier:
         best = F.element_at(F.array(*map(F.lit, self.families)), F.array_position("l", F.col("top")).cast("int"))
         named = scored.select("key", "at", best.alias("best"), (1 / total).alias("probability"))
         family = F.when((F.col("best") != UNKNOWN) & (F.col("probability") >= self.least), F.col("best")).otherwise(UNKNOWN)
-        found = staged(named.select("key", "at", family.alias("family"), "probability"), "licence-named")
-        return self._confirmed(spelled, found)
+        found = staged(named.select("key", "at", family.alias("family"), "probability").filter(F.col("family") != UNKNOWN), "licence-named")
+        # words are found again for the few that are named, not kept for all
+        return self._confirmed(_with_words(rows.join(found.select("key", "at"), ["key", "at"], "left_semi")), found)
 
     def _confirmed(self, spelled: DataFrame, found: DataFrame) -> DataFrame:
         """Words of a notice are in line if their places in notice and paragraph differ by about the same: two rows of bands of 2 * DRIFT, set off by DRIFT, hold any that differ by DRIFT at most."""
