@@ -7,7 +7,7 @@ import pytest
 
 from folium.functions.html import read
 from folium.operators import grids
-from folium.operators.tables import decorated
+from folium.operators.tables import decorated, score_tables
 from folium.plans.catalog import QUERIES, SQL
 
 from .conftest import same
@@ -67,3 +67,19 @@ def test_names_that_others_contain_are_told_apart(spark):
     cells = spark.createDataFrame([(1, False, i, 0, t, 1, 1, False, False) for i, t in enumerate(["Net-N old", "Net-NO", "xNet-N", "a Net-NOT Net-N", "other"])], "t long, head boolean, r int, k int, text string, colspan int, rowspan int, numeric boolean, th boolean")
     own, _ = decorated(cells, "t", spark.createDataFrame([("net-n",), ("Net-NO",)], "name string"))
     assert sorted(r["r"] for r in own.collect()) == [0, 1, 3]
+
+
+def _shuffles(df, *without):
+    """How many shuffles the plan of df has, which holds none of the steps."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in without), plan
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_tables_of_figures_take_one_shuffle(spark):
+    words = [(t, 125.0 + 60 * c, 50.0 + 20 * r, 140.0 + 60 * c, 60.0 + 20 * r, f"{r}.{c}") for t in range(50) for r in range(3) for c in range(2)]
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    box = "t int, x0 double, y0 double, x1 double, y1 double"
+    cells = one([(t, 60.0 * c, 0.0, 60.0 * c + 60, 120.0) for t in range(50) for c in range(4)], box)
+    out = score_tables(cells, one(words, f"{box}, text string"), one([], "t int, x0 double, x1 double, y double"), one([(t, 0.0, 120.0, 240.0) for t in range(50)], "t int, y0 double, y1 double, width double"), one([], f"{box}, text string"), "t")
+    assert _shuffles(out, "Join", "Window", "Aggregate") == 1 and out.filter("numeric").count() == 300
