@@ -78,9 +78,8 @@ def article_blocks(spark, sf_dir):
 )
 def article_tables(spark, sf_dir):
     """The cells of the articles' tables, whose heads are rows of plain cells above figures."""
-    rows = article.articles(_written(spark, sf_dir), "doc_id").filter("table IS NOT NULL").select(F.struct("doc_id", "ord").alias("id"), "table")
-    cells = tables.html_cells(rows.withColumn("key", F.to_json("id")), "key", "table")
-    return tables.with_heads(cells, ["key"]).select(F.from_json("key", "doc_id bigint, ord bigint").alias("id"), "head", "r", "k", "text").select("id.*", "head", "r", "k", "text")
+    rows = article.articles(_written(spark, sf_dir), "doc_id").filter("table IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ord").cast("bigint").alias("ord"), F.col("table").alias("html"))
+    return tables.html_cells(rows, ["doc_id", "ord"], "html", heads=True).select("doc_id", "ord", "head", "r", "k", "text")
 
 
 _ID = "printf('9901.%05d', doc_id)"

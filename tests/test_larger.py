@@ -7,7 +7,7 @@ import pytest
 
 from folium.functions.html import read
 from folium.operators import grids
-from folium.operators.tables import decorated, score_tables
+from folium.operators.tables import decorated, restored, score_tables
 from folium.plans.catalog import QUERIES, SQL
 
 from .conftest import same
@@ -83,3 +83,16 @@ def test_tables_of_figures_take_one_shuffle(spark):
     cells = one([(t, 60.0 * c, 0.0, 60.0 * c + 60, 120.0) for t in range(50) for c in range(4)], box)
     out = score_tables(cells, one(words, f"{box}, text string"), one([], "t int, x0 double, x1 double, y double"), one([(t, 0.0, 120.0, 240.0) for t in range(50)], "t int, y0 double, y1 double, width double"), one([], f"{box}, text string"), "t")
     assert _shuffles(out, "Join", "Window", "Aggregate") == 1 and out.filter("numeric").count() == 300
+
+
+def _answer(rows, label="a"):
+    return "<table><thead><tr><th>h</th><th>i</th></tr></thead>" + "".join(f"<tr><td>{label}</td><td>{v}</td></tr>" for v in rows) + "</table>"
+
+
+def test_restored_tables_take_one_shuffle(spark):
+    old = [(t, h, r, k, x, 1, 1) for t in range(1, 7) for h, r, k, x in ((True, 0, 0, "h"), (True, 0, 1, "i"), (False, 0, 0, "a"), (False, 0, 1, "<b>1</b>"), (False, 1, 0, "a"), (False, 1, 1, "2"))]
+    # moved, then right; another label; no table at all; a row too many; unsound; an answer to a table that is not there
+    told = [(1, 0, _answer([2, 1])), (1, 1, _answer([1, 2])), (2, 0, _answer([2, 1], "b")), (3, 0, "<p>none"), (3, 1, None), (4, 0, _answer([1, 2, 3])), (5, 0, _answer([1, "2<td>3"])), (5, 1, _answer([3, 4])), (9, 3, _answer([1]))]
+    out = restored(spark.createDataFrame(old, "t int, head boolean, r int, k int, text string, colspan int, rowspan int"), spark.createDataFrame(told, "t int, attempt int, html string"), "t")
+    assert _shuffles(out, "Join", "Window", "Aggregate") == 1
+    assert {r["t"]: (r["attempt"], r["error"]) for r in out.collect()} == {1: (1, None), 2: (0, None), 3: (None, "invalid"), 4: (0, None), 5: (None, "numeric_mismatch"), 9: (3, None)}
