@@ -142,7 +142,8 @@ def equations(lines: DataFrame, pages: DataFrame) -> DataFrame:
     marked = marked.withColumn("col", F.when(F.col("two_columns") & (F.col("x0") >= F.col("width") / 2), 1).otherwise(0))
     number = F.regexp_extract("text", r"\((\d+)\)$", 1)
     edge = F.when(F.col("two_columns") & (F.col("x1") < F.col("width") / 2 + 8), F.col("width") / 2 - 10).otherwise(F.col("width") * 0.91)
-    told = marked.withColumn("n", F.when((number != "") & ~F.col("prose"), number)).withColumn("edge", edge)
+    # five steps read these rows
+    told = settled(marked.withColumn("n", F.when((number != "") & ~F.col("prose"), number)).withColumn("edge", edge))
     column = [*PAGE, "col"]
     before = Window.partitionBy(*column).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = Window.partitionBy(*column).orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from folium.functions.html import read
 from folium.operators import grids
+from folium.operators.artwork import equations
 from folium.operators.layout import recognised_lines
 from folium.operators.tables import _Cells, _page_cells, decorated, html_cells, restored, score_tables, with_heads
 from folium.plans.catalog import QUERIES, SQL
@@ -127,3 +129,18 @@ def test_recognised_pages_take_one_shuffle_of_words(spark):
     got = {p: [(r["line"], r["part"], r["columns"], r["text"]) for r in sorted(out.filter(f"page = {p}").collect(), key=lambda r: r["place"])] for p in (1, 2, 3)}
     assert got[1] == [(i, k, True, ("20 80 140", "330 400 460")[k]) for k in (0, 1) for i in range(3)]
     assert got[2] == [(0, 0, False, "20 80 140 330 400 460")] and [g[:3] for g in got[3]] == [(i, 0, False) for i in range(3)]
+
+
+def test_lines_of_equations_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return text
+
+    rows = [(d, 1, 100.0, 100.0 * i, 560.0, 100.0 * i + 8, f"y = {i} ({i})", False) for d in range(40) for i in range(1, 6)]
+    lines = spark.createDataFrame(rows, "doc_id int, page int, x0 double, y0 double, x1 double, y1 double, text string, heading boolean").withColumn("text", told("text"))
+    out = equations(lines, spark.createDataFrame([(d, 1, 600.0, False) for d in range(40)], "doc_id int, page int, width double, two_columns boolean")).collect()
+    assert len(out) == 200 and all(r["text"] == f"y = {r['n']} ({r['n']})" for r in out)
+    assert seen.value == 200
