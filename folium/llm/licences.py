@@ -57,7 +57,8 @@ MOST = 3
 WRAPPED = 40
 
 _MARKS = r"(?m)^[ \t]*(?:#+|//+|/?\*+|--+|;+)[ \t]?"
-_WRAP = rf"(?<=[^\n]{{{WRAPPED}}})(?<![.!?:;])[ \t]*\n[ \t]*(?=[^ \t\n])"
+#: The look ahead changes no match; it spares looking back from places that are not before a line's end.
+_WRAP = rf"(?=[ \t]*\n)(?<=[^\n]{{{WRAPPED}}})(?<![.!?:;])[ \t]*\n[ \t]*(?=[^ \t\n])"
 
 
 def words_of(text: Column) -> Column:
@@ -116,11 +117,14 @@ class Classifier:
 
     def __init__(self, families: list[str], weights: DataFrame, bias: list[float], least: float):
         self.families, self.weights, self.bias, self.least = families, weights, bias, least
+        self.words = sorted({w for r in weights.select("gram").collect() for w in r["gram"].split(" ")})
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """rows (key, at, text) that are named, with family, probability and confirmed; the others, and those without an n-gram that has weight, are unknown."""
+        """key, at, family, probability of the rows (key, at, text) that are named; the others, and those without an n-gram that has weight, are unknown."""
         k = len(self.families)
-        parts = _with_words(rows).select("key", "at", F.explode_outer(F.array_distinct(grams(F.col("w")))).alias("gram")).join(F.broadcast(self.weights), "gram")
+        # a word that no n-gram with weight has is null, and with it the n-grams that hold it: these are neither spelled out nor joined
+        known = _with_words(rows).select("key", "at", F.transform("w", lambda x: F.when(x.isin(self.words), x)).alias("w")).filter(F.exists("w", lambda x: x.isNotNull()))
+        parts = known.select("key", "at", F.explode_outer(F.array_distinct(grams(F.col("w")))).alias("gram")).join(F.broadcast(self.weights), "gram")
         sums = parts.groupBy("key", "at").agg(*(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)))
         logits = F.array(*(F.col(f"s{i}") + self.bias[i] for i in range(k)))
         scored = sums.select("key", "at", logits.alias("l")).withColumn("top", F.array_max("l"))
@@ -128,20 +132,21 @@ class Classifier:
         best = F.element_at(F.array(*map(F.lit, self.families)), F.array_position("l", F.col("top")).cast("int"))
         named = scored.select("key", "at", best.alias("best"), (1 / total).alias("probability"))
         family = F.when((F.col("best") != UNKNOWN) & (F.col("probability") >= self.least), F.col("best")).otherwise(UNKNOWN)
-        found = staged(named.select("key", "at", family.alias("family"), "probability").filter(F.col("family") != UNKNOWN), "licence-named")
-        # words are found again for the few that are named, not kept for all
-        return self._confirmed(_with_words(rows.join(found.select("key", "at"), ["key", "at"], "left_semi")), found)
+        return staged(named.select("key", "at", family.alias("family"), "probability").filter(F.col("family") != UNKNOWN), "licence-named")
 
-    def _confirmed(self, spelled: DataFrame, found: DataFrame) -> DataFrame:
-        """Words of a notice are in line if their places in notice and paragraph differ by about the same: two rows of bands of 2 * DRIFT, set off by DRIFT, hold any that differ by DRIFT at most."""
-        named = found.filter(F.col("family") != UNKNOWN)
+    def confirm(self, rows: DataFrame, found: DataFrame) -> DataFrame:
+        """found (of predict) with confirmed; rows (key, at, text) hold those paragraphs, and perhaps others.
+
+        Words of a notice are in line if their places in notice and paragraph differ by about the same: two rows of bands of 2 * DRIFT, set off by DRIFT, hold any that differ by DRIFT at most.
+        """
+        spelled = _with_words(rows.join(found.select("key", "at"), ["key", "at"], "left_semi"))
         notice = _with_words(notices(spelled.sparkSession)).select("family", "no", F.size("w").alias("size"), F.posexplode("w").alias("o", "word"))
-        paragraph = named.join(spelled, ["key", "at"]).select("key", "at", "family", F.posexplode("w").alias("i", "word"))
+        paragraph = found.join(spelled, ["key", "at"]).select("key", "at", "family", F.posexplode("w").alias("i", "word"))
         met = paragraph.join(F.broadcast(notice), ["family", "word"])
         bands = F.array(*(F.struct(F.lit(s).alias("row"), F.floor((F.col("i") - F.col("o") + s) / (2 * DRIFT)).alias("band")) for s in (0, DRIFT)))
         in_line = met.withColumn("b", F.explode(bands)).groupBy("key", "at", "no", "size", "b").agg(F.count_distinct("o").alias("n"))
         share = in_line.groupBy("key", "at").agg(F.max(F.col("n") / F.col("size")).alias("share"))
-        return named.join(share, ["key", "at"], "left").select("key", "at", "family", "probability", (F.coalesce("share", F.lit(0.0)) >= CONFIRM).alias("confirmed"))
+        return found.join(share, ["key", "at"], "left").select("key", "at", "family", "probability", (F.coalesce("share", F.lit(0.0)) >= CONFIRM).alias("confirmed"))
 
 
 def train(docs: DataFrame) -> Classifier:
@@ -179,7 +184,9 @@ def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     """doc_id, n_notices, families (confirmed, sorted), n_unconfirmed, probability (the least of the confirmed) for each row of docs."""
     rows = docs.select("doc_id", F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b")).alias("key"), "text")
     model = classifier or train(docs)
-    found = staged(model.predict(paragraphs(rows)), "licence-found")
+    named = model.predict(paragraphs(rows))
+    # words are found again for the few texts in which something is named, not kept for all
+    found = staged(model.confirm(paragraphs(rows.join(named.select("key").distinct(), "key", "left_semi")), named), "licence-found")
     ok = F.col("confirmed")
     by_text = found.groupBy("key").agg(F.count_if(ok).alias("n_notices"), F.sort_array(F.collect_set(F.when(ok, F.col("family")))).alias("families"), F.count_if(~ok).alias("n_unconfirmed"), F.round(F.min(F.when(ok, F.col("probability"))), 6).alias("probability"))
     out = rows.select("doc_id", "key").join(by_text, "key", "left")
