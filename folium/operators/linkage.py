@@ -6,6 +6,8 @@ Rows without a page or rectangle have no place, so they link by anchor, signatur
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -19,6 +21,8 @@ from folium.sources.tables import settled
 #: Texts count as one with an edit from this similarity on, if no longer than a tenth more and at least this long.
 ALIKE, LENGTHS, LEAST = 0.94, 0.9, 40
 MARGIN, STEP = 0.025, 0.01
+#: Characters outside of the longest block, up to which that is looked for at the ends of both texts.
+EDITED = 32
 PROSE = ("p", "li", "sec", "sub", "ssub")
 LABELLED = ("fig", "tab", "eq", "sec", "sub", "ssub")
 
@@ -107,10 +111,49 @@ def _by_label(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.filter("old is null or new is null or abs(old - new) <= 1").select("doc_id", "old_id", "new_id")
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of matching characters in order."""
-    return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+def _shared(a: str, b: str) -> int:
+    """Characters at the start of both."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+def _matching(a: str, b: str) -> int:
+    """Characters in the blocks that SequenceMatcher finds.
+
+    It takes the longest block first, then goes on at its left and right. A block at an end of both that is all but EDITED characters
+    is found at once; it is the longest if no other place of both holds as many equal characters.
+    """
+    front, back = _shared(a, b), _shared(a[::-1], b[::-1])
+    size = max(front, back)
+    if size and max(len(a), len(b)) - size <= EDITED:
+        i, j = (0, 0) if front >= back else (len(a) - size, len(b) - size)
+        places = ((x, a[x : x + size]) for x in range(len(a) - size + 1))
+        if not any(b.startswith(block, y) for x, block in places for y in range(len(b) - size + 1) if (x, y) != (i, j)):
+            return size + _matching(a[:i], b[:j]) + _matching(a[i + size :], b[j + size :])
+    return sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def ratio(a: str, b: str, least: float = 0.0) -> float:
+    """SequenceMatcher's ratio without junk; what is certain to be below `least` is 0."""
+    n = len(a) + len(b)
+    if not n:
+        return 1.0
+    if least and (2.0 * min(len(a), len(b)) / n < least or 2.0 * (Counter(a) & Counter(b)).total() / n < least):
+        return 0.0
+    return 2.0 * _matching(a, b) / n
+
+
+def similarity(least: float) -> Callable[[Column, Column], Column]:
+    """Share of matching characters in order; 0 if it is certain to be below `least`. Not deterministic for Spark, which would work it out again for each filter on it."""
+
+    @F.pandas_udf(DoubleType())
+    def shares(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ratio(x, y, least) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return shares.asNondeterministic()
 
 
 @F.pandas_udf(BooleanType())
@@ -118,7 +161,7 @@ def explained(target: pd.Series, own: pd.Series, runs: pd.Series, score: pd.Seri
     """Whether one of the runs is nearer to the target than the row's own text is: in length, and in characters by over STEP."""
 
     def nearer(t: str, o: str, run: str, r: float) -> bool:
-        return abs(len(t) - len(run)) < abs(len(t) - len(o)) and SequenceMatcher(None, t, run, autojunk=False).ratio() > r + STEP
+        return abs(len(t) - len(run)) < abs(len(t) - len(o)) and ratio(t, run) > r + STEP
 
     return pd.Series([any(nearer(t, o, run, r) for run in rs) for t, o, rs, r in zip(target, own, runs, score, strict=True)], dtype=bool)
 
@@ -148,7 +191,7 @@ def _by_text(old: DataFrame, new: DataFrame) -> DataFrame:
     part = F.col("a.text").contains(F.col("b.text")) | F.col("b.text").contains(F.col("a.text"))
     prose = old.filter(F.col("type").isin(*PROSE) & (F.length("text") >= LEAST))
     j = _placed(prose, new, (F.col("a.type") == F.col("b.type")) & F.col("a.section").eqNullSafe(F.col("b.section")))
-    alike = j.filter((F.least(n, m) >= LENGTHS * F.greatest(n, m)) & ~part).withColumn("r", similarity(F.col("a.text"), F.col("b.text"))).filter(F.col("r") >= ALIKE)
+    alike = j.filter((F.least(n, m) >= LENGTHS * F.greatest(n, m)) & ~part).withColumn("r", similarity(ALIKE)(F.col("a.text"), F.col("b.text"))).filter(F.col("r") >= ALIKE)
     better = explained(F.col("a.text"), F.col("b.text"), F.col("b.runs"), F.col("r")) | explained(F.col("b.text"), F.col("a.text"), F.col("a.runs"), F.col("r"))
     kept = alike.withColumn("better", better).filter("not better")
     return mutual_best(kept.select(F.col("a.doc_id").alias("doc_id"), F.col("a.id").alias("old_id"), F.col("b.id").alias("new_id"), (1 - F.col("r")).alias("score")), MARGIN)

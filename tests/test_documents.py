@@ -246,3 +246,27 @@ def test_memo_is_asked_first(spark):
     memo = spark.createDataFrame([("a", "kept"), ("z", "other")], "key string, answer string")
     got = {r["key"]: r["answer"] for r in enrich.with_memo(rows, memo, lambda r: r.withColumn("answer", F.upper("text"))).collect()}
     assert got == {"a": "kept", "b": "Y"}
+
+
+def test_ratio_equals_sequence_matcher(monkeypatch):
+    """On edited, periodic and unlike texts; a long text with an edit at one end is not compared place by place."""
+    rng = random.Random(5)
+    whole = linkage.SequenceMatcher
+    asked = []
+    monkeypatch.setattr(linkage, "SequenceMatcher", lambda _, a, b, autojunk: asked.append(max(len(a), len(b))) or whole(None, a, b, autojunk=autojunk))
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abc", "abcdefghijklmnop "])
+        a = "".join(rng.choices(letters, k=rng.randrange(80)))
+        if rng.random() < 0.3:
+            a = a[: rng.randrange(1, 6)] * rng.randrange(20)
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(3)] = rng.choices(letters + "#", k=rng.randrange(3))
+        b = "".join(b)
+        want = whole(None, a, b, autojunk=False).ratio()
+        assert linkage.ratio(a, b) == want
+        assert linkage.ratio(a, b, 0.94) == want or want < 0.94
+    asked.clear()
+    text = "".join(rng.choices("abcdefghijklmnop ", k=3000))
+    assert linkage.ratio(text, text[:5] + "#" + text[6:], 0.94) == 2 * 2999 / 6000 and max(asked, default=0) <= 32
