@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +146,24 @@ def test_lines_of_equations_are_computed_once(spark):
     out = equations(lines, spark.createDataFrame([(d, 1, 600.0, False) for d in range(40)], "doc_id int, page int, width double, two_columns boolean")).collect()
     assert len(out) == 200 and all(r["text"] == f"y = {r['n']} ({r['n']})" for r in out)
     assert seen.value == 200
+
+
+def test_grids_are_checked_where_they_are_placed(spark):
+    """Faults and counts equal those of the squares, for keys that end with a batch, go over several and are null; one shuffle."""
+    rng = random.Random(3)
+    cells = [(t if t else None, r, k, "x", rng.choice([1, 1, 1, 2]), rng.choice([1, 1, 1, 2])) for t in range(60) for r in range(rng.randrange(1, 4)) for k in range(rng.randrange(1, 4))]
+    cells += [(100, r, k, "x", 300, 1) for r in range(40) for k in range(3)] + [(101, 0, 0, "x", 1, 1), (101, 0, 1, "x", 1, 2), (101, 1, 0, "x", 2, 1)]
+    frame = spark.createDataFrame(cells, "t long, r int, k int, text string, colspan int, rowspan int")
+    squares = grids.place_cells(frame, "t")
+    counts = {r["t"]: r["count"] for r in squares.groupBy("t").count().collect()}
+    faults = {r["t"]: r["fault"] for r in grids.grid_faults(squares, "t").collect()}
+    checked = grids.check_grids(frame, "t")
+    got = checked.collect()
+    assert len(got) == len(counts) and set(faults.values()) == {"overlap", "ragged", "gap", None}
+    assert {r["t"]: (r["squares"], r["fault"]) for r in got} == {t: (counts[t], faults[t]) for t in counts}
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+
+
+def test_table_grid_shuffles_lines_once(spark):
+    plan = QUERIES["table_grid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
