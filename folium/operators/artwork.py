@@ -5,7 +5,9 @@ Boxes are x0, y0, x1, y1 on a page (doc_id, page). What can touch is found by th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,37 +32,62 @@ def _cells(pad: float) -> Column:
 def clusters(boxes: DataFrame, pad: float = 3.0) -> DataFrame:
     """doc_id, page, x0, y0, x1, y1, segments: boxes (with a number of segments) joined while any two lie nearer than `pad`.
 
-    A joined box is the smallest around its parts and takes in what it comes to touch. Each round joins chains of touching boxes and starts anew with
-    the larger ones, until none touch; the rounds follow how often boxes grow into others, not how many there are.
+    A joined box is the smallest around its parts and takes in what it comes to touch. In which order boxes are joined does not matter, so they are
+    shuffled by their page once, and tasks read them as a stream with the joined boxes of one page. What has no place on a page stays alone.
     """
-    now = settled(boxes.select(*PAGE, *BOX, "segments").withColumn("id", F.monotonically_increasing_id()))
-    while True:
-        covered = now.select(*PAGE, "id", *BOX, F.explode(_cells(pad)).alias("g"))
-        right = covered.select(*PAGE, "g", *(F.col(c).alias(f"o_{c}") for c in ("id", *BOX)))
-        near = (F.col("x0") - pad < F.col("o_x1")) & (F.col("o_x0") < F.col("x1") + pad) & (F.col("y0") - pad < F.col("o_y1")) & (F.col("o_y0") < F.col("y1") + pad)
-        links = settled(covered.join(right, [*PAGE, "g"]).filter(near & (F.col("id") < F.col("o_id"))).select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct())
-        if links.isEmpty():
-            return now.drop("id")
-        roots = _roots(links)
-        grown = now.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        now = settled(grown.groupBy(*PAGE, "root").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("segments").alias("segments")).withColumnRenamed("root", "id"))
-
-
-def _roots(links: DataFrame) -> DataFrame:
-    """id, root: the smallest id that links reach. Each round takes the smallest of the neighbours' and then the root's own root, so chains shrink by half."""
-    both = settled(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    now = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    before = None
-    while True:
-        now = settled(now)
-        seen = now.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if seen == before:
-            return now
-        before = seen
-        around = both.join(now, both["b"] == now["id"]).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        least = now.join(around, "id").select("id", F.least("root", "near").alias("root"))
-        jump = least.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        now = least.join(jump, "root").select("id", F.least("root", "next").alias("root"))
+    kinds = [*(StructField(c, boxes.schema[c].dataType) for c in BOX), *boxes.select(F.sum("segments").alias("segments")).schema.fields]
+    told = reduce(Column.__and__, [*(F.col(c).isNotNull() for c in PAGE), *(F.abs(F.col(c)) < float("inf") for c in BOX)])
+
+    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
+        alone: list[tuple] = []
+        yield from _joined((r[1:] if r[0] else alone.append(r[1:]) for r in rows), pad)
+        yield from alone
+
+    return over_keys(boxes, PAGE, [], [told, *(F.col(c) for c in (*BOX, "segments"))], kinds, each)
+
+
+def _joined(boxes: Iterable[tuple | None], pad: float) -> list[tuple]:
+    """Boxes (x0, y0, x1, y1, segments) of a page, joined; each new one meets those under the cells of the grid that it covers."""
+    held: dict[int, list] = {}
+    under: dict[tuple, set[int]] = {}
+    for n, box in enumerate(boxes):
+        if box is None:
+            continue
+        x0, y0, x1, y1, segments = box
+        while True:
+            near = {i for g in _cover(x0 - pad, y0 - pad, x1 + pad, y1 + pad) for i in under.get(g, ()) if _touch(held[i], x0, y0, x1, y1, pad)}
+            if len(near) == 1:
+                own = held[next(iter(near))]
+                if own[0] <= x0 and own[1] <= y0 and x1 <= own[2] and y1 <= own[3]:
+                    own[4] = _added(own[4], segments)
+                    break
+            if not near:
+                held[n] = [x0, y0, x1, y1, segments]
+                for g in _cover(x0, y0, x1, y1):
+                    under.setdefault(g, set()).add(n)
+                break
+            for i in near:
+                own = held.pop(i)
+                for g in _cover(*own[:4]):
+                    under[g].discard(i)
+                x0, y0, x1, y1 = min(x0, own[0]), min(y0, own[1]), max(x1, own[2]), max(y1, own[3])
+                segments = _added(own[4], segments)
+    return [tuple(b) for b in held.values()]
+
+
+def _cover(x0: float, y0: float, x1: float, y1: float) -> Iterator[tuple]:
+    """The grid cells that a box covers, whichever of its corners comes first."""
+    xs, ys = sorted((int(x0 // CELL), int(x1 // CELL))), sorted((int(y0 // CELL), int(y1 // CELL)))
+    return product(range(xs[0], xs[1] + 1), range(ys[0], ys[1] + 1))
+
+
+def _touch(b: list, x0: float, y0: float, x1: float, y1: float, pad: float) -> bool:
+    """Whether either reaches the other within pad."""
+    return x0 - pad < b[2] and b[0] < x1 + pad and y0 - pad < b[3] and b[1] < y1 + pad
+
+
+def _added(a: float | None, b: float | None) -> float | None:
+    return a if b is None else b if a is None else a + b
 
 
 def standalone(pictures: DataFrame, strokes: DataFrame, taken: DataFrame, prose: DataFrame, pages: DataFrame) -> DataFrame:

@@ -47,6 +47,25 @@ def test_clusters_equal_loops(spark):
     assert artwork.clusters(frame.filter("false")).count() == 0
 
 
+def test_clusters_need_no_rounds(spark, monkeypatch):
+    # each box touches only what the ones before have grown to; boxes without a place stay as they are
+    def kept(df):
+        raise AssertionError("rows are kept for another round")
+
+    monkeypatch.setattr(artwork, "settled", kept)
+    steps = [(1, 1, 0.0, 0.0, 10.0, 10.0, 1)]
+    for k in range(300):
+        steps.append((1, 1, steps[-1][4] + 2, -20.0 * (k + 1), steps[-1][4] + 6, -20.0 * k + 1, 1))
+    rng = random.Random(5)
+    rng.shuffle(steps)
+    odd = [(1, 1, None, 0.0, 5.0, 5.0, 1), (1, 1, float("nan"), 0.0, 5.0, 5.0, 1), (None, 1, 0.0, 0.0, 5.0, 5.0, 1), (None, 1, 0.0, 0.0, 5.0, 5.0, None)]
+    frame = spark.createDataFrame(steps + odd, "doc_id long, page int, x0 double, y0 double, x1 double, y1 double, segments int")
+    got = artwork.clusters(frame)
+    assert dict(got.dtypes)["segments"] == "bigint"
+    rows = got.collect()
+    assert len(rows) == 5 and sorted(str(r["segments"]) for r in rows) == ["1", "1", "1", "301", "None"]
+
+
 def grid_fault(cells):
     """cells: (head, r, k, colspan, rowspan); the first thing wrong with a table, placed square by square."""
     heads = max((r + 1 for h, r, *_ in cells if h), default=0)
