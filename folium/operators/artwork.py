@@ -11,7 +11,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField
+from pyspark.sql.types import DoubleType, StructField
 
 from folium.sources.tables import settled
 
@@ -95,21 +95,77 @@ def standalone(pictures: DataFrame, strokes: DataFrame, taken: DataFrame, prose:
 
     pictures: boxes; strokes: boxes with segments; taken: boxes of what has been used; prose: boxes of paragraphs with chars and block; pages: doc_id, page, width,
     height. Artwork is 24 by 24 and 900 in area at least; strokes have three segments or more, cover less than three quarters of the page
-    and lie under no paragraph of over 55 characters.
+    and lie under no paragraph of over 55 characters. What a page consists of is shuffled once, and tasks read it as a stream with the boxes of one page.
     """
-    free = lambda df: _outside(df.withColumn("_id", F.monotonically_increasing_id()), taken).drop("_id")
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    large = (F.col("x1") - F.col("x0") >= 24) & (F.col("y1") - F.col("y0") >= 24) & (area >= 900)
-    raster = clusters(free(pictures.select(*PAGE, *BOX)).withColumn("segments", F.lit(0))).filter(large)
+    told = reduce(Column.__and__, [*(F.col(c).isNotNull() for c in PAGE), *(F.abs(F.col(c)) < float("inf") for c in BOX)])
+    none = F.lit(None)
+
+    def part(kind: int, df: DataFrame, n: Column = none, block: Column = none) -> DataFrame:
+        return df.select(*PAGE, F.lit(kind).alias("kind"), *(F.col(c).cast("double").alias(c) for c in BOX), n.cast("double").alias("n"), block.cast("string").alias("block")).filter(told)
+
     wider = strokes.select(*PAGE, *((F.col(c) + d).alias(c) for c, d in zip(BOX, (-0.5, -0.5, 0.5, 0.5), strict=True)), "segments").filter((F.col("segments") > 0) & (F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > 20))
-    drawn = clusters(free(wider)).filter((F.col("segments") >= 3) & large).join(pages, PAGE).filter(area < F.col("width") * F.col("height") * 0.75)
-    drawn = settled(drawn.select(*PAGE, *BOX).withColumn("_id", F.monotonically_increasing_id()))
-    hidden = covers(prose, drawn, 0.55).groupBy("_id", "block").agg(F.sum("chars").alias("n")).filter("n > 55").select("_id").distinct()
-    drawn = drawn.join(hidden, "_id", "left_anti").drop("_id")
-    both = raster.select(*PAGE, *BOX).unionByName(drawn).join(pages, PAGE).withColumn("size", area)
-    on_page = both.select(*PAGE, "size", F.greatest("x0", F.lit(0.0)).alias("x0"), F.greatest("y0", F.lit(0.0)).alias("y0"), F.least("x1", "width").alias("x1"), F.least("y1", "height").alias("y1")).filter("x1 > x0 AND y1 > y0")
-    left = _outside(on_page.withColumn("_id", F.monotonically_increasing_id()), taken).drop("_id")
-    return _greedy(left)
+    # nothing is cut off at a side that is not known
+    side = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(1e300))
+    sizes = pages.select(*PAGE, F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), side("width").alias("x1"), side("height").alias("y1"), (F.col("width") * F.col("height")).alias("size"))
+    parts = [part(_PAGES, sizes, F.col("size")), part(_TAKEN, taken), part(_PICTURES, pictures), part(_STROKES, wider, F.col("segments")), part(_TEXTS, prose, F.col("chars"), F.col("block"))]
+    rows = reduce(DataFrame.unionByName, parts)
+    return over_keys(rows, PAGE, ["kind"], [F.col(c) for c in ("kind", *BOX, "n", "block")], [StructField(c, DoubleType()) for c in BOX], _page_artwork)
+
+
+#: What the rows of a page are.
+_PAGES, _TAKEN, _PICTURES, _STROKES, _TEXTS = range(5)
+#: Of a box, what another must hold of it to count as its holder.
+HELD = 0.55
+
+
+class _Holders:
+    """Boxes of a page by the cells of the grid that they cover, asked which of them hold more than HELD of a box."""
+
+    def __init__(self, boxes: Iterable[tuple] = ()):
+        self.under: dict[tuple, list[tuple]] = {}
+        for n, b in enumerate(boxes):
+            self.add(n, b)
+
+    def add(self, n: int, box: tuple) -> None:
+        for g in _cover(*box):
+            self.under.setdefault(g, []).append((n, box))
+
+    def of(self, x0: float, y0: float, x1: float, y1: float, least: float | None = None) -> list[int]:
+        # what holds more than half of a box holds its middle
+        near = self.under.get((int((x0 + x1) / 2 // CELL), int((y0 + y1) / 2 // CELL)), ())
+        least = HELD * (x1 - x0) * (y1 - y0) if least is None else least
+        return [n for n, b in near if (w := min(x1, b[2]) - max(x0, b[0])) > 0 and (h := min(y1, b[3]) - max(y0, b[1])) > 0 and w * h > least]
+
+
+def _large(x0: float, y0: float, x1: float, y1: float) -> bool:
+    return x1 - x0 >= 24 and y1 - y0 >= 24 and (x1 - x0) * (y1 - y0) >= 900
+
+
+def _page_artwork(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Artwork of one page, from its rows (kind, x0, y0, x1, y1, n, block)."""
+    of: dict[int, list[tuple]] = {}
+    for kind, *row in rows:
+        of.setdefault(kind, []).append(tuple(row))
+    sizes = [r[2:5] for r in of.get(_PAGES, ())]
+    if not sizes:
+        return
+    used = _Holders(r[:4] for r in of.get(_TAKEN, ()))
+    joined = lambda kind: _joined((r[:5] for r in of.get(kind, ()) if not used.of(*r[:4])), 3.0)
+    most = 0.75 * max((n for *_, n in sizes if n is not None), default=0.0)
+    drawn = [b for *b, n in joined(_STROKES) if n >= 3 and _large(*b) and (b[2] - b[0]) * (b[3] - b[1]) < most]
+    shade, chars = _Holders(drawn), {}
+    for *box, n, block in of.get(_TEXTS, ()):
+        for i in shade.of(*box):
+            chars[i, block] = chars.get((i, block), 0) + (n or 0)
+    hidden = {i for (i, _), n in chars.items() if n > 55}
+    found = [b for *b, _ in joined(_PICTURES) if _large(*b)] + [b for i, b in enumerate(drawn) if i not in hidden]
+    shown = ((-(x1 - x0) * (y1 - y0), max(y0, 0.0), max(x0, 0.0), min(y1, high), min(x1, wide)) for x0, y0, x1, y1 in found for wide, high, _ in sizes)
+    kept = _Holders()
+    # from the largest on, those that no kept one holds
+    for _, y0, x0, y1, x1 in sorted(b for b in shown if b[4] > b[2] and b[3] > b[1]):
+        if not used.of(x0, y0, x1, y1) and not kept.of(x0, y0, x1, y1, HELD * ((x1 - x0) * (y1 - y0))):
+            kept.add(0, (x0, y0, x1, y1))
+            yield x0, y0, x1, y1
 
 
 def covers(small: DataFrame, large: DataFrame, share: float) -> DataFrame:
@@ -124,31 +180,6 @@ def covers(small: DataFrame, large: DataFrame, share: float) -> DataFrame:
     return a.join(b, [*PAGE, "g"]).filter(inside & first).drop("g", *(f"o_{c}" for c in BOX))
 
 
-def _outside(boxes: DataFrame, taken: DataFrame) -> DataFrame:
-    """Boxes (with _id) of which no box of taken holds more than 55 in 100."""
-    rows = settled(boxes)
-    held = covers(rows.withColumnRenamed("_id", "own"), taken.select(*PAGE, *BOX).withColumn("_id", F.lit(0)), 0.55).select(F.col("own").alias("_id")).distinct()
-    return rows.join(held, "_id", "left_anti")
-
-
-def _greedy(boxes: DataFrame) -> DataFrame:
-    """From the largest box of a page on, those of which no kept one holds more than 55 in 100."""
-
-    def each(told: Iterator[tuple]) -> Iterator[tuple]:
-        kept: list[tuple] = []
-        for x0, y0, x1, y1 in told:
-            area = (x1 - x0) * (y1 - y0)
-            held = any((w := min(x1, k[2]) - max(x0, k[0])) > 0 and (h := min(y1, k[3]) - max(y0, k[1])) > 0 and w * h > 0.55 * area for k in kept)
-            if not held:
-                kept.append((x0, y0, x1, y1))
-            yield x0, y0, x1, y1, not held
-
-    rows = boxes.withColumn("_page", F.struct(*PAGE)).withColumn("_less", -F.col("size"))
-    kinds = [StructField(c, boxes.schema[c].dataType) for c in BOX]
-    told = over_keys(rows, "_page", ["_less", "y0", "x0", "y1", "x1"], [F.col(c) for c in BOX], [*kinds, StructField("kept", BooleanType())], each)
-    return told.filter("kept").select("_page.*", *BOX)
-
-
 #: Lines that are prose rather than parts of a formula.
 _PROSE = (r":$", r"[a-zA-Z]{3}", r"[A-Za-z]{3,}", r"^[A-Za-z][a-z]{2,}\s", r"[A-Za-z]{2,}")
 

@@ -66,6 +66,32 @@ def test_clusters_need_no_rounds(spark, monkeypatch):
     assert len(rows) == 5 and sorted(str(r["segments"]) for r in rows) == ["1", "1", "1", "301", "None"]
 
 
+def test_standalone_artwork_of_a_page(spark, monkeypatch):
+    def kept(df):
+        raise AssertionError("rows are kept between steps")
+
+    monkeypatch.setattr(artwork, "settled", kept)
+    box = "doc_id long, page int, x0 double, y0 double, x1 double, y1 double"
+    two = lambda *b: [(1, p, *map(float, b)) for p in (1, 2, 3)]
+    # two halves, a part of them, a scrap, one over the edge, one that is used already; page 3 has no size, page 4 no row
+    pictures = two(100, 100, 200, 150) + two(100, 151, 200, 200) + two(-10, 300, 60, 340) + two(0, 500, 20, 500) + two(300, 300, 360, 360) + [(1, 4, 0.0, 0.0, 90.0, 90.0)]
+    strokes = [(*b, 2) for b in two(110, 110, 140, 140) + two(142, 110, 180, 180) + two(400, 400, 470, 440) + two(471, 400, 480, 440) + two(0, 700, 600, 790)] + [(*b, 9) for b in two(300, 100, 380, 180)]
+    taken = two(290, 290, 360, 360)
+    prose = [(*b, n, 1) for n, b in zip((30, 30, 30, 20, 20, 20), two(305, 105, 340, 120) + two(305, 121, 340, 140), strict=True)]
+    prose += [(1, 2, 305.0, 141.0, 340.0, 150.0, 6, 1)]
+    pages = [(1, 1, 600.0, 800.0), (1, 2, 600.0, 800.0), (1, 3, None, 800.0)]
+    got = artwork.standalone(
+        spark.createDataFrame(pictures, box), spark.createDataFrame(strokes, f"{box}, segments long"), spark.createDataFrame(taken, box),
+        spark.createDataFrame(prose, f"{box}, chars int, block int"), spark.createDataFrame(pages, "doc_id long, page int, width double, height double"),
+    )
+    found: dict = {}
+    for r in got.collect():
+        found.setdefault(r["page"], set()).add((r["x0"], r["y0"], r["x1"], r["y1"]))
+    both = {(100.0, 100.0, 200.0, 200.0), (0.0, 300.0, 60.0, 340.0)}
+    drawn = {(399.5, 399.5, 480.5, 440.5)}
+    assert found == {1: both | drawn | {(299.5, 99.5, 380.5, 180.5)}, 2: both | drawn, 3: both}
+
+
 def grid_fault(cells):
     """cells: (head, r, k, colspan, rowspan); the first thing wrong with a table, placed square by square."""
     heads = max((r + 1 for h, r, *_ in cells if h), default=0)
