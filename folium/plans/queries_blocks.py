@@ -176,7 +176,8 @@ def vocabulary_counts(spark, sf_dir):
 @query("term_candidates", f"SELECT doc_id, term, n, first, rank FROM (SELECT doc_id, term, count(*) AS n, min(pos) AS first, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS rank FROM ({_TOKENS}) WHERE length(term) > 2 GROUP BY doc_id, term HAVING count(*) >= 2) WHERE rank <= 20")
 def term_candidates(spark, sf_dir):
     """The terms most used in each document; of equal ones, the first seen."""
-    w = words_of(table(spark, sf_dir, "documents"), "text", "doc_id").filter(F.length("token") > 2)
+    # whole texts are shuffled, which are smaller than their terms with counts, and all that follows is by document
+    w = words_of(table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id"), "text", "doc_id").filter(F.length("token") > 2)
     g = w.groupBy("doc_id", F.col("token").alias("term")).agg(F.count("*").alias("n"), F.min("pos").cast("bigint").alias("first")).filter("n >= 2")
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")).cast("bigint")).filter("rank <= 20")
 
