@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from folium.sources.tables import settled
 
+#: Terms that are sent to every task; more are shuffled.
+TERMS = 100_000
+
 
 def latest(rows: DataFrame, key: str, *by: str) -> DataFrame:
     """The last row of each key. Combines before the shuffle, unlike a window."""
@@ -29,9 +32,14 @@ def words_of(rows: DataFrame, text: str, *keep: str) -> DataFrame:
 
 
 def term_hits(blocks: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, term, first (ord), n: blocks (doc_id, ord, text) that hold a term (term) as a whole word. An equi join on tokens."""
-    held = words_of(blocks, "text", "doc_id", "ord").select("doc_id", "ord", F.col("token").alias("term")).distinct()
-    return held.join(terms, "term").groupBy("doc_id", "term").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+    """doc_id, term, first (ord), n: blocks (doc_id, ord, text) that hold a term (term) as a whole word. An equi join on tokens.
+
+    Up to TERMS terms go to the words, so that no others are shuffled.
+    """
+    words = words_of(blocks, "text", "doc_id", "ord").select("doc_id", "ord", F.col("token").alias("term"))
+    if terms.count() <= TERMS:
+        words = words.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    return words.distinct().join(terms, "term").groupBy("doc_id", "term").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
 
 
 def locate(passages: DataFrame, texts: DataFrame, anchor: int = 4) -> DataFrame:
