@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from folium.sources.tables import settled
 
+from .folds import over_keys
+
 Answer = Callable[[list[tuple[str, str]]], dict[str, str]]
 
 
@@ -18,16 +20,18 @@ def request_key(stage: str, model: str, payload: Column) -> Column:
     return F.sha2(F.to_json(F.struct(F.lit(stage).alias("stage"), F.lit(model).alias("model"), payload.alias("payload"))), 256)
 
 
-def _asked(answer: Answer):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        asked = list(zip(rows["id"], rows["text"], strict=True))
+def _asked(answer: Answer) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
+        """id, text, tries, answer, failed, size (of the batch), place for the rows (id, text, tries) of one batch."""
+        batch = list(rows)
         try:
-            got = answer(asked)
+            got, failed = answer([(i, text) for i, text, _ in batch]), False
         except Exception:  # a provider may fail in any way; the batch is then asked again in halves
-            return pd.DataFrame({"id": rows["id"], "answer": None, "failed": True})
-        return pd.DataFrame({"id": rows["id"], "answer": [got.get(i) for i, _ in asked], "failed": False})
+            got, failed = {}, True
+        for place, (i, text, tries) in enumerate(batch):
+            yield i, text, tries, got.get(i), failed, len(batch), place
 
-    return run
+    return each
 
 
 def enrich(rows: DataFrame, answer: Answer, accept: Callable[[Column, Column], Column], batch: str = "batch", save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -35,24 +39,25 @@ def enrich(rows: DataFrame, answer: Answer, accept: Callable[[Column, Column], C
 
     A batch that raises is halved for the next round, down to single rows, of which one that raises has failed. Answers that are missing or not accepted are asked again once, alone;
     unknown ids in an answer are ignored. save: writes a round's answers and reads them back, so that none is asked twice.
+    Rows are shuffled by their batch, and tasks read them as a stream, a batch at a time; what is asked again is read from the answers of the round.
     """
     keep = save or settled
     todo = rows.select("id", "text", F.col(batch).cast("string").alias("b"), F.lit(0).alias("tries"))
+    fields = [rows.schema["id"], rows.schema["text"], *StructType.fromDDL("tries int, answer string, failed boolean, size int, place int").fields]
+    fields = [StructField(f.name, f.dataType) for f in fields]
+    failed = F.col("failed")
     done = None
     while True:
-        got = keep(todo.join(todo.groupBy("b").applyInPandas(_asked(answer), "id string, answer string, failed boolean"), "id"))
-        ok = got.filter(~F.col("failed") & F.col("answer").isNotNull() & F.coalesce(accept(F.col("text"), F.col("answer")), F.lit(False)))
-        out = ok.select("id", "answer", F.lit("done").alias("status"))
-        bad = got.join(ok.select("id"), "id", "left_anti")
-        over = bad.filter(~F.col("failed") & (F.col("tries") >= 1)).select("id", F.lit(None).cast("string").alias("answer"), F.lit("rejected").alias("status"))
-        done = out.unionByName(over) if done is None else done.unionByName(out).unionByName(over)
-        alone = got.groupBy("b").count().filter("count = 1").select("b")
-        lost = bad.filter("failed").join(alone, "b", "left_semi").select("id", F.lit(None).cast("string").alias("answer"), F.lit("failed").alias("status"))
-        done = done.unionByName(lost)
-        again = bad.join(lost.select("id"), "id", "left_anti").filter(F.col("failed") | (F.col("tries") < 1))
-        half = F.concat_ws("/", "b", (F.row_number().over(Window.partitionBy("b").orderBy("id")) % 2).cast("string"))
-        todo = again.select("id", "text", F.when(F.col("failed"), half).otherwise(F.concat_ws("/", "b", "id")).alias("b"), F.when(F.col("failed"), F.col("tries")).otherwise(F.col("tries") + 1).alias("tries"))
-        todo = keep(todo)
+        asked = over_keys(todo, "b", ["id"], [F.col(c) for c in ("id", "text", "tries")], fields, _asked(answer))
+        ok = ~failed & F.col("answer").isNotNull() & F.coalesce(accept(F.col("text"), F.col("answer")), F.lit(False))
+        status = F.when(ok, "done").when(failed & (F.col("size") == 1), "failed").when(~failed & (F.col("tries") >= 1), "rejected")
+        # what accepts may be costly, and several steps ask for it
+        told = keep(asked.withColumn("status", status))
+        over = told.filter("status IS NOT NULL").select("id", F.when(F.col("status") == "done", F.col("answer")).alias("answer"), "status")
+        done = over if done is None else done.unionByName(over)
+        half = F.concat_ws("/", "b", (F.col("place") % 2).cast("string"))
+        again = told.filter("status IS NULL")
+        todo = again.select("id", "text", F.when(failed, half).otherwise(F.concat_ws("/", "b", "id")).alias("b"), F.when(failed, F.col("tries")).otherwise(F.col("tries") + 1).alias("tries"))
         if todo.isEmpty():
             return done
 

@@ -235,6 +235,26 @@ def test_one_bad_row_of_many_fails_alone(spark):
     assert got == {f"i{k}": "failed" if k == 7 else "done" for k in range(40)}
 
 
+def test_enrichment_writes_once_a_round(spark):
+    """Batches are asked in the order of their ids; each round's answers are kept with what became of them, and nothing else is."""
+    rows = spark.createDataFrame([(f"i{k:02}", f"t{k}", "b") for k in range(20)] + [("z", None, "c")], "id string, text string, batch string").repartition(7)
+
+    def answer(asked):
+        if [i for i, _ in asked] != sorted(i for i, _ in asked):
+            raise ValueError("out of order")
+        return {i: t.upper() for i, t in asked if t and (len(asked) == 1 or i != "i03")}
+
+    kept = []
+
+    def save(df):
+        kept.append(df.columns)
+        return df.localCheckpoint()
+
+    got = {r["id"]: (r["answer"], r["status"]) for r in enrich.enrich(rows, answer, lambda t, a: F.upper(t) == a, save=save).collect()}
+    assert got == {f"i{k:02}": (f"T{k}", "done") for k in range(20)} | {"z": (None, "rejected")}
+    assert len(kept) == 2
+
+
 def test_trees_have_no_cap_and_cycles_end(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 3)], "parent long, child long")
     got = {r["node"]: r["depth"] for r in relations.descendants(edges, spark.createDataFrame([(0,)], "root long")).collect()}
