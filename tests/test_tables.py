@@ -236,3 +236,11 @@ def test_mended_words_are_shuffled_once(spark):
     assert plan.count("Exchange") == 1 and "Join" not in plan
     want = {(1, 0): "an applying of cross-domain text", (1, 1): "we are applying Kernel", (2, 0): "applying applying", (None, 0): "ap- plying", (3, 0): None, (3, 1): "x" * 5000 + "y &lt;b> <b>code</b> code"}
     assert {(r["doc_id"], r["ord"]): r["text"] for r in got.collect()} == want
+
+
+def test_faults_are_found_in_one_shuffle(spark):
+    cells = [(1, True, 0, 0, 1, 1), (1, False, 0, 0, 1, 1), (2, False, 0, 0, 1, None), (3, True, 0, 0, 1, 2), (3, False, 0, 0, None, 1), (4, False, 0, 0, None, 9), (None, False, 0, 0, 201, 1)]
+    faults = tables.table_faults(spark.createDataFrame(cells, "t int, head boolean, r int, k int, colspan int, rowspan int"), ["t"])
+    plan = faults._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert {r["t"]: r["fault"] for r in faults.collect()} == {1: None, 2: None, 3: "leak", 4: "span", None: "span"}
