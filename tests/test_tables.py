@@ -244,3 +244,12 @@ def test_faults_are_found_in_one_shuffle(spark):
     plan = faults._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
     assert {r["t"]: r["fault"] for r in faults.collect()} == {1: None, 2: None, 3: "leak", 4: "span", None: "span"}
+
+
+def test_ruled_tables_are_laid_out_in_one_shuffle(spark):
+    # sides are a little apart, a cell is told twice, a side lies in the middle of two edges, a table has no name
+    cells = [(1, 0.0, 0.0, 60.0, 20.0, "He\nad"), (1, 0.5, 20.0, 30.4, 40.0, " 1.5% "), (1, 30.0, 20.5, 60.0, 40.0, "b"), (1, 30.0, 20.5, 60.0, 40.0, "a"), (1, 30.0, 20.5, 60.0, 40.0, None), (None, 0.0, 0.0, 1.0, 1.0, "x")]
+    got = tables.ruled_tables(spark.createDataFrame(cells, "t int, x0 double, y0 double, x1 double, y1 double, text string"), "t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert {tuple(r) for r in got.collect()} == {(1, True, 0, 0, "He ad", 2, 1, False), (1, False, 0, 0, "1.5%", 1, 1, True), (1, False, 0, 1, "a", 1, 1, False)}
