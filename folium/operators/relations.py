@@ -9,6 +9,8 @@ from folium.sources.tables import settled
 
 #: Terms that are sent to every task; more are shuffled.
 TERMS = 100_000
+#: The part of all references that one may be of before it is told apart.
+OFTEN = 0.01
 
 
 def latest(rows: DataFrame, key: str, *by: str) -> DataFrame:
@@ -42,6 +44,21 @@ def term_hits(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     return words.distinct().join(terms, "term").groupBy("doc_id", "term").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
 
 
+def known_references(refs: DataFrame, keys: DataFrame, by: str) -> DataFrame:
+    """by, n: how many references (by, ref) lead to a key (ref), for those with any.
+
+    A reference that more than a part OFTEN of all rows share does not meet the others of its key in one task: it is held against the
+    counted keys where it is. Which ones are told apart by this is a matter of cost only.
+    """
+    told = refs.filter("ref IS NOT NULL")
+    often = told.stat.freqItems(["ref"], OFTEN).first()[0]
+    hot = F.col("ref").isin(*often) if often else F.lit(False)
+    few = keys.filter(hot).groupBy("ref").agg(F.count("*").alias("m"))
+    rest = told.filter(~hot).join(keys.filter(~hot).select("ref"), "ref").select(by, F.lit(1).cast("bigint").alias("m"))
+    met = told.filter(hot).join(F.broadcast(few), "ref").select(by, "m")
+    return rest.unionByName(met).groupBy(by).agg(F.sum("m").alias("n"))
+
+
 def locate(passages: DataFrame, texts: DataFrame, anchor: int = 4) -> DataFrame:
     """item_id, doc_id, n (texts that contain it): null doc_id unless it is exactly one.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folium.operators import context as O
+from folium.operators import relations
 from folium.operators.sequence import section_paths
 from folium.sources.tables import blocks, table
 
@@ -143,7 +144,7 @@ def note_references(spark, sf_dir):
     """References of notes that lead to a label; unknown ones are dropped."""
     o = table(spark, sf_dir, "orders")
     refs = o.select("o_custkey", F.explode(F.array(F.col("o_orderkey"), F.col("o_orderkey") + 1, F.lit(-1).cast("bigint"))).alias("ref"))
-    return refs.join(o.select(F.col("o_orderkey").alias("ref")), "ref").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return relations.known_references(refs, o.select(F.col("o_orderkey").alias("ref")), "o_custkey")
 
 
 @query("other_versions", "SELECT o_custkey, count(DISTINCT o_orderpriority) FILTER (o_orderpriority <> top) AS others FROM (SELECT *, max(o_orderpriority) OVER (PARTITION BY o_custkey) AS top FROM orders) GROUP BY o_custkey")

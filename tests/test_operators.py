@@ -105,3 +105,17 @@ def test_status_and_numbers(spark):
     assert rows.filter(relations.merged_status(F.col("o"), F.col("n")) != F.col("e")).count() == 0
     got = spark.createDataFrame([("−3.5% and x2, 1,000 or 5e-3",)], "t string").select(T.numbers(F.col("t")).alias("n")).first()["n"]
     assert got == ["-3.5%", "1,000", "5e-3"]
+
+
+def test_references_that_all_rows_share(spark):
+    """Known or not, told twice or null; the rows that share one stay where they are."""
+    refs = spark.range(3000).selectExpr("id % 7 AS own", "explode(array(id, id + 1, -1L, 5L, NULL)) AS ref")
+    keys = spark.createDataFrame([(5,), (5,), (9,), (-2,), (None,)], "ref long")
+    got = relations.known_references(refs, keys, "own")
+    want = {k: 2 * sum(1 for i in range(3000) if i % 7 == k) for k in range(7)}
+    for i in range(3000):
+        want[i % 7] += 2 * ((i == 5) + (i == 4)) + (i == 9) + (i == 8)
+    assert {r["own"]: r["n"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "IN (-1,5)" in plan or "IN (5,-1)" in plan or "INSET" in plan
+    assert relations.known_references(refs.filter("false"), keys, "own").count() == 0
