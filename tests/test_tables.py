@@ -253,3 +253,32 @@ def test_ruled_tables_are_laid_out_in_one_shuffle(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
     assert {tuple(r) for r in got.collect()} == {(1, True, 0, 0, "He ad", 2, 1, False), (1, False, 0, 0, "1.5%", 1, 1, True), (1, False, 0, 1, "a", 1, 1, False)}
+
+
+def test_articles_of_plain_tags_need_no_general_parser(monkeypatch):
+    """The short path builds the tree of the general parser, or leaves a page to it."""
+    rng = random.Random(8)
+    told = lambda n: (n.tag, n.attrs, ["".join(k) if t else told(k[0]) for t, k in grouped(n.kids)])
+
+    def grouped(kids):
+        out: list = []
+        for k in kids:
+            if isinstance(k, str) and out and out[-1][0]:
+                out[-1][1].append(k)
+            else:
+                out.append((isinstance(k, str), [k]))
+        return out
+
+    def general(page):
+        tree = article._Tree()
+        tree.feed(page)
+        tree.close()
+        return tree.root
+
+    parts = ["<p>", "</p>", "<b class='x y'>", "</b>", '<img src="a.png">', "<br>", "<br/>", "a &lt; b", "&amp", " x &#41; ", "<math alttext='x&lt;1'>", "</math>", "<i title='a&b'>", "<script>s() && '</script>", "<script>a<b</script>", "<title>a<b>c</title>", "1 < 2", "<P ID=q>", "<!-- c -->", "&nbsp;", "\n"]
+    for _ in range(1500):
+        page = "".join(rng.choices(parts, k=rng.randint(0, 9)))
+        assert told(article._tree(page)) == told(general(page)), page
+    monkeypatch.setattr(article._Tree, "feed", lambda *_: 1 / 0)
+    whole = "<article class='ltx_document'><h1 class='ltx_title ltx_title_document'>T &amp; t</h1><p>one <math alttext='x&lt;1'></math><script>s()</script></p></article>"
+    assert [r.get("text") for r in article.read_article(whole)] == ["T & t".replace("&", "&amp;"), r"one \(x&lt;1\)"]
