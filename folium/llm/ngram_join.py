@@ -2,8 +2,10 @@
 
 1. Hash the shingles of a set into groups. Linked sets of a and b shingles differ in at most
    15 (a + b) / 185 of them, so of one group more than that, at least one has the same content
-   in both. Each set is filed under the content of its groups; sets that share a group's content
-   form a family. Families thus hold every link, and few sets that merely share a passage.
+   in both. There are more groups than that, so linked sets share as many more. Each set is filed
+   under the content of its groups, but for the ones that most sets have, as many as may be passed
+   over with one shared group left; sets that are filed under one content form a family. Families
+   thus hold every link, and few sets that merely share passages.
 2. In a family, the number of shingles in each group is a point. The points are packed into an
    R-tree; the sum of coordinate minima bounds the overlap, of a point with a node's upper
    corner or with another point, and whatever cannot reach the overlap needed is left.
@@ -33,6 +35,8 @@ from .textblock import Words, mix, pieces, windows
 #: Sets of a family that one task holds, and shingles of these.
 LEAF_SETS = 4096
 LEAF_SHINGLES = 4_000_000
+#: Rows of ids up to which a table is sent to every task.
+SENT = 2_000_000
 #: Entries of an R-tree node.
 FAN = 32
 
@@ -77,17 +81,17 @@ class Threshold:
         return (100 - self.percent) * (a + self.largest(a)) // (100 + self.percent)
 
 
-def _filings(u: np.ndarray, bounds: np.ndarray, limit: Threshold) -> list[np.ndarray]:
-    """What the set u is filed under."""
+def _filings(u: np.ndarray, bounds: np.ndarray, limit: Threshold) -> list[tuple[np.ndarray, int]]:
+    """What the set u can be filed under as the smaller and as the larger of two linked sets (the last bits differ), and how many of each may be passed over."""
     own = int(np.searchsorted(bounds, len(u), side="right")) - 1
     out = []
     m = mix(u ^ np.uint64(0x5851F42D4C957F2D))
     for j in (own, own - 1):
         if j < 0:
             continue
+        #: Groups in which linked sets may differ. They share one more than are spare; some of these stay empty, some hold what many sets have.
         k = limit.differing(bounds, j)
-        #: Some groups stay empty; that many more are made, so that a shared one has content.
-        spare = k // 20 + (k > 0)
+        spare = k // 12 + (k > 0) + (k + 1) // 2
         groups = k + 1 + spare
         g = (u >> np.uint64(20)) % np.uint64(groups)
         order = np.argsort(g, kind="stable")
@@ -96,9 +100,11 @@ def _filings(u: np.ndarray, bounds: np.ndarray, limit: Threshold) -> list[np.nda
         total = np.add.reduceat(m[order], edge)
         size = np.diff(np.append(edge, len(u))).astype(np.uint64)
         tag = np.uint64(j) << np.uint64(32)
-        out.append(mix(total + mix((sorted_g[edge] | tag) + (size << np.uint64(48)))))
-        if groups - len(edge) > spare:
-            out.append(mix(mix(np.setdiff1d(np.arange(groups, dtype=np.uint64), sorted_g[edge]) | tag) + np.uint64(1)))
+        sigs = mix(total + mix((sorted_g[edge] | tag) + (size << np.uint64(48))))
+        #: Empty groups count as those that most sets have.
+        if len(edge) <= k:
+            sigs = np.concatenate([sigs, mix(mix(np.setdiff1d(np.arange(groups, dtype=np.uint64), sorted_g[edge]) | tag) + np.uint64(1))])
+        out.append(((sigs & ~np.uint64(1)) | np.uint64(j & 1), max(len(edge) - k - 1, 0)))
     return out
 
 
@@ -183,12 +189,13 @@ def _file(words: int, limit: Threshold):
                     if len(u) and doc is not None:
                         if len(u) >= bounds[-3]:
                             bounds = limit.classes(2 * len(u))
-                        own = _filings(u, bounds, limit)
-                        sigs += own
-                        ids.append((doc, sum(map(len, own))))
+                        for own, over in _filings(u, bounds, limit):
+                            sigs.append(own)
+                            ids.append((doc, over, len(own)))
                 if ids:
-                    docs = np.repeat(np.array([x[0] for x in ids], np.int64), [x[1] for x in ids])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(docs)], ["sig", "doc_id"])
+                    docs, over, times = (np.array(x) for x in zip(*ids, strict=True))
+                    columns = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(docs, times), pa.int64()), pa.array(np.repeat(over, times), pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, ["sig", "doc_id", "over"])
 
     return run
 
@@ -219,10 +226,18 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFram
     rep = staged(nodes.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "join-reps", rows=n)
     twins = nodes.join(rep.filter("rep <> last"), ["n", "d1", "d2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     twins = staged(twins, "join-twins", rows=n)
-    filed = texts.mapInArrow(_file(words, limit), "sig bigint, doc_id bigint")
-    pivot = F.first("doc_id").over(Window.partitionBy("sig").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    near = filed.withColumn("pivot", pivot).filter("pivot <> doc_id").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    near = staged(near, "join-near", rows=4 * n)
+    #: Copies are not filed where the list of sets can be sent to every task.
+    firsts = rep.select(F.col("rep").alias("doc_id"))
+    sets = texts.join(F.broadcast(firsts), "doc_id", "left_semi") if firsts.count() <= SENT else texts
+    filed = sets.mapInArrow(_file(words, limit), "sig bigint, doc_id bigint, over int")
+    one = Window.partitionBy("sig")
+    shared = filed.withColumn("m", F.count("*").over(one)).filter("m > 1")
+    #: Of what is shared, what most sets have is passed over. Rows of one doc_id are ranked together, which passes over fewer.
+    common = Window.partitionBy("doc_id", F.col("sig").bitwiseAND(F.lit(1).cast("bigint"))).orderBy(F.desc("m"), F.desc("sig"))
+    kept = shared.withColumn("rank", F.row_number().over(common)).filter("rank > over").select("sig", "doc_id")
+    pivot = F.first("doc_id").over(one.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = kept.withColumn("pivot", pivot).filter("pivot <> doc_id").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    near = staged(near, "join-near", rows=n)
     family = components(near.unionByName(twins)).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     members = family.join(rep.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
     by_size = Window.partitionBy("family").orderBy("n", "doc_id")
@@ -234,7 +249,7 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFram
     meet = (F.col("x.family") == F.col("y.family")) & (F.col("x.leaf") <= F.col("y.leaf")) & (percent * F.col("y.low") <= 100 * F.col("x.high")) & ((F.col("x.leaf") < F.col("y.leaf")) | (F.col("x.k") > 1))
     blocks = x.join(y, meet).select("x.family", F.col("x.leaf").alias("i"), F.col("y.leaf").alias("j"))
     sides = blocks.withColumn("leaf", F.explode(F.array_distinct(F.array("i", "j"))))
-    jobs = small(staged(placed.join(sides, ["family", "leaf"]).select("doc_id", "family", "i", "j", "leaf"), "join-jobs", rows=n), 2_000_000)
+    jobs = small(staged(placed.join(sides, ["family", "leaf"]).select("doc_id", "family", "i", "j", "leaf"), "join-jobs", rows=n), SENT)
     #: Of rows with one doc_id, the sets of all are compared, each as this doc_id.
     work = texts.join(jobs, "doc_id").select("family", "i", "j", "leaf", "doc_id", "text")
     links = streamed(work, ["family", "i", "j"], [], _verify(words, limit), "a bigint, b bigint")

@@ -61,6 +61,23 @@ def test_join_matches_all_pairs(spark):
     assert got == {i: (len(sets[i]), want[i]) for i in texts}
 
 
+def test_texts_that_share_common_passages_are_not_compared(spark, monkeypatch):
+    """Texts that have lines of a small store in common do not meet, near copies of them do; links equal all pairs."""
+    rnd = random.Random(4)
+    store = [" ".join(f"s{i}x{k}" for k in range(12)) for i in range(6)]
+    own = lambda i, n: [f"d{i}y{k}" for k in range(n)]
+    texts = {i: " ".join([*own(i, 30), *rnd.sample(store, 2), *own(-i - 1, 30)]) for i in range(120)}
+    texts |= {200 + i: texts[i].replace(f"d{i}y5", "other") for i in range(5)}
+    texts |= {300 + i: " ".join(rnd.sample(store, 4)) for i in range(40)}
+    met = []
+    plain = ngram_join.streamed
+    monkeypatch.setattr(ngram_join, "streamed", lambda df, *rest: (met.append({r["doc_id"] for r in df.select("doc_id").collect()}), plain(df, *rest))[1])
+    sets = {i: shingles(t) for i, t in texts.items()}
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == links(sets)
+    assert {i for i in met[0] if i < 300} == {*range(5), *range(200, 205)}
+
+
 def test_leaves_of_a_large_family_find_the_same_links():
     rnd = np.random.default_rng(1)
     base = rnd.integers(0, 1 << 62, 300).astype(np.uint64)
