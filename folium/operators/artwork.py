@@ -5,15 +5,16 @@ Boxes are x0, y0, x1, y1 on a page (doc_id, page). What can touch is found by th
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import product
+from math import isfinite, isnan
+from operator import itemgetter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField
-
-from folium.sources.tables import settled
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .folds import over_keys
 
@@ -190,39 +191,68 @@ def is_prose(text: Column, heading: Column) -> Column:
     return (text.rlike(_PROSE[0]) & text.rlike(_PROSE[1])) | many(_PROSE[2], 4) | (text.rlike(_PROSE[3]) & many(_PROSE[4], 3)) | heading
 
 
-def equations(lines: DataFrame, pages: DataFrame) -> DataFrame:
+def equations(lines: DataFrame, pages: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """doc_id, page, n, text, x0, y0, x1, y1: lines around each number in brackets at the right margin.
 
-    lines: doc_id, page, x0, y0, x1, y1, text, heading; pages: doc_id, page, width, two_columns. An equation reaches 30 up and down from its
-    number, at most to the next prose line and half way to the next number; lines are taken in the order of their heights.
+    lines: doc_id, page, x0, y0, x1, y1, text, heading; pages: doc_id, page, width, two_columns, or columns that the lines have themselves. An equation
+    reaches 30 up and down from its number, at most to the next prose line and half way to the next number; lines are taken in the order of their heights.
+    What a page consists of is shuffled once, and tasks read it as a stream with the lines of one page; nothing is if lines of a page are together (dealt).
     """
-    marked = lines.join(pages, PAGE).withColumn("prose", is_prose(F.col("text"), F.col("heading"))).withColumn("mid", (F.col("y0") + F.col("y1")) / 2)
-    marked = marked.withColumn("col", F.when(F.col("two_columns") & (F.col("x0") >= F.col("width") / 2), 1).otherwise(0))
-    number = F.regexp_extract("text", r"\((\d+)\)$", 1)
-    edge = F.when(F.col("two_columns") & (F.col("x1") < F.col("width") / 2 + 8), F.col("width") / 2 - 10).otherwise(F.col("width") * 0.91)
-    # five steps read these rows
-    told = settled(marked.withColumn("n", F.when((number != "") & ~F.col("prose"), number)).withColumn("edge", edge))
-    column = [*PAGE, "col"]
-    before = Window.partitionBy(*column).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*column).orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # numbers by their middle, among the ends (or starts) of prose lines and the middles of the other numbers
-    own = settled(told.filter("n IS NOT NULL").select(*column, F.col("mid").alias("at"), F.lit(1).alias("kind"), "n", "edge", "x1", "mid", F.monotonically_increasing_id().alias("id")))
-    ends = told.filter("prose").select(*column, F.col("y1").alias("at"), F.lit(2).alias("kind"))
-    starts = told.filter("prose").select(*column, F.col("y0").alias("at"), F.lit(2).alias("kind"))
-    prose_at = F.when(F.col("kind") == 2, F.col("at"))
-    over = own.unionByName(ends, allowMissingColumns=True).withColumn("over", F.max(prose_at).over(before)).filter("kind = 1")
-    under = own.select("id", *column, "at", "kind").unionByName(starts, allowMissingColumns=True).withColumn("under", F.min(prose_at).over(after)).filter("kind = 1").select("id", "under")
-    # other numbers at the same height are neither above nor below
-    heights = own.select(*column, "mid").distinct()
-    w = Window.partitionBy(*column).orderBy("mid")
-    beside = heights.withColumn("prev", F.lag("mid").over(w)).withColumn("next", F.lead("mid").over(w))
-    spans = settled(over.drop("at", "kind").join(under, "id").join(beside, [*column, "mid"]).filter(F.col("x1") > F.col("edge") - 18).select(
-        *column, "id", "n", "mid",
-        F.greatest(F.col("mid") - 30, F.coalesce(F.greatest(F.col("over"), (F.col("prev") + F.col("mid")) / 2), F.col("mid") - 30)).alias("low"),
-        F.least(F.col("mid") + 30, F.coalesce(F.least(F.col("under"), (F.col("next") + F.col("mid")) / 2), F.col("mid") + 30)).alias("high"),
-    ))
-    step = lambda c: F.floor(F.col(c) / CELL)
-    slots = spans.withColumn("g", F.explode(F.sequence(step("low"), step("high"))))
-    parts = told.filter("NOT prose").withColumn("g", step("mid")).withColumnRenamed("mid", "at").drop("n").join(slots.select(*column, "g", "id", "n", "low", "high"), [*column, "g"]).filter("low < at AND at < high")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y0", "x0", "text"))), lambda x: x["text"]), " ")
-    return parts.groupBy(*PAGE, "id", "n").agg(text.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).drop("id")
+    prose, number = is_prose(F.col("text"), F.col("heading")), F.regexp_extract("text", r"\((\d+)\)$", 1)
+    size = lambda known: [F.col(c).cast(t) if known else F.lit(None).cast(t) for c, t in (("width", "double"), ("two_columns", "boolean"))]
+    take = [*(F.col(c).cast("double") for c in BOX), F.when(~prose, F.col("text")), prose, F.when((number != "") & ~prose, number)]
+    names = ["kind", "width", "two_columns", *BOX, "text", "prose", "n"]
+    part = lambda df, *columns: df.select(*PAGE, *(c.alias(n) for c, n in zip(columns, names, strict=True)))
+    rows = part(lines, F.lit(1), *size(pages is None), *take)
+    if pages is not None:
+        rows = rows.unionByName(part(pages, F.lit(0), *size(True), *(F.lit(None) for _ in take))).dropna(subset=PAGE)
+    fields = [*StructType.fromDDL("n string, text string").fields, *(StructField(c, DoubleType()) for c in BOX)]
+    found = over_keys(rows, PAGE, ["kind"], [F.col(c) for c in names], fields, _page_equations, dealt and pages is None)
+    return found.select(*PAGE, "n", "text", *(F.col(c).cast(lines.schema[c].dataType).alias(c) for c in BOX))
+
+
+def _page_equations(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """n, text and box of the equations of a page, from its rows (kind, width, two_columns, x0, y0, x1, y1, text, prose, n): its sizes first, if these are told."""
+    sizes: list[tuple] = []
+    lines: list[tuple] = []
+    for kind, width, two, *line in rows:
+        if kind == 0:
+            sizes.append((width, two))
+        else:
+            lines.append((width, two, *line))
+    if not sizes:
+        yield from _numbered(n for n in lines if n[0] is not None)
+    else:
+        yield from _numbered((*size, *n[2:]) for size in sizes for n in lines)
+
+
+def _numbered(lines: Iterable[tuple]) -> Iterator[tuple]:
+    columns: tuple[tuple, ...] = tuple(([], [], [], []) for _ in range(2))
+    for width, two, x0, y0, x1, y1, text, prose, n in lines:
+        ends, starts, numbers, parts = columns[bool(two and width is not None and x0 is not None and not x0 < width / 2)]
+        if prose:
+            ends += [] if y1 is None or isnan(y1) else [y1]
+            starts += [] if y0 is None or isnan(y0) else [y0]
+        elif prose is not None and y0 is not None and y1 is not None and isfinite(mid := (y0 + y1) / 2):
+            parts.append((mid, y0, (x0 is not None, x0 is not None and isnan(x0), x0), text, x1, y1))
+            if n is not None:
+                edge = None if width is None else width / 2 - 10 if two and x1 is not None and x1 < width / 2 + 8 else width * 0.91
+                numbers.append((mid, n, edge is not None and x1 is not None and not x1 <= edge - 18))
+    for ends, starts, numbers, parts in columns:
+        ends.sort()
+        starts.sort()
+        parts.sort(key=itemgetter(0))
+        mids, at = sorted({m for m, *_ in numbers}), [p[0] for p in parts]
+        for mid, n, right in numbers:
+            if not right:
+                continue
+            i, over, under = bisect_left(mids, mid), bisect_left(ends, mid), bisect_right(starts, mid)
+            # other numbers at the same height are neither above nor below
+            low = max([mid - 30, *ends[max(over - 1, 0) : over], *((m + mid) / 2 for m in mids[max(i - 1, 0) : i])])
+            high = min([mid + 30, *starts[under : under + 1], *((m + mid) / 2 for m in mids[i + 1 : i + 2])])
+            own = sorted(parts[bisect_right(at, low) : bisect_left(at, high)], key=itemgetter(1, 2, 3))
+            if own:
+                lefts, rights = [p[2][2] for p in own if p[2][0]], [p[4] for p in own if p[4] is not None]
+                x0 = min((x for x in lefts if not isnan(x)), default=lefts[0] if lefts else None)
+                x1 = next((x for x in rights if isnan(x)), max(rights, default=None))
+                yield n, " ".join(p[3] for p in own), x0, min(p[1] for p in own), x1, max(p[5] for p in own)

@@ -148,6 +148,22 @@ def test_lines_of_equations_are_computed_once(spark):
     assert seen.value == 200
 
 
+def test_equations_take_one_shuffle(spark, tables):
+    """Numbers among prose, other numbers and two columns; a page without a size and one with two; lines that are together are not shuffled again."""
+    put, ask = tables
+    at = [(100, 10, 300, 20, "a"), (60, 22, 560, 30, "b (1)"), (60, 24, 560, 32, "c (2)"), (60, 44, 560, 52, "where we have as before (7)"), (60, 46, 290, 54, "d (3)"), (310, 46, 560, 54, "e (4)"), (100, 60, 500, 70, "f (5)"), (None, 26, 80, 34, "g")]
+    lines = spark.createDataFrame([(d, 1, *map(lambda v: v if v is None else float(v), b[:4]), b[4], False) for d in (1, 2, 3, 4) for b in at], "doc_id int, page int, x0 double, y0 double, x1 double, y1 double, text string, heading boolean")
+    pages = spark.createDataFrame([(1, 1, 600.0, False), (2, 1, 600.0, True), (4, 1, 600.0, False), (4, 1, 600.0, False)], "doc_id int, page int, width double, two_columns boolean")
+    out = equations(lines, pages)
+    assert _shuffles(out, "Join", "Window", "Aggregate") == 1
+    got = {d: sorted((r["n"], r["text"], r["x0"], r["y0"], r["y1"]) for r in out.collect() if r["doc_id"] == d) for d in (1, 2, 3, 4)}
+    assert got[1] == [("1", "a b (1)", 60.0, 10.0, 30.0), ("2", "c (2) g", 60.0, 24.0, 34.0), ("4", "d (3) e (4)", 60.0, 46.0, 54.0)]
+    assert got[2] == [("1", "a b (1)", 60.0, 10.0, 30.0), ("2", "c (2) g", 60.0, 24.0, 34.0), ("3", "d (3)", 60.0, 46.0, 54.0), ("4", "e (4)", 310.0, 46.0, 54.0)]
+    assert got[3] == [] and [g[:2] for g in got[4][:2]] == [("1", "a a b (1) b (1)")] * 2
+    put("lineitem", [(k, 1, 1, i, float(q), 10.0 * q, 0.1, "R", "O") for k in (1, 2, None) for i, q in enumerate((11, 10, 12))], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string")
+    assert _shuffles(ask("equation_lines").select("n"), "Join") == 1
+
+
 def test_grids_are_checked_where_they_are_placed(spark):
     """Faults and counts equal those of the squares, for keys that end with a batch, go over several and are null; one shuffle."""
     rng = random.Random(3)
