@@ -103,6 +103,14 @@ def test_restored_tables_take_one_shuffle(spark):
     assert {r["t"]: (r["attempt"], r["error"]) for r in out.collect()} == {1: (1, None), 2: (0, None), 3: (None, "invalid"), 4: (0, None), 5: (None, "numeric_mismatch"), 9: (3, None)}
 
 
+def test_restored_tables_shuffle_lines_alone(tables):
+    """Tables and their answers are put together where the lines of an order are numbered; null is an order like any other."""
+    put, ask = tables
+    rows = [(k, 1, 1, i, float(10 + i), 100.0 * i, 0.1, "RAN"[i % 3], "O") for k in (None, *range(1, 25)) for i in range(1 + (k or 0) % 5)]
+    put("lineitem", rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string")
+    assert _shuffles(ask("restored_tables").select("error"), "Union", "Join") == 1
+
+
 def test_heads_are_found_while_pages_are_read(spark):
     row = lambda *cells, tag="td": "<tr>" + "".join(f"<{tag}>{c}</{tag}>" for c in cells) + "</tr>"
     tables = [
