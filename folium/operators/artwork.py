@@ -24,12 +24,6 @@ BOX = ["x0", "y0", "x1", "y1"]
 CELL = 64.0
 
 
-def _cells(pad: float) -> Column:
-    """The grid cells that a box with a margin covers."""
-    run = lambda low, high: F.sequence(F.floor((F.col(low) - pad) / CELL), F.floor((F.col(high) + pad) / CELL))
-    return F.flatten(F.transform(run("x0", "x1"), lambda x: F.transform(run("y0", "y1"), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
-
-
 def clusters(boxes: DataFrame, pad: float = 3.0) -> DataFrame:
     """doc_id, page, x0, y0, x1, y1, segments: boxes (with a number of segments) joined while any two lie nearer than `pad`.
 
@@ -169,18 +163,6 @@ def _page_artwork(rows: Iterator[tuple]) -> Iterator[tuple]:
             yield x0, y0, x1, y1
 
 
-def covers(small: DataFrame, large: DataFrame, share: float) -> DataFrame:
-    """Rows of small beside the _id of each box of large on their page that holds more than `share` of them."""
-    a = small.select(*PAGE, *BOX, *(c for c in small.columns if c not in (*PAGE, *BOX)), F.explode(_cells(0.0)).alias("g"))
-    b = large.select(*PAGE, "_id", *(F.col(c).alias(f"o_{c}") for c in BOX), F.explode(_cells(0.0)).alias("g"))
-    wide = F.least("x1", "o_x1") - F.greatest("x0", "o_x0")
-    high = F.least("y1", "o_y1") - F.greatest("y0", "o_y0")
-    inside = (wide > 0) & (high > 0) & (wide * high > share * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    # two boxes share several cells; they are told once, in the first that both cover
-    first = (F.col("g.cx") == F.floor(F.greatest("x0", "o_x0") / CELL)) & (F.col("g.cy") == F.floor(F.greatest("y0", "o_y0") / CELL))
-    return a.join(b, [*PAGE, "g"]).filter(inside & first).drop("g", *(f"o_{c}" for c in BOX))
-
-
 #: Lines that are prose rather than parts of a formula.
 _PROSE = (r":$", r"[a-zA-Z]{3}", r"[A-Za-z]{3,}", r"^[A-Za-z][a-z]{2,}\s", r"[A-Za-z]{2,}")
 

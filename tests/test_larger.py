@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folium.functions.html import read
 from folium.operators import grids
 from folium.operators.artwork import equations
-from folium.operators.layout import recognised_lines
+from folium.operators.layout import recognised_lines, rejoined
 from folium.operators.tables import _Cells, _page_cells, decorated, html_cells, restored, score_tables, with_heads
 from folium.plans.catalog import QUERIES, SQL
 
@@ -197,3 +197,22 @@ def test_rejoined_paragraphs_read_documents_once(spark):
     """The lines are cut once; every later step reads what that made."""
     plan = QUERIES["rejoined_paragraphs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and "split(" not in plan
+
+
+def test_paragraphs_take_one_shuffle_of_lines(spark):
+    """Boxes, notes and joined rows of a document are told apart in one pass; items that are together are not shuffled."""
+    at = {"in": (60.0, 200.0, 80.0, 210.0), "half": (40.0, 200.0, 60.0, 210.0), "p": (50.0, 30.0, 500.0, 90.0), "fig": (50.0, 100.0, 500.0, 400.0)}
+    rows = [
+        (1, 0, "p", 1, "one", "p"), (1, 1, "fig", 1, None, "fig"), (1, 2, "p", 1, "axis", "in"), (1, 3, "p", 1, "* note", "p"), (1, 4, None, 1, "unknown", "p"), (1, 5, "p", 2, "two,", "p"), (1, 6, "p", 3, "three", "p"),
+        (2, 0, "li", 1, "item", "p"), (2, 1, "tab", 2, "", "fig"), (2, 2, "p", 2, "half", "half"), (2, 3, "p", None, "lost", "p"),
+        (None, 0, "p", 1, "a", "p"), (None, 1, "fig", 1, "f", "fig"), (None, 2, "p", 1, "axis", "in"),
+    ]
+    frame = spark.createDataFrame([(*r[:5], *at[r[5]]) for r in rows], "doc_id bigint, ord bigint, type string, page bigint, text string, x0 double, y0 double, x1 double, y1 double")
+    out = rejoined(frame)
+    assert _shuffles(out, "Join", "Window", "Aggregate") == 1
+    want = [
+        (1, 0, "p", 1, "one two,"), (1, 1, "fig", 1, ""), (1, 2, "p", 1, "axis"), (1, 3, "p", 1, "* note"), (1, 4, None, 1, "unknown"), (1, 6, "p", 3, "three"),
+        (2, 0, "li", 1, "item half"), (2, 1, "tab", 2, ""), (2, 3, "p", None, "lost"), (None, 0, "p", 1, "a axis"), (None, 1, "fig", 1, "f"),
+    ]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert _shuffles(QUERIES["rejoined_paragraphs"](spark, "/root/testdata/sf0.001"), "Join", "Window", "Aggregate") == 1
